@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from gridsift.llm import mixing
+from gridsift.llm import html, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op2_html": html.op2_html,
         "op4_mixing": mixing.op4_mixing,
+        "op5_quality": quality.op5_quality,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op4_mixing": mixing.ORACLE,
+        "op5_quality": quality.ORACLE,
     }
