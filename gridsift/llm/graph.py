@@ -1,0 +1,34 @@
+"""Connected components of a graph held in DataFrames, by hooking, pointer jumping and contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridsift.llm.common import Shelf
+
+
+def components(edges: DataFrame, shelf: Shelf, name: str = "cc") -> DataFrame:
+    """node, root for every node of edges(a, b): root is the smallest node that can be reached.
+
+    Each round hooks every node to its smallest neighbour, jumps until all point at a local minimum, and
+    contracts; at least half of the nodes that still have edges vanish in a round. Nothing is collected but
+    counts. Loops and repeated edges are allowed; nulls are not.
+    """
+    left = shelf.put(f"{name}-edges", edges.filter("a != b").select("a", "b").distinct())
+    out = shelf.put(f"{name}-nodes", edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        hook = shelf.put(f"{name}-hook", both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
+        while True:
+            above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            hook = shelf.put(f"{name}-hook", hook.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            moved = not hook.filter("moved").isEmpty()
+            hook = hook.drop("moved")
+            if not moved:
+                break
+        to = lambda c: hook.select(F.col("node").alias(c), F.col("up").alias(f"{c}2"))
+        left = shelf.put(f"{name}-edges", left.join(to("a"), "a").join(to("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).filter("a != b").distinct())
+        out = shelf.put(f"{name}-nodes", out.join(to("root"), "root", "left").select("node", F.coalesce("root2", "root").alias("root")))
+    shelf.drop(f"{name}-edges", f"{name}-hook")
+    return out

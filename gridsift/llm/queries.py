@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsift.llm import html, mixing, quality
+from gridsift.llm import html, mixing, quality, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_html": html.op2_html,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality": quality.op5_quality,
+        "op7_simhash": simhash.op7_simhash,
     }
 
 
