@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsift.llm import html, mixing, quality, simhash
+from gridsift.llm import html, mixing, packing, quality, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_mixing": mixing.op4_mixing,
         "op5_quality": quality.op5_quality,
         "op7_simhash": simhash.op7_simhash,
+        "op9_packing": packing.op9_packing,
     }
 
 
