@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: One part in so many, by the CRC-32 of doc_id as text, is held out from learning.
+FOLDS = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +68,8 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], bucket: s
     totals = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     on = [*keys, bucket]
     return df.withColumn("_in", F.sum(value).over(inner)).join(totals, on).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before")
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether a row is outside the part that labels are learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))

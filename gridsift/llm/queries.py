@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsift.llm import html, mixing, packing, quality, simhash
+from gridsift.llm import html, langid, mixing, packing, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op2_html": html.op2_html,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality": quality.op5_quality,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_simhash": simhash.op7_simhash,
+        "op8_langid": langid.op8_langid,
         "op9_packing": packing.op9_packing,
     }
 
