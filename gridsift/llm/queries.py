@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridsift.llm import html, langid, mixing, packing, quality, simhash, toxicity
+from gridsift.llm import html, langid, linededup, mixing, packing, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_linededup": linededup.op1_linededup,
         "op2_html": html.op2_html,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality": quality.op5_quality,

@@ -74,13 +74,13 @@ def _coordinates(fp: Column, pivots: tuple[int, ...]) -> Column:
     return packed
 
 
-def pivot_table(fps: DataFrame) -> DataFrame:
-    """x: fp with its packed distances to the reference fingerprints."""
-    return fps.select(F.struct(F.col("fp"), _coordinates(F.col("fp"), PIVOTS[:8]).alias("p"), _coordinates(F.col("fp"), PIVOTS[8:]).alias("q")).alias("x"))
+def pivoted(fp: Column) -> Column:
+    """fp with its packed distances to the reference fingerprints: a row of the pivot table."""
+    return F.struct(fp.alias("fp"), _coordinates(fp, PIVOTS[:8]).alias("p"), _coordinates(fp, PIVOTS[8:]).alias("q"))
 
 
 def near(x: Column, y: Column, radius: int = RADIUS) -> Column:
-    """Whether x and y of a pivot table differ in at most radius bits: first by coordinates, then exactly."""
+    """Whether x and y, rows of the pivot table, differ in at most radius bits: first by coordinates, then exactly."""
     byte = lambda v, i: F.shiftright(v, 8 * i).bitwiseAND(F.lit(255))
     apart = F.greatest(*(F.abs(byte(x[c], i) - byte(y[c], i)) for c in ("p", "q") for i in range(8)))
     return F.when(apart > radius, F.lit(False)).otherwise(F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius)
@@ -94,9 +94,11 @@ def link_components(fps: DataFrame, shelf: Shelf, radius: int = RADIUS) -> DataF
     components, so the pairs within a group of near copies are never listed, and yet no link between two
     components is missed.
     """
-    keyed = pivot_table(fps).select("x", F.posexplode(F.array(*(F.col("x.fp").bitwiseAND(F.lit(m)) for m in MASKS))).alias("t", "key"))
-    groups = shelf.put("groups", keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).filter("n > 1"))
-    members = shelf.put("members", keyed.join(groups.filter("n > 2"), ["t", "key"]).drop("n"))
+    keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in MASKS))).alias("t", "key"))
+    groups = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
+    groups = shelf.put("groups", groups.select("t", "key", "n", pivoted(F.col("low")).alias("low"), pivoted(F.col("high")).alias("high")))
+    members = keyed.join(groups.filter("n > 2").select("t", "key", "low", "high"), ["t", "key"])
+    members = shelf.put("members", members.select("t", "key", pivoted(F.col("fp")).alias("x"), "low", "high"))
     edge = lambda x, y: (F.col(f"{x}.fp").alias("a"), F.col(f"{y}.fp").alias("b"))
     found = groups.filter(near(F.col("low"), F.col("high"), radius)).select(*edge("low", "high"))
     for end in ("low", "high"):
@@ -127,9 +129,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = shelf.put("rows", fingerprints(docs))
     fps = shelf.put("fps", rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = link_components(fps.select("fp"), shelf, radius)
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    names = shelf.put("names", placed.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")))
+    linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    alone = fps.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    names = shelf.put("names", linked.join(least, "root").select("fp", F.col("least").alias("component_id")).unionByName(alone))
     return rows.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
