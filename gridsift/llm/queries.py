@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsift.llm import html, langid, linededup, mixing, packing, quality, simhash, toxicity
+from gridsift.llm import html, langid, linededup, mixing, packing, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_simhash": simhash.op7_simhash,
         "op8_langid": langid.op8_langid,
         "op9_packing": packing.op9_packing,
+        "op10_sharding": sharding.op10_sharding,
     }
 
 
