@@ -33,6 +33,27 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with _doc and _th, which are never null and tell all rows apart but those with equal doc_id and text."""
+    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
+
+
+def attach(docs: DataFrame, decided: DataFrame, shelf: Shelf) -> DataFrame:
+    """docs joined with the columns of decided, which has _doc and _th and at most as many rows of each as docs has.
+
+    Rows that are equal in both are paired one to one; rows of docs without a partner go.
+    """
+    key = ["_doc", "_th"]
+    keyed = with_keys(docs)
+    repeated = shelf.put("repeated", keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
+    if repeated.isEmpty():
+        return keyed.join(decided, key).drop(*key)
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    numbered = lambda df: df.join(repeated, key, "left_semi").withColumn("_turn", turn)
+    once = keyed.join(repeated, key, "left_anti").join(decided, key)
+    return once.unionByName(numbered(keyed).join(numbered(decided), [*key, "_turn"]).drop("_turn")).drop(*key)
+
+
 class Shelf:
     """Tables written between steps in the shared folder; each cuts the lineage of what follows."""
 

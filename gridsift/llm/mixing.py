@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import WORD, Shelf, running_total, table
+from gridsift.llm.common import WORD, Shelf, attach, running_total, table, with_keys
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -45,9 +45,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: Fraction = BUDGET, epochs: int
     are taken whole. Null text: size 0. Null source: a source of its own, last in order. Null doc_id: shuffled
     as the text 'null'. Repeated rows are separate documents. An empty table gives an empty result.
     """
-    spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "mix")
+    return _mixed(docs, weights, budget, epochs, Shelf(docs.sparkSession, "mix")).drop("_doc", "_th")
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: Fraction = BUDGET, epochs: int = EPOCHS) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it is taken."""
+    shelf = Shelf(docs.sparkSession, "mixed")
+    taken = shelf.put("taken", _mixed(docs, weights, budget, epochs, shelf).filter("epochs_taken > 0").select("_doc", "_th", F.col("epochs_taken").alias("_epochs")))
+    out = attach(docs, taken, shelf).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs"))))
+    return out.select(*docs.columns)
+
+
+def _mixed(docs: DataFrame, weights, budget: Fraction, epochs: int, shelf: Shelf) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = shelf.put("sized", docs.select("doc_id", "source", size.alias("size")))
+    sized = shelf.put("sized", with_keys(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_doc", "_th", size.alias("size")))
     targets = shelf.put("targets", source_targets(sized, weights, budget, epochs))
     turn = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     placed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -80,7 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: Fraction = BUDGET, epochs: int
     taken = copies.filter(F.col("slot") < fine).select("n_source", "part", "seq").unionByName(edge.filter(F.col("all") * q <= F.lit(limit)).select("n_source", "part", "seq"))
     counts = taken.groupBy("n_source", "part", "seq").agg(F.count(F.lit(1)).alias("epochs_taken"))
     out = placed.join(counts, ["n_source", "part", "seq"], "left").withColumn("epochs_taken", F.coalesce("epochs_taken", F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs_taken")).alias("taken"), "epochs_taken")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs_taken")).alias("taken"), "epochs_taken", "_doc", "_th")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gridsift.llm import html, langid, linededup, mixing, packing, quality, sharding, simhash, toxicity
+from gridsift.llm import embeddings, html, langid, linededup, mixing, packing, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_linededup": linededup.op1_linededup,
         "op2_html": html.op2_html,
+        "op3_embeddings": embeddings.op3_embeddings,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality": quality.op5_quality,
         "op6_toxicity": toxicity.op6_toxicity,

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import Shelf, table
+from gridsift.llm.common import Shelf, attach, table, with_keys
 from gridsift.llm.graph import components
 
 SHINGLE, SEED, RADIUS, PARTS = 3, 42, 3, 6
@@ -58,13 +58,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64), pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_doc", "_th")), pa.array(values.view(np.int64), pa.int64())], ["doc_id", "_doc", "_th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long), one row per row of docs."""
-    plain = docs.select("doc_id", "text")
-    return plain.mapInArrow(_fingerprinted, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, fp long")
+    """doc_id, its row's keys and fp (the 64 bits as a long), one row per row of docs."""
+    plain = with_keys(docs.select("doc_id", "text"))
+    return plain.mapInArrow(_fingerprinted, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, _doc long, _th long, fp long")
 
 
 def _coordinates(fp: Column, pivots: tuple[int, ...]) -> Column:
@@ -125,26 +125,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     doc_id never names a component; a component of such rows only has a null component_id. Repeated rows share
     a component. An empty table gives an empty result.
     """
-    shelf = Shelf(docs.sparkSession, "simhash")
+    out = _named(docs, radius, Shelf(docs.sparkSession, "simhash"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(docs: DataFrame, radius: int, shelf: Shelf) -> DataFrame:
+    """doc_id, the row's keys, fp, root (the component's smallest fingerprint) and component_id."""
     rows = shelf.put("rows", fingerprints(docs))
     fps = shelf.put("fps", rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = link_components(fps.select("fp"), shelf, radius)
     linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    alone = fps.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    names = shelf.put("names", linked.join(least, "root").select("fp", F.col("least").alias("component_id")).unionByName(alone))
-    return rows.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    alone = fps.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    names = shelf.put("names", linked.join(least, "root").select("fp", "root", F.col("least").alias("component_id")).unionByName(alone))
+    return rows.join(names, "fp")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, one for each group of near copies: that with the smallest doc_id (as is, where all are null)."""
-    names = near_duplicates(docs, radius)
+    """The rows of docs, one for each group of near copies: one with the smallest doc_id, any where all are null."""
     shelf = Shelf(docs.sparkSession, "simhash-kept")
-    kept = shelf.put("kept", names.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    once = docs.join(kept.filter("rows = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.filter("rows > 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id is null").join(F.broadcast(kept.filter("doc_id is null").select(F.lit(1).alias("_one"))), how="left_semi").dropDuplicates(["text"])
-    return once.unionByName(repeated).unionByName(nameless).select(*docs.columns)
+    named = shelf.put("named", _named(docs, radius, shelf))
+    known = named.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("_doc", "_th")).alias("row"))
+    nameless = named.filter("component_id is null").groupBy("root").agg(F.min(F.struct("_doc", "_th")).alias("row"))
+    kept = shelf.put("kept", known.unionByName(nameless).select("row.*"))
+    return attach(docs, kept, shelf).select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,19 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that are not predicted to be toxic, in one pass and without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, net = Hasher(), shared.value
+        for batch in batches:
+            clean = [net.score(hasher(x.as_py() or "")) < 0.5 for x in batch.column("text")]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
