@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS: tuple[str, ...] = ()
+AREAS: tuple[str, ...] = ("ground",)
 
 
 def _merged(attribute: str) -> dict:
