@@ -48,7 +48,7 @@ def repeated_ranges(docs: DataFrame, min_words: int, shelf: Shelf) -> DataFrame:
     """doc, th, start, end: the lines to delete, as ranges of places among all lines, for each distinct (doc_id, text)."""
     lines = shelf.put("lines", numbered_lines(docs.filter("text is not null")).dropDuplicates([*DOC, "n"]))
     ranks = _ranked(lines, ["a", "b"], F.shiftright("a", 54), shelf, "names")
-    kept = lines.join(ranks, ["a", "b"]).withColumnRenamed("rank", "r0").drop("a", "b")
+    kept = lines.join(ranks.hint("merge"), ["a", "b"]).withColumnRenamed("rank", "r0").drop("a", "b")
     by_doc = Window.partitionBy(*DOC).orderBy("n")
     kept = kept.withColumn("seg", F.col("n") - F.row_number().over(by_doc))
     seq = Window.partitionBy(*DOC, "seg").orderBy("n")
@@ -80,14 +80,15 @@ def repeated_ranges(docs: DataFrame, min_words: int, shelf: Shelf) -> DataFrame:
     runs = runs.withColumn("n", (F.col("first") + F.col("m") - half).cast("int")).join(where, [*DOC, "n"]).withColumn("y", at_level(F.col("m"), F.col("ranks"))).drop("ranks", "n").filter("y is not null")
     runs = shelf.put("runs", runs)
     origin = runs.groupBy("m", "x", "y").agg(F.min(F.struct(*DOC, "first")).alias("origin"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    later = runs.join(origin, ["m", "x", "y"]).filter(F.struct(*DOC, "first") > F.col("origin"))
+    origin = shelf.put("origin", origin)  # both sides of the next join are then read from exchanges, which can be split
+    later = runs.join(origin.hint("merge"), ["m", "x", "y"]).filter(F.struct(*DOC, "first") > F.col("origin"))
     later = later.groupBy(*DOC, F.col("first").alias("n")).agg(F.max("m").alias("m"))
     reach = F.max(F.col("n") + F.col("m")).over(seq.rowsBetween(Window.unboundedPreceding, 0))
     dead = kept.select(*DOC, "seg", "n", "at").join(later, [*DOC, "n"], "left").withColumn("reach", reach).filter("reach > n")
     dead = dead.withColumn("island", F.col("n") - F.row_number().over(seq))
     out = dead.groupBy(*DOC, "seg", "island").agg(F.min("at").alias("start"), F.max("at").alias("end")).select(*DOC, "start", "end")
     out = shelf.put("ranges", out)
-    shelf.drop("lines", "names", "pairs", "pair-ranks", "ranked", "runs")
+    shelf.drop("lines", "names", "pairs", "pair-ranks", "ranked", "runs", "origin")
     return out
 
 
@@ -106,7 +107,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     per_doc = shelf.put("per-doc", ranges.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")))
     keyed = docs.withColumn("_doc", _doc()).withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
     repeated = shelf.put("repeated", keyed.filter("text is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
-    out = keyed.join(per_doc, key, "left")
+    out = keyed.join(per_doc.hint("merge"), key, "left")  # never broadcast: it grows with the corpus
     if not repeated.isEmpty():
         again, once = out.join(repeated, key, "left_semi"), out.join(repeated, key, "left_anti")
         n = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
