@@ -97,7 +97,7 @@ def link_components(fps: DataFrame, shelf: Shelf, radius: int = RADIUS) -> DataF
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in MASKS))).alias("t", "key"))
     groups = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
     groups = shelf.put("groups", groups.select("t", "key", "n", pivoted(F.col("low")).alias("low"), pivoted(F.col("high")).alias("high")))
-    members = keyed.join(groups.filter("n > 2").select("t", "key", "low", "high"), ["t", "key"])
+    members = keyed.join(groups.filter("n > 2").select("t", "key", "low", "high").hint("merge"), ["t", "key"])  # the same plan at every size
     members = shelf.put("members", members.select("t", "key", pivoted(F.col("fp")).alias("x"), "low", "high"))
     edge = lambda x, y: (F.col(f"{x}.fp").alias("a"), F.col(f"{y}.fp").alias("b"))
     found = groups.filter(near(F.col("low"), F.col("high"), radius)).select(*edge("low", "high"))
