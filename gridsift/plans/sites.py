@@ -93,7 +93,7 @@ QUERIES = {
     "ray_worst": lambda s, d: rays(s, d).select(F.col("r0").alias("r"), F.col("c0").alias("c"), "ray", F.round("worst", 3).alias("worst"), "distance", *_round4("coverage")),
     "sector_class": lambda s, d: swept(s, d).select(F.col("r0").alias("r"), F.col("c0").alias("c"), "azimuth", F.round("worst", 3).alias("worst"), F.round("coverage", 3).alias("coverage"), "class"),
     "sector_letters": lambda s, d: approach.class_letters(swept(s, d)).select(F.col("r0").alias("r"), F.col("c0").alias("c"), "letters"),
-    "sector_listed_obstacle": lambda s, d: swept(s, d, True).select(F.col("r0").alias("r"), F.col("c0").alias("c"), "azimuth", F.round("worst", 3).alias("worst"), "class", "obstacle"),
+    "sector_listed_obstacle": lambda s, d: swept(s, d, True).select(F.col("r0").alias("r"), F.col("c0").alias("c"), "azimuth", F.round("worst", 3).alias("worst"), "class", F.coalesce("obstacle", F.lit(-1)).alias("obstacle")),
     "best_approach": lambda s, d: summarized(s, d).select("r", "c", "total", "assessed", "clear", "best_azimuth", "best_angle", "heading"),
     "opposing_corridors": lambda s, d: summarized(s, d).select("r", "c", "opposing"),
     "sector_ranges": lambda s, d: approach.ranges(swept(s, d), approach.CLEAR, MISSION).select(F.col("r0").alias("r"), F.col("c0").alias("c"), "first", "last", "sectors"),
@@ -204,7 +204,7 @@ ORACLES = {
     "ray_worst": sql("select r, c, cast(ray as int) as ray, round(worst, 3) as worst, distance, round(coverage, 4) as coverage from rays", "rays"),
     "sector_class": sql("select r, c, azimuth, round(worst, 3) as worst, round(coverage, 3) as coverage, class from sectors", "sectors"),
     "sector_letters": sql("select r, c, string_agg(class[1:1], '' order by azimuth) as letters from sectors group by r, c", "sectors"),
-    "sector_listed_obstacle": sql(f"select r, c, azimuth, round(worst, 3) as worst, {_KIND} as class, obstacle from (select s.r, s.c, s.azimuth, s.coverage, case when listed is not null and (s.worst is null or listed > s.worst) then listed else s.worst end as worst, case when listed is not null and (s.worst is null or listed > s.worst) or listed >= s.worst - 0.5 then owner end as obstacle from sectors s left join listed_sectors l using (r, c, azimuth)) t", "sectors", "listed_sectors"),
+    "sector_listed_obstacle": sql(f"select r, c, azimuth, round(worst, 3) as worst, {_KIND} as class, coalesce(obstacle, -1) as obstacle from (select s.r, s.c, s.azimuth, s.coverage, case when listed is not null and (s.worst is null or listed > s.worst) then listed else s.worst end as worst, case when listed is not null and (s.worst is null or listed > s.worst) or listed >= s.worst - 0.5 then owner end as obstacle from sectors s left join listed_sectors l using (r, c, azimuth)) t", "sectors", "listed_sectors"),
     "best_approach": sql("select r, c, total, assessed, clear, best_azimuth, best_angle, heading from summary", "summary"),
     "opposing_corridors": sql("select r, c, opposing from summary", "summary"),
     "sector_ranges": sql("select r, c, (lo * 10.0::double - 5 + 360) % 360 as first, (hi * 10.0::double + 5) % 360 as last, cast(n as bigint) as sectors from (select r, c, hi, case when wraps and lo = 0 then (select max(t.lo) from runs t where t.r = a.r and t.c = a.c) else lo end as lo, n + case when wraps and lo = 0 then (select t.n from runs t where t.r = a.r and t.c = a.c and t.hi = 35) else 0 end as n from runs a where not (wraps and hi = 35)) q", "runs"),
