@@ -178,7 +178,7 @@ define(
     from (select *, coalesce(best_angle > 3, false) as steep, case when coalesce(total, 0) > 0 and assessed = 0 then 'approach not assessable' when coalesce(total, 0) > 0 and best_angle is null and upslope then 'no approach in the uphill direction'
         when coalesce(total, 0) > 0 and best_angle is null then 'no usable approach' when best_angle > 7 then 'all approaches blocked' end as gate from scored) a) b""",
 )
-define("ranked", ("rated",), "select *, 'S-' || lpad(cast(rank as varchar), greatest(2, length(cast(count(*) over () as varchar))), '0') as site_id from (select *, row_number() over (order by place, score desc, assessed desc, clear desc, quality desc, r, c) as rank from rated) a where rank <= 1000")
+define("ranked", ("rated",), "select *, 'S-' || lpad(cast(rank as varchar), cast(greatest(2, length(cast(count(*) over () as varchar))) as int), '0') as site_id from (select *, row_number() over (order by place, score desc, assessed desc, clear desc, quality desc, r, c) as rank from rated) a where rank <= 1000")
 define("site_links", ("ranked",), "select a.rank as a, b.rank as b from ranked a join ranked b on a.rank <> b.rank and (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 225 + 1e-9")
 define("site_reach", ("ranked", "site_links"), "select rank as node, rank as seen from ranked union select s.node, l.b from site_reach s join site_links l on l.a = s.seen")
 define("roles", ("ranked", "site_reach"), "select k.rank, site_id, dense_rank() over (order by root) as site_no, case when k.rank = root then 'PRIMARY' else 'ALTERNATE' end as role, first_value(site_id) over (partition by root order by k.rank) as primary_id, count(*) over (partition by root) - 1 as alternates from ranked k join (select node, min(seen) as root from site_reach group by node) g on g.node = k.rank")
