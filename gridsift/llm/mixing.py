@@ -68,6 +68,9 @@ def _mixed(docs: DataFrame, weights, budget: Fraction, epochs: int, shelf: Shelf
     seq = Window.partitionBy("n_source", "part").orderBy(*order)
     placed = shelf.put("placed", placed.withColumn("seq", F.row_number().over(seq)).drop("turn"))
 
+    if placed.isEmpty():
+        return placed.select("doc_id", "source", "size", "source_size", "target", F.col("size").alias("taken"), F.lit(0).cast("long").alias("epochs_taken"), "_doc", "_th")
+
     copies = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("finish", F.when(F.col("target") > 0, (F.col("upto") + F.col("epoch") * F.col("source_size")).cast("double") / F.col("target")).otherwise(F.lit(0.0)))
     limit, spent = placed.agg((F.coalesce(F.sum("size"), F.lit(0)) * budget.numerator).alias("limit")), F.lit(0).cast("long")
     state = shelf.put("state-0", limit.withColumn("spent", spent).withColumn("slot0", F.lit(0).cast("long")))
