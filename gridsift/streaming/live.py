@@ -20,7 +20,8 @@ def events_stream(spark: SparkSession, folder: str, schema, files_per_batch: int
 
 
 def _late(events: DataFrame) -> DataFrame:
-    return events.withWatermark("ts", LATENESS) if events.isStreaming else events
+    """A stream with its watermark, which needs time stamps with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS) if events.isStreaming else events
 
 
 def tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:
