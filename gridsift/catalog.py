@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS: tuple[str, ...] = ("ground", "masks", "sites", "search", "live")
+AREAS: tuple[str, ...] = ("ground", "masks", "sites", "search", "live", "reports")
 
 
 def _merged(attribute: str) -> dict:
