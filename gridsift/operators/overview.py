@@ -45,7 +45,7 @@ def attach(found: DataFrame, sites: DataFrame, block: int) -> DataFrame:
     """blocks with the number of ranked sites inside and their best rating."""
     per = sites.groupBy(F.floor(F.col("r") / block).alias("br"), F.floor(F.col("c") / block).alias("bc")).agg(F.count(F.lit(1)).alias("sites"), F.min(rating_order(F.col("rating"))).alias("best"))
     names = F.array(*map(F.lit, RATINGS))
-    return found.join(per, ["br", "bc"], "left").withColumn("sites", F.coalesce("sites", F.lit(0))).withColumn("best_rating", F.element_at(names, (F.col("best") + 1).cast("int"))).drop("best")
+    return found.join(per, ["br", "bc"], "left").select(*found.columns, F.coalesce("sites", F.lit(0)).alias("sites"), F.when(F.col("sites") > 0, F.element_at(names, (F.coalesce("best", F.lit(0)) + 1).cast("int"))).alias("best_rating"))
 
 
 def lattice(spark: SparkSession, rows: int, cols: int, block: int) -> DataFrame:
