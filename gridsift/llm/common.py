@@ -33,18 +33,27 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def row_keys() -> list[Column]:
+    """_doc and _th, which are never null and tell all rows apart but those with equal doc_id and text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_th")]
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
-    """docs with _doc and _th, which are never null and tell all rows apart but those with equal doc_id and text."""
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    return docs.select("*", *row_keys())
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """_row, a struct of all columns of docs, and the row's keys: whatever docs' columns are called, they clash with none added later."""
+    return docs.select(F.struct("*").alias("_row"), *row_keys())
 
 
 def attach(docs: DataFrame, decided: DataFrame, shelf: Shelf) -> DataFrame:
-    """docs joined with the columns of decided, which has _doc and _th and at most as many rows of each as docs has.
+    """_row (see with_row) and the columns of decided, which has _doc and _th and at most as many rows of each as docs has.
 
     Rows that are equal in both are paired one to one; rows of docs without a partner go.
     """
     key = ["_doc", "_th"]
-    keyed = with_keys(docs)
+    keyed = with_row(docs)
     repeated = shelf.put("repeated", keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
     if repeated.isEmpty():
         return keyed.join(decided, key).drop(*key)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import WORD, Shelf, running_total, table
+from gridsift.llm.common import WORD, Shelf, running_total, table, with_row
 
 MIN_WORDS = 50
 BUCKETS = 1024
@@ -95,7 +95,7 @@ def repeated_ranges(docs: DataFrame, min_words: int, shelf: Shelf) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of docs with repeated runs deleted from text, and removed_lines: array<struct<start, end>> of deleted line numbers.
 
-    docs needs doc_id and text; all columns are kept, and none may be called removed_lines. Documents are ordered
+    docs needs doc_id and text; all columns are kept, but one called removed_lines is replaced. Documents are ordered
     by doc_id (an integer; null first), then by a hash of the text; the first copy of a run stays. Runs are compared line by
     line, without lines that have no word; such lines go if they lie within a deleted run. Null text stays null.
     Repeated rows (equal doc_id and text): the later ones are copies as a whole. A text whose lines all go becomes
@@ -105,24 +105,23 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranges = repeated_ranges(docs.select("doc_id", "text"), min_words, shelf)
     key = ["_doc", "_th"]
     per_doc = shelf.put("per-doc", ranges.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")))
-    keyed = docs.withColumn("_doc", _doc()).withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    repeated = shelf.put("repeated", keyed.filter("text is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
+    keyed, text = with_row(docs), F.col("_row.text")
+    repeated = shelf.put("repeated", keyed.filter(text.isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
     out = keyed.join(per_doc.hint("merge"), key, "left")  # never broadcast: it grows with the corpus
     if not repeated.isEmpty():
         again, once = out.join(repeated, key, "left_semi"), out.join(repeated, key, "left_anti")
         n = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
-        lines = F.size(F.split("text", "\n"))
-        whole = F.array(F.struct(F.lit(0).alias("start"), (lines - 1).alias("end")))
-        again = again.withColumn("_n", n).withColumn("gone", F.when((F.col("_n") > 1) & (F.regexp_count("text", F.lit(WORD)) >= min_words), whole).otherwise(F.col("gone"))).drop("_n")
+        whole = F.array(F.struct(F.lit(0).alias("start"), (F.size(F.split(text, "\n")) - 1).alias("end")))
+        again = again.withColumn("_n", n).withColumn("gone", F.when((F.col("_n") > 1) & (F.regexp_count(text, F.lit(WORD)) >= min_words), whole).otherwise(F.col("gone"))).drop("_n")
         out = once.unionByName(again)
-    lines = F.split("text", "\n")
+    lines = F.split(text, "\n")
     # what stays: before the first range, between ranges, after the last
     edges = F.concat(F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))), F.col("gone"), F.array(F.struct(F.size(lines).alias("start"), F.size(lines).alias("end"))))
     gaps = F.zip_with(F.slice(edges, F.lit(1), F.size("gone") + 1), F.slice(edges, F.lit(2), F.size("gone") + 1), lambda x, y: F.slice(F.col("_lines"), x["end"] + 2, y["start"] - x["end"] - 1))
-    cut = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n"))
-    out = out.withColumn("_lines", F.when(F.col("gone").isNotNull(), lines)).withColumn("_cut", cut)
+    cut = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.flatten(gaps), "\n")).alias("text")
+    out = out.withColumn("_lines", F.when(F.col("gone").isNotNull(), lines))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return out.select(*(F.col("_cut").alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce("gone", none).alias("removed_lines"))
+    return out.select(*(cut if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c != "removed_lines"), F.coalesce("gone", none).alias("removed_lines"))
 
 
 def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

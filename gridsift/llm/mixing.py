@@ -52,8 +52,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: Fraction = BUDGET,
     """The mix itself: the rows of docs, each as often as it is taken."""
     shelf = Shelf(docs.sparkSession, "mixed")
     taken = shelf.put("taken", _mixed(docs, weights, budget, epochs, shelf).filter("epochs_taken > 0").select("_doc", "_th", F.col("epochs_taken").alias("_epochs")))
-    out = attach(docs, taken, shelf).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs"))))
-    return out.select(*docs.columns)
+    return attach(docs, taken, shelf).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs")))).select("_row.*")
 
 
 def _mixed(docs: DataFrame, weights, budget: Fraction, epochs: int, shelf: Shelf) -> DataFrame:

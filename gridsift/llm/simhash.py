@@ -148,7 +148,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     known = named.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("_doc", "_th")).alias("row"))
     nameless = named.filter("component_id is null").groupBy("root").agg(F.min(F.struct("_doc", "_th")).alias("row"))
     kept = shelf.put("kept", known.unionByName(nameless).select("row.*"))
-    return attach(docs, kept, shelf).select(*docs.columns)
+    return attach(docs, kept, shelf).select("_row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

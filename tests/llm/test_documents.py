@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from gridsift.llm import langid, mixing, packing, quality, simhash, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size long, _doc long, _epochs long, _row long"
 SPACE = " \t\n\v\f\r"
 
 
@@ -21,7 +21,7 @@ def rows():
     rng = random.Random(5)
     some = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randint(0, 40)) for _ in range(rng.randint(1, 60))) for _ in range(40)]
     texts = [*some, some[0], some[1] + " tail", None, "", " \n ", "x", "x", "LONG word " * 6000, "line one here\nline one here\n\nother", some[0]]
-    return [(i, t, "en" if i % 3 else None, [None, "a", "b", "c"][i % 4] if i % 2 else "hot", 0, 7, 9) for i, t in enumerate(texts)] + [(None, "no id here", None, None, 0, 7, 9), (0, texts[0], "en", "hot", 0, 7, 9), (3, "other text under a used id", "en", "a", 0, 7, 9)]
+    return [(i, t, "en" if i % 3 else None, [None, "a", "b", "c"][i % 4] if i % 2 else "hot", 0, 7, 9, 1, 2, 3) for i, t in enumerate(texts)] + [(None, "no id here", None, None, 0, 7, 9, 1, 2, 3), (0, texts[0], "en", "hot", 0, 7, 9, 1, 2, 3), (3, "other text under a used id", "en", "a", 0, 7, 9, 1, 2, 3)]
 
 
 @pytest.fixture(scope="module")

@@ -48,9 +48,11 @@ def test_same_as_brute_force(spark, least):
 def test_odd_rows(spark):
     long = "\n".join(f"word{i} " * 3 for i in range(3000))
     rows = [(1, None, "x"), (2, "", "y"), (3, "a b c d\ne", None), (3, "a b c d\ne", None), (None, "a b c d\ne\nz", "n"), (None, "q", "n"), (5, long, "l"), (6, "own\n" + long, "l"), (7, " \n\n", "w")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, th string, gone int, _doc int")
     got = linededup.dedup_lines(df, 5)
-    assert got.columns == ["doc_id", "text", "th", "removed_lines"]
+    assert got.columns == ["doc_id", "text", "th", "gone", "_doc", "removed_lines"]
+    again = linededup.dedup_lines(got, 5)  # its own column is replaced
+    assert again.columns == got.columns and again.count() == len(rows)
     left = sorted((r["doc_id"] or 0, r["text"]) for r in got.collect() if r["text"] is not None)
     # the row without doc_id comes first; both rows of document 3 are copies of its run
     assert left == [(0, "a b c d\ne\nz"), (0, "q"), (2, ""), (3, ""), (3, ""), (5, long), (6, "own"), (7, " \n\n")]
