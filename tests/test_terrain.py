@@ -27,16 +27,35 @@ def test_plane_slope_aspect_and_roughness(spark):
     assert got["roughness"] == pytest.approx(0, abs=1e-5) and got["valid_fraction"] == 1
 
 
-def test_windows_equal_the_plain_join(spark):
+@pytest.mark.parametrize("tile", [4, 256])
+def test_windows_equal_the_plain_join(spark, tile):
     rng = random.Random(1)
     heights = {(r, c): None if rng.random() < 0.1 else rng.uniform(95, 105) for r in range(9) for c in range(9)}
     cells = grid(spark, 9, 9, lambda r, c: heights[r, c])
-    fast = {(x["r"], x["c"]): x for x in terrain.plane_moments(cells, 2.0).collect()}
+    fast = {(x["r"], x["c"]): x for x in terrain.plane_moments(cells, 2.0, tile=tile).collect()}
+    assert len(fast) == 81
     slow = terrain.disk_join(cells.withColumn("zc", F.col("z") - 100), 2.0, ["zc"]).groupBy("r", "c").agg(F.count("zc").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("zc")).alias("sxz"), F.sum(F.col("y") * F.col("zc")).alias("syz"))
     for x in slow.filter("r between 0 and 8 and c between 0 and 8").collect():
         assert [fast[x["r"], x["c"]][k] for k in ("n", "sx", "sxz", "syz")] == pytest.approx([x[k] for k in ("n", "sx", "sxz", "syz")])
 
 
+def test_tiles_leave_no_seams(spark):
+    rng = random.Random(2)
+    heights = {(r, c): None if rng.random() < 0.1 else rng.uniform(95, 105) for r in range(15) for c in range(15)}
+    cells = grid(spark, 15, 15, lambda r, c: heights[r, c], lambda r, c: heights[r, c] and heights[r, c] + (r * c) % 7).filter("r * c != 20")
+    order = lambda df: [tuple(x) for x in df.orderBy("r", "c").collect()]
+    whole, cut = order(terrain.analyze(cells, profiles.Aircraft())), order(terrain.analyze(cells, profiles.Aircraft(), tile=5))
+    assert len(whole) == cells.count()
+    for x, y in zip(whole, cut, strict=True):
+        assert [v is None for v in x] == [v is None for v in y]
+        assert [v or 0 for v in x] == pytest.approx([v or 0 for v in y], abs=1e-7)
+    tops = {(x[0], x[1]): x[10] for x in whole}
+    h = {(x["r"], x["c"]): max(x["dsm"] - x["z"], 0.0) for x in cells.collect() if x["z"] is not None}
+    span = terrain.rectangle_spans(3.0)
+    for (r, c), top in tops.items():
+        assert top == max((v for dr, w in span.items() for d in range(-w, w + 1) if (v := h.get((r + dr, c + d))) is not None), default=None)
+
+
 def test_classes_and_reasons_agree(spark):
     cells = grid(spark, 14, 14, lambda r, c: None if r == 3 else 100.0 + (0.3 * c if c > 8 else 0), lambda r, c: 100.0 + (0.3 * c if c > 8 else 0) + (5 if (r, c) == (8, 3) else 0))
     got = classify.classify(terrain.analyze(cells, profiles.Aircraft()), profiles.Aircraft(), profiles.Mission()).collect()
