@@ -1,10 +1,9 @@
-"""Near-duplicate vectors by NN-descent (operator 3).
+"""Near-duplicate vectors by exact comparison in blocks (operator 3).
 
-Every distinct vector keeps a list of its nearest known neighbours. The lists start from neighbours in the order
-of random sign codes and are refined by comparing neighbours of neighbours, longer lists being kept where a list
-is full of links. Links at the threshold make components; a bounded sample is compared with all vectors to audit
-them, and more sign codes are tried where links between components are found missing. As all links of a vector
-lie in its component, an exact count follows there, in blocks of bounded size, without listing the pairs.
+The distinct vectors of a label are cut into blocks, and each pair of blocks is a unit of work of its own, so every
+pair of vectors that may link is compared once. A unit gives back how many vectors each of its vectors is linked
+with and a spanning forest of its links, so that its output grows with its rows and not with its links; the
+forests together have the same components as the links.
 """
 
 from __future__ import annotations
@@ -13,26 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsift.llm.common import Shelf, running_total, table
 from gridsift.llm.graph import components
 
 THRESHOLD = 0.98
-#: Length of a neighbour list at first and at most, refinements, sign codes for the start and rows compared along them.
-NEIGHBOURS, MOST, ROUNDS, CODES, ALONG = 8, 32, 3, 8, 3
-BITS = 48
-#: Vectors in the audit, the share of their links that must lie within components, and passes at most.
-AUDIT, RECALL, PASSES = 256, 0.995, 4
-BLOCK = 256
-
-
-def _unit(column: pa.Array) -> list[np.ndarray]:
-    """Rows of unit length; rows may differ in length."""
-    ends = np.asarray(column.offsets)
-    flat = np.asarray(column.values.to_numpy(zero_copy_only=False), np.float64)
-    return [v / np.linalg.norm(v) for v in (flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))]
+#: A label has a block for each BLOCK distinct vectors up to SPLIT, then as many as keep a block within HELD bytes.
+BLOCK, SPLIT, HELD = 1024, 4, 1 << 26
+#: Similarities that are held at a time.
+AT_ONCE = 1 << 22
 
 
 def classes(vectors: DataFrame, shelf: Shelf) -> DataFrame:
@@ -46,186 +36,100 @@ def classes(vectors: DataFrame, shelf: Shelf) -> DataFrame:
     return shelf.put("classes", found.select(F.monotonically_increasing_id().alias("id"), "label", F.size("vec").alias("dim"), "vec", "scaled", "copies", "first"))
 
 
-def _first_lists(found: DataFrame, codes: int, seed: int) -> DataFrame:
-    """u, v, sim for vectors that are close in the order of one of the sign codes."""
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            rows = _unit(batch.column("scaled"))
-            values = []
-            for t in range(codes):
-                code = np.zeros(len(rows), np.int64)
-                for i, v in enumerate(rows):
-                    if len(v) not in planes:
-                        planes[len(v)] = np.random.default_rng([seed, len(v)]).normal(size=(codes, BITS, len(v)))
-                if rows and len({len(v) for v in rows}) == 1:
-                    signs = np.stack(rows) @ planes[len(rows[0])][t].T > 0
-                    code = signs.astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                else:
-                    code = np.array([int((planes[len(v)][t] @ v > 0).astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))) for v in rows], np.int64)
-                values.append(code)
-            n = len(rows)
-            for t in range(codes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t), pa.int32()), batch.column("label"), batch.column("dim"), pa.array(values[t], pa.int64()), batch.column("id"), batch.column("scaled")], ["t", "label", "dim", "code", "id", "scaled"])
-
-    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("t", "label", "dim")), strict=True))
-            rows = [*kept, *zip(keys, batch.column("id").to_pylist(), _unit(batch.column("scaled")), strict=True)]
-            u, v, s = [], [], []
-            for i in range(len(kept), len(rows)):
-                for j in range(max(0, i - ALONG), i):
-                    if rows[i][0] == rows[j][0]:
-                        u.append(rows[j][1])
-                        v.append(rows[i][1])
-                        s.append(float(rows[i][2] @ rows[j][2]))
-            kept = rows[-ALONG:]
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["u", "v", "sim"])
-
-    label = found.schema["label"].dataType.simpleString()
-    order = ["t", "label", "dim", "code", "id"]
-    return found.select("label", "dim", "id", "scaled").mapInArrow(coded, f"t int, label {label}, dim int, code long, id long, scaled array<double>").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(along, "u long, v long, sim double")
-
-
-def _lists(pairs: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """u, v, sim, k: the nearest k neighbours of each u, both ends of pairs(u, v, sim) taken; sizes(u, k) says k where it differs."""
-    both = pairs.select("u", "v", "sim").union(pairs.select("v", "u", "sim")).groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    kept = both.withColumn("place", place).filter(F.col("place") <= MOST)
-    kept = kept.join(sizes, "u", "left").withColumn("k", F.coalesce("k", F.lit(NEIGHBOURS))) if sizes is not None else kept.withColumn("k", F.lit(NEIGHBOURS))
-    return kept.filter("place <= k").drop("place")
-
-
-def _local_pairs(members: DataFrame) -> DataFrame:
-    """u, v, sim of the pairs among the neighbours of each owner that would enter either's list. members: owner, id, scaled, least."""
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        owner = None
-
-        def pairs(out: tuple[list, list, list]) -> None:
-            if len(kept) > 1:
-                x = np.stack([r[1] for r in kept])
-                ids, least = np.array([r[0] for r in kept]), np.array([r[2] for r in kept])
-                sims = x @ x.T
-                i, j = np.nonzero(np.triu(sims > np.minimum(least[:, None], least[None, :]), 1))
-                for place, values in enumerate((ids[i], ids[j], sims[i, j])):
-                    out[place].append(values)
-
-        def flush(out: tuple[list, list, list]) -> pa.RecordBatch:
-            kinds = (np.int64, np.int64, np.float64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *c]).astype(k)) for c, k in zip(out, kinds, strict=True)], ["u", "v", "sim"])
-
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for o, *row in zip(batch.column("owner").to_pylist(), batch.column("id").to_pylist(), _unit(batch.column("scaled")), batch.column("least").to_pylist(), strict=True):
-                if o != owner:
-                    pairs(out)
-                    kept, owner = [], o
-                kept.append(tuple(row))
-            yield flush(out)
-        out = ([], [], [])
-        pairs(out)
-        yield flush(out)
-
-    return members.repartition("owner").sortWithinPartitions("owner", "id").mapInArrow(joined, "u long, v long, sim double")
-
-
-def neighbour_lists(found: DataFrame, shelf: Shelf, threshold: float, seed: int, before: DataFrame | None) -> DataFrame:
-    """u, v, sim, k after the descent; before: lists of an earlier pass that are kept."""
-    start = _first_lists(found, CODES, seed)
-    if before is not None:
-        start = start.unionByName(before.select("u", "v", "sim"))
-    lists = shelf.put("lists", _lists(start, None))
-    vectors = found.select("id", "scaled")
-    for _ in range(ROUNDS):
-        per = lists.groupBy("u").agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
-        # a full list with nothing but links: keep a longer one
-        sizes = per.select("u", F.when((F.col("n") >= F.col("k")) & (F.col("low") >= threshold), F.least(F.col("k") * 2, F.lit(MOST))).otherwise(F.col("k")).alias("k"), F.when((F.col("n") >= F.col("k")) & (F.col("low") < threshold), F.col("low")).otherwise(F.lit(-1.0)).alias("least"))
-        sizes = shelf.put("sizes", sizes)
-        around = lists.select(F.col("u").alias("owner"), F.col("v").alias("id"), "sim").union(lists.select("v", "u", "sim")).distinct()
-        place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("sim"), "id"))
-        around = around.withColumn("place", place).filter(F.col("place") <= 2 * NEIGHBOURS).select("owner", "id")
-        members = around.join(vectors, "id").join(sizes.select(F.col("u").alias("id"), "least"), "id")
-        new = shelf.put("new", _local_pairs(members))
-        lists = shelf.put("lists", _lists(new.unionByName(lists.select("u", "v", "sim")), sizes.select("u", "k")))
-    shelf.drop("sizes", "new")
-    return lists
-
-
-def audit(found: DataFrame, roots: DataFrame, threshold: float, size: int = AUDIT) -> tuple[float, DataFrame]:
-    """Share of the links of a bounded sample that lie within components, and the links (a, b) that do not."""
-    sample = found.orderBy(F.xxhash64("id"), "id").limit(size).select("id", "label", "dim", "scaled").collect()
-    own = [(r["id"], (r["label"], r["dim"]), np.array(r["scaled"]) / np.linalg.norm(r["scaled"])) for r in sample]
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_key: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        for key in {k for _, k, _ in own}:
-            by_key[key] = np.array([i for i, k, _ in own if k == key]), np.stack([v for _, k, v in own if k == key])
-        for batch in batches:
-            a, b = [], []
-            for i, label, dim, v in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), batch.column("dim").to_pylist(), _unit(batch.column("scaled")), strict=True):
-                if (label, dim) in by_key:
-                    ids, x = by_key[label, dim]
-                    near = ids[(x @ v >= threshold) & (ids != i)]
-                    a += near.tolist()
-                    b += [i] * len(near)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    links = found.select("id", "label", "dim", "scaled").mapInArrow(compared, "a long, b long")
-    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    placed = links.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumn("within", F.coalesce(F.col("a_root") == F.col("b_root"), F.lit(False)))
-    row = placed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("within").cast("long")).alias("found")).first()
-    return (row["found"] / row["n"] if row["n"] else 1.0), placed.filter("not within").select("a", "b")
-
-
-def count_links(found: DataFrame, roots: DataFrame, shelf: Shelf, threshold: float) -> DataFrame:
-    """id, others: for each class in a component, how many vectors of other classes of the component are linked with it.
-
-    A component is cut into blocks of BLOCK classes, and each pair of blocks is a unit of work of its own.
+def _forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The roots once the links (a, b) are added, and those of them that joined two trees."""
+    used: list[tuple[int, int]] = []
+    while True:
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return root, used
+        ra, rb = root[a], root[b]
+        some = np.union1d(np.unique(ra, return_index=True)[1], np.unique(rb, return_index=True)[1])
+        up = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for x, y, i, j in zip(ra[some].tolist(), rb[some].tolist(), a[some].tolist(), b[some].tolist(), strict=True):
+            if (x := top(x)) != (y := top(y)):
+                up[max(x, y)] = min(x, y)
+                used.append((i, j))
+        moved = np.arange(len(root))
+        moved[list(up)] = [top(x) for x in list(up)]
+        root = moved[root]
+
+
+def _linked(x: np.ndarray, copies: np.ndarray, ids: np.ndarray, held: int, threshold: float) -> pa.RecordBatch:
+    """id, other, n for one unit: n counts the links of id (other is null), or other is linked with id in the forest.
+
+    The first `held` rows are one block and are compared with the rest, the other block; without a rest, with each other.
     """
-    placed = found.select("id", "scaled", "copies").join(roots.withColumnRenamed("node", "id"), "id").withColumn("turn", F.xxhash64("id"))
-    placed = running_total(placed.withColumn("part", F.shiftright("turn", 54)), ["root"], [F.col("turn"), F.col("id")], "part", F.lit(1), "rank")
-    placed = shelf.put("placed", placed.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK)).select("id", "root", "scaled", "copies", "block"))
-    blocks = placed.groupBy("root").agg((F.max("block") + 1).alias("blocks"))
-    units = placed.join(blocks, "root").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = units.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "scaled", "copies")
+    n = len(x)
+    counts, root, used = np.zeros(n), np.arange(n), []
+    step = max(1, AT_ONCE // max(1, held))
+    for low in range(held % n, n, step):
+        high = min(n, low + step)
+        first, last = (low, n) if held == n else (0, held)
+        near = x[low:high] @ x[first:last].T >= threshold
+        if held == n:  # each pair once
+            near[:, : high - low] &= np.triu(np.ones((high - low, high - low), bool), 1)
+        a, b = np.nonzero(near)
+        if len(a):
+            a, b = a + low, b + first
+            counts += np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+            root, more = _forest(a, b, root)
+            used += more
+    some = np.flatnonzero(counts)
+    i, j = np.array(used, np.int64).reshape(-1, 2).T
+    other = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[j], pa.int64())])
+    number = pa.concat_arrays([pa.array(counts[some].astype(np.int64)), pa.nulls(len(i), pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[i]]), pa.int64()), other, number], ["id", "other", "n"])
+
+
+def links(found: DataFrame, shelf: Shelf, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """edges(a, b), a spanning forest of all links, and counts(id, others): with how many vectors of other classes each class is linked."""
+    turn = F.xxhash64("id")
+    placed = running_total(found.select("id", "label", "dim", "scaled", "copies", turn.alias("turn"), F.shiftright(turn, 54).alias("part")), ["label", "dim"], [F.col("turn"), F.col("id")], "part", F.lit(1), "rank")
+    placed = shelf.put("placed", placed.select("id", "label", "dim", "scaled", "copies", "rank"))
+    blocks = F.greatest(F.least(F.lit(SPLIT), F.ceil(F.col("n") / BLOCK)), F.ceil(F.col("n") * F.col("dim") * 8 / HELD))
+    groups = shelf.put("groups", found.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select(F.monotonically_increasing_id().alias("g"), "label", "dim", blocks.cast("int").alias("blocks")))
+    units = placed.join(groups, ["label", "dim"]).withColumn("block", (F.col("rank") % F.col("blocks")).cast("int"))
+    units = units.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("g", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "scaled", "copies")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit: tuple | None = None
         kept: list[tuple] = []
-        unit = None
 
-        def linked(ids: list, counts: list) -> None:
-            if not kept:
-                return
-            x, copies, block, own = np.stack([r[1] for r in kept]), np.array([r[2] for r in kept]), np.array([r[3] for r in kept]), np.array([r[0] for r in kept])
-            near = x @ x.T >= threshold
-            np.fill_diagonal(near, False)
-            if unit[1] != unit[2]:
-                near &= block[:, None] != block[None, :]
-            ids.append(own)
-            counts.append(near @ copies)
-
-        def flush(ids: list, counts: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64)) for c in (ids, counts)], ["id", "n"])
+        def flush() -> pa.RecordBatch:
+            x, copies, ids, block = (np.concatenate(c) for c in zip(*kept, strict=True))
+            kept.clear()
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            return _linked(x, copies, ids, int((block == unit[1]).sum()), threshold)
 
         for batch in batches:
-            ids, counts = [], []
-            keys = zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j")), strict=True)
-            for key, *row in zip(keys, batch.column("id").to_pylist(), _unit(batch.column("scaled")), batch.column("copies").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                if key != unit:
-                    linked(ids, counts)
-                    kept, unit = [], key
-                kept.append(tuple(row))
-            yield flush(ids, counts)
-        ids, counts = [], []
-        linked(ids, counts)
-        yield flush(ids, counts)
-
-    parts = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id").mapInArrow(counted, "id long, n long")
-    return parts.groupBy("id").agg(F.sum("n").alias("others"))
+            g, i, j, block, ids, copies = (batch.column(c).to_numpy() for c in ("g", "i", "j", "block", "id", "copies"))
+            vectors = batch.column("scaled")
+            flat, ends = vectors.values.to_numpy(), vectors.offsets.to_numpy()
+            cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                if high == low:
+                    continue
+                if (key := (g[low], i[low], j[low])) != unit:
+                    if kept:
+                        yield flush()
+                    unit = key
+                kept.append((flat[ends[low] : ends[high]].reshape(high - low, -1).copy(), copies[low:high], ids[low:high], block[low:high]))
+        if kept:
+            yield flush()
+
+    dealt = units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "block", "id")
+    out = shelf.put("links", dealt.mapInArrow(compared, "id long, other long, n long"))
+    shelf.drop("placed", "groups")
+    return out.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), out.filter("other is null").groupBy("id").agg(F.sum("n").alias("others"))
 
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,17 +143,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     shelf = Shelf(vectors.sparkSession, "vectors")
     found = classes(vectors, shelf)
-    lists = None
-    missing = None
-    for number in range(PASSES):
-        lists = neighbour_lists(found, shelf, threshold, number + 1, lists)
-        edges = lists.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        roots = components(edges if missing is None else edges.unionByName(missing), shelf, "vectors")
-        recall, lost = audit(found, roots, threshold)
-        if recall >= RECALL:
-            break
-        missing = shelf.put("missing", lost if missing is None else missing.unionByName(lost))
-    counts = count_links(found, roots, shelf, threshold)
+    edges, counts = links(found, shelf, threshold)
+    roots = components(edges, shelf, "vectors")
     linked = found.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(counts, "id").join(least, "root").select("id", "others", "component_id")

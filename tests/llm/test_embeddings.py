@@ -35,3 +35,47 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert embeddings.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def _expected(rows):
+    """vec_id -> (n_links, component_id) of (vec_id, vector) rows of one label, by comparing all."""
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= embeddings.THRESHOLD
+    np.fill_diagonal(near, False)
+    out, left = {}, set(range(len(rows)))
+    while left:
+        seen, todo = set(), [left.pop()]
+        while todo:
+            i = todo.pop()
+            seen.add(i)
+            fresh = set(np.flatnonzero(near[i]).tolist()) & left
+            left -= fresh
+            todo += fresh
+        first = min(rows[i][0] for i in seen)
+        out |= {rows[i][0]: (int(near[i].sum()), first) for i in seen}
+    return out
+
+
+def _near(rng, centre, cosine, n):
+    """n random vectors at that cosine to centre."""
+    unit = centre / np.linalg.norm(centre)
+    other = rng.normal(size=(n, len(centre)))
+    other -= np.outer(other @ unit, unit)
+    return cosine * unit + np.sqrt(1 - cosine * cosine) * other / np.linalg.norm(other, axis=1, keepdims=True)
+
+
+def _check(spark, vectors):
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.link(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == _expected(rows)
+
+
+def test_tight_groups_with_looser_links_between(spark):
+    """Members have more than 32 nearer neighbours than the other group's, and a large group fills the table."""
+    rng = np.random.default_rng(5)
+    parts = [_near(rng, rng.normal(size=64), 0.9985, 1500)]
+    a = rng.normal(size=64)
+    b = _near(rng, a, 0.986, 1)[0]
+    parts += [_near(rng, a, 0.9998, 60), _near(rng, b, 0.9998, 60)]
+    _check(spark, np.concatenate(parts))
