@@ -79,3 +79,12 @@ def test_tight_groups_with_looser_links_between(spark):
     b = _near(rng, a, 0.986, 1)[0]
     parts += [_near(rng, a, 0.9998, 60), _near(rng, b, 0.9998, 60)]
     _check(spark, np.concatenate(parts))
+
+
+def test_single_pairs_beside_a_large_group(spark):
+    """Pairs hold few of all links, so their loss hardly shows in a share of links."""
+    rng = np.random.default_rng(6)
+    parts = [_near(rng, rng.normal(size=64), 0.9985, 1500)]
+    for a in _near(rng, rng.normal(size=64), 0.95, 1000):
+        parts += [a[None], _near(rng, a, 0.981, 1)]
+    _check(spark, np.concatenate(parts))
