@@ -2,8 +2,9 @@
 
 A page becomes a list of text nodes, each with its path of tags from the root. For every path the length of
 its text and its punctuation are added up, smoothed over the paths that are neighbours on the page, fused to
-one score and compared with a threshold. The paths above it vote for the smallest element that holds them;
-its blocks are the result, less what belongs to menus, notices, forms and the like.
+one score and compared with a threshold. If most of the text of the paths above it lies in an article, that is
+the result; else the blocks of these paths are, with those of the element that holds most of them, what lies
+between them and the headings and blocks of like density that adjoin them. What belongs to menus, notices, forms and the like is left out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 header
 CLOSES_P = BLOCK - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "li", "dt", "dd"} | {"nav", "aside", "footer", "form", "fieldset", "menu", "dialog"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+LISTS = frozenset("ul ol dl table thead tbody tfoot".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARIA = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words in class or id that mark what is no part of an article.
 NOT_ARTICLE = frozenset(
@@ -144,8 +147,8 @@ def blocks_of(page: str) -> list[tuple[Node, list[tuple[Node, str]]]]:
     return blocks
 
 
-def content_root(blocks: list[tuple[Node, str, int]]) -> Node | None:
-    """The smallest element that holds most of the text of the paths that score above the threshold."""
+def content_root(blocks: list[tuple[Node, str, int]]) -> tuple[Node | None, set[str], set[str]]:
+    """The smallest element that holds most of the text of the paths that score above the threshold, or its article; these paths; paths with blocks like theirs."""
     text, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for node, words, links in blocks:
         text[node.path] += len(words) - links
@@ -157,6 +160,8 @@ def content_root(blocks: list[tuple[Node, str, int]]) -> Node | None:
     fused = {p: (r * s) ** 0.5 * max(text[p], 0) for p, r, s in zip(order, ratio, smooth, strict=True)}
     limit = sum(fused.values()) / max(1, len(fused)) / 2
     chosen = {p for p, s in fused.items() if s >= limit and s > 0}
+    least = min((r for p, r in zip(order, ratio, strict=True) if p in chosen), default=0) / 2
+    alike = {p for p, r in zip(order, ratio, strict=True) if r >= least}
     held: dict[Node, int] = defaultdict(int)
     total = 0
     for node, words, _ in blocks:
@@ -167,16 +172,18 @@ def content_root(blocks: list[tuple[Node, str, int]]) -> Node | None:
                 held[x] += len(words)
                 x = x.parent
     if not total:
-        return None
+        return None, chosen, alike
     top = max((x for x, n in held.items() if 10 * n > 6 * total), key=lambda x: x.depth)
     if top.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "blockquote", "pre") and top.parent is not None:
         top = top.parent  # one block alone: its neighbours belong to it
+    while top.tag in LISTS and top.parent is not None:
+        top = top.parent  # nor does a list or a table stand alone
     x = top
     while x is not None:  # an article is whole
         if x.tag in ("article", "main"):
-            return x
+            return x, chosen, alike
         x = x.parent
-    return top
+    return top, chosen, alike
 
 
 def main_text(page: str | None) -> str:
@@ -188,20 +195,31 @@ def main_text(page: str | None) -> str:
         words = " ".join(entities.unescape("".join(t for _, t in run)).split())
         if words:
             blocks.append((node, words, sum(len(t.strip()) for n, t in run if n.link)))
-    root = content_root(blocks)
+    root, chosen, alike = content_root(blocks)
     if root is None:
         return ""
-    out = []
-    for node, words, _ in blocks:
+    whole = root.tag in ("article", "main")
+    barred, inside = [], []
+    for node, _, _ in blocks:
         x: Node | None = node
-        while x is not None and x is not root:
-            if x.tag == "header" and root.tag not in ("article", "main"):
-                x = None
-            else:
-                x = x.parent
-        if x is root:
-            out.append(words)
-    return "\n".join(out)
+        header = held = False
+        while x is not None:
+            held = held or x is root
+            header = header or not held and x.tag == "header"
+            x = x.parent
+        barred.append(header and not whole)
+        inside.append(held and not barred[-1])
+    if whole:
+        return "\n".join(words for (_, words, _), here in zip(blocks, inside, strict=True) if here)
+    taken = [i for i, (node, _, _) in enumerate(blocks) if not barred[i] and (inside[i] or node.path in chosen)]
+    if not taken:
+        return ""
+    low, high = taken[0], taken[-1]
+    while low and not barred[low - 1] and (blocks[low - 1][0].tag in HEADINGS or blocks[low - 1][0].path in alike):
+        low -= 1
+    while high + 1 < len(blocks) and not barred[high + 1] and blocks[high + 1][0].path in alike:
+        high += 1
+    return "\n".join(words for i, (_, words, _) in enumerate(blocks) if low <= i <= high and not barred[i])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,3 +28,20 @@ def test_table(spark):
     got = html.extract(df).collect()
     assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(1, len(html.main_text(PAGE)))] * 2 + [(2, 0)]
     assert html.extract(df.limit(0)).count() == 0
+
+
+def paragraphs(name, n, words=25):
+    return [" ".join(f"{name}{i}w{k}" for k in range(words)) + ", end." for i in range(n)]
+
+
+def test_split_articles_and_long_lists_without_article():
+    p = lambda texts: "".join(f"<p>{x}</p>" for x in texts)
+    nav, foot = '<div class="nav"><a href="/">Home, sweet home, all pages.</a></div>', '<div class="footer"><p>All rights, of all kinds, reserved by all of us.</p></div>'
+    a, b, items = paragraphs("a", 13), paragraphs("b", 7), paragraphs("item", 14)
+    assert html.main_text(f"<body>{nav}<div>{p(a)}</div><div>{p(b)}</div>{foot}").split("\n") == [*a, *b]
+    assert html.main_text(f"<body>{nav}<section>{p(a)}</section><div class='ad'>{p(b)}</div><h2>Next</h2><section>{p(b)}</section>{foot}").split("\n") == [*a, "Next", *b]
+    assert html.main_text(f"<body>{nav}<h1>Title</h1><div><p>{a[0]}</p></div><div><div>{p(b)}</div></div>{foot}").split("\n") == ["Title", a[0], *b]
+    for open_list, close_list, tag in (("<ul>", "</ul>", "li"), ("<ol>", "</ol>", "li"), ("<table><tbody>", "</tbody></table>", "td")):
+        row = lambda x: f"<{tag}>{x}</{tag}>" if tag == "li" else f"<tr><td>{x}</td></tr>"  # noqa: B023, E731
+        page = f"<body>{nav}<div><p>Short.</p>{p(b[:6])}{open_list}{''.join(map(row, items))}{close_list}</div>{foot}"
+        assert html.main_text(page).split("\n") == ["Short.", *b[:6], *items]
