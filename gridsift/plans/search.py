@@ -71,6 +71,7 @@ QUERIES = {
     "utm_forward": lambda s, d: utm(s, d).select("id", "zone", "band", F.round("east", 3).alias("east"), F.round("north", 3).alias("north")),
     "utm_inverse": lambda s, d: inverse(s, d).select("id", F.round("lat2", 7).alias("lat2"), F.round("lon2", 7).alias("lon2")),
     "mgrs_encode": lambda s, d: utm(s, d).select("id", F.expr(_MGRS).alias("mgrs")),
+    "mgrs_decode": lambda s, d: utm(s, d).select("id", text.mgrs_decode(F.expr(_MGRS)).alias("p")).select("id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon")),
     "utm_epsg": lambda s, d: bind(s, d, "positions").select("id", F.expr(g.epsg("lat", "lon", "id % 2 = 0")).alias("epsg")).select("id", "epsg", F.expr(g.utm_of_epsg("epsg")).alias("utm")),
     "metres_per_degree": lambda s, d: bind(s, d, "positions").select("id", F.round(F.expr(_LON_M), 3).alias("lon_m"), F.round(F.expr(_LAT_M), 3).alias("lat_m"), F.round(F.expr(f"sqrt(0.0001 * {_LON_M} * 0.0001 * {_LAT_M})"), 3).alias("cell_m")),
     "compass_points": lambda s, d: bind(s, d, "positions").select("id", F.expr(g.compass(_BEARING)).alias("compass16"), F.expr(g.compass(_BEARING, 8)).alias("compass8")),

@@ -53,3 +53,26 @@ def test_parsing(spark):
     records = q["read_dof"](spark, DIR).collect()
     assert [(round(r["height_m"], 1), r["assumed"]) for r in records] == [(152.4, False), (30.0, True)]
     assert [(r["name"], r["assumed"]) for r in q["read_csv_obstacles"](spark, DIR).collect()] == [("mast", False), ("pole", True)]
+
+
+def test_grid_references(spark):
+    """Encoded positions come back within a metre square, on all bands and zones; what is no reference has no kind."""
+    from gridsift.functions import geodesy as g
+    from gridsift.functions import text
+    from pyspark.sql import functions as F
+
+    places = [(lat + 0.37, lon + 0.21) for lat in range(-80, 84, 3) for lon in range(-180, 180, 11)]
+    rows = spark.createDataFrame(places, "lat double, lon double").withColumn("zone", F.expr(g.zone("lat", "lon"))).withColumn("band", F.expr(g.band("lat")))
+    east, north = g.to_utm("lat", "lon", "zone")
+    rows = rows.withColumn("east", F.expr(east)).withColumn("north", F.expr(north)).withColumn("txt", F.expr(g.mgrs("zone", "band", "east", "north")))
+    got = rows.select("*", text.parse_position(F.col("txt")).alias("p")).collect()
+    assert len(got) == len(places)
+    for r in got:
+        assert r["p"]["kind"] == "MGRS", r
+        metres = math.hypot((r["p"]["lat"] - r["lat"]) * 111320, (r["p"]["lon"] - r["lon"]) * 111320 * math.cos(math.radians(r["lat"])))
+        assert metres < 1.2, r
+    texts = ["18T VR 45906 30941", "18tvr4590630941", "18T VR 4590 3094", "18T VR 45 30", "18T VR", "61T VR 45906 30941", "18T AR 45906 30941", "18T VR 123", "18T VR 123456 123456", None, "45.4, -75.7"]
+    kinds = [r["p"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, txt string").orderBy("i").select(text.parse_position(F.col("txt")).alias("p")).collect()]
+    assert [k["kind"] for k in kinds] == ["MGRS"] * 5 + [None] * 5 + ["LATLON"]
+    assert all(k["lat"] is None and k["lon"] is None for k in kinds if k["kind"] is None)
+    assert all(k["lat"] == pytest.approx(45.4, abs=0.5) and k["lon"] == pytest.approx(-75.7, abs=0.7) for k in kinds[:5])
