@@ -60,6 +60,13 @@ def blocks(s, d):
     return overview.blocks(classes(s, d), overview.block_px(1.0, 20.0), 6.0)
 
 
+def coverage(s, d):
+    """Cells in each tile of 40 rows. The plan is as high as the grid, to whole tiles, so that r div 40 tells a cell's row of tiles."""
+    rows = (cells(s, d).agg(F.max("r").alias("r")).first()["r"] or 0) // 40 * 40 + 40
+    inside = F.expr("r div 40 = r0 div 40 and c >= c0 and c < c1")
+    return cells(s, d).join(planning.tiles(s, rows, 100, 40), inside).groupBy("index").agg(F.count(F.lit(1)).alias("cells"))
+
+
 def aircraft_table(s):
     small = profiles.Aircraft()
     from dataclasses import replace
@@ -87,7 +94,7 @@ QUERIES = {
     "overview_candidates": lambda s, d: overview.attach(blocks(s, d).select("br", "bc"), rated(s, d), 20).select("br", "bc", "sites", "best_rating"),
     "overview_lattice": lambda s, d: overview.lattice(s, 150, 100, 40),
     "plan_tiles": lambda s, d: planning.tiles(s, 151, 97, 40),
-    "tile_coverage": lambda s, d: cells(s, d).join(F.broadcast(planning.tiles(s, 15000, 100, 40)), F.expr("r >= r0 and r < r1 and c >= c0 and c < c1")).groupBy("index").agg(F.count(F.lit(1)).alias("cells")),
+    "tile_coverage": lambda s, d: coverage(s, d),
     "resume_antijoin": lambda s, d: planning.unfinished(planning.tiles(s, 151, 97, 40), planning.tiles(s, 151, 97, 40).filter("index % 3 = 0")),
     "runtime_estimate": lambda s, d: planning.runtime(cells(s, d).agg(F.count(F.lit(1)).alias("cells"))),
     "dsm_dtm_p05": lambda s, d: planning.surface_check(cells(s, d)).select("sampled", F.round("p05", 4).alias("p05"), F.round("below", 4).alias("below"), "suspicious"),

@@ -76,3 +76,14 @@ def test_grid_references(spark):
     assert [k["kind"] for k in kinds] == ["MGRS"] * 5 + [None] * 5 + ["LATLON"]
     assert all(k["lat"] is None and k["lon"] is None for k in kinds if k["kind"] is None)
     assert all(k["lat"] == pytest.approx(45.4, abs=0.5) and k["lon"] == pytest.approx(-75.7, abs=0.7) for k in kinds[:5])
+
+
+def test_tiles_reach_the_last_row(spark, monkeypatch):
+    """The plan follows the grid's height; the SQL ends at row 15000, where its own plan of tiles does."""
+    from gridsift.plans import search
+    from pyspark.sql import functions as F
+
+    tall = spark.range(0, 15130).select(F.col("id").alias("r"), F.lit(99).cast("long").alias("c"))
+    monkeypatch.setattr(search, "cells", lambda s, d: tall)
+    got = {r["index"]: r["cells"] for r in search.QUERIES["tile_coverage"](spark, DIR).collect()}
+    assert sum(got.values()) == 15130 and got[375 * 3] == 40 and got[379 * 3] == 10
