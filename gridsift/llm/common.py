@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir; where that is unset, a temporary one, if all is one machine."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="gridsift-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -47,20 +49,28 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("_row"), *row_keys())
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of _row (see with_row), maps by their sorted entries."""
+    whole = lambda f: F.array_sort(F.map_entries(F.col("_row").getField(f.name))) if f.dataType.typeName() == "map" else F.col("_row").getField(f.name)
+    return F.xxhash64(*map(whole, docs.schema.fields))
+
+
 def attach(docs: DataFrame, decided: DataFrame, shelf: Shelf) -> DataFrame:
     """_row (see with_row) and the columns of decided, which has _doc and _th and at most as many rows of each as docs has.
 
-    Rows that are equal in both are paired one to one; rows of docs without a partner go.
+    Rows that are equal in both are paired one to one, in the order of a hash of all their columns, so that reruns
+    agree; rows of docs without a partner go.
     """
     key = ["_doc", "_th"]
     keyed = with_row(docs)
     repeated = shelf.put("repeated", keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
     if repeated.isEmpty():
         return keyed.join(decided, key).drop(*key)
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
-    numbered = lambda df: df.join(repeated, key, "left_semi").withColumn("_turn", turn)
+    numbered = lambda df, order: df.join(repeated, key, "left_semi").withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     once = keyed.join(repeated, key, "left_anti").join(decided, key)
-    return once.unionByName(numbered(keyed).join(numbered(decided), [*key, "_turn"]).drop("_turn")).drop(*key)
+    others = [c for c in decided.columns if c not in key]
+    again = numbered(keyed, [row_hash(docs)]).join(numbered(decided, others or [F.lit(1)]), [*key, "_turn"])
+    return once.unionByName(again.drop("_turn")).drop(*key)
 
 
 class Shelf:
