@@ -1,8 +1,9 @@
 """Removal of repeated runs of lines by a suffix array over line numbers (operator 1, DataFrame functions only).
 
 Lines get numbers, documents become sequences of them, and distributed prefix doubling ranks all suffixes by
-their first 1, 2, 4 ... lines: the rank of twice as many lines is that of a pair of ranks. Suffixes with equal
-rank are an interval of the suffix array whose longest common prefix is at least that long. A run of m lines is
+their first 1, 2, 4 ... lines: the rank of twice as many lines is that of a pair of ranks. A rank is a place
+in the suffix array: a pair's is that of its first half, plus the suffixes of that interval whose second half is less.
+Suffixes with equal rank are an interval of the suffix array whose longest common prefix is at least that long. A run of m lines is
 covered by two runs of 2**j <= m lines, so the pair of their ranks tells whether it repeats.
 
 A line goes if it lies in a run of at least min_words words that has an earlier copy. For that it is enough to
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import WORD, Shelf, running_total, table, with_row
+from gridsift.llm.common import WORD, Shelf, row_hash, running_total, table, with_row
 
 MIN_WORDS = 50
 BUCKETS = 1024
@@ -27,11 +28,14 @@ def _doc() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
 
-def _ranked(rows: DataFrame, keys: list[str], bucket: Column, shelf: Shelf, name: str) -> DataFrame:
-    """keys and rank: the rows with smaller keys, for keys that several rows share. bucket must be monotone in the keys' order."""
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("all", F.lit(0)).withColumn("bucket", bucket)
-    groups = shelf.put(name, groups)
-    return running_total(groups, ["all"], [F.col(k) for k in keys], "bucket", F.col("n"), "upto").select(*keys, (F.col("upto") - F.col("n")).alias("rank"))
+def _ranked(groups: DataFrame, within: list[str], order: list[str], bucket: Column) -> DataFrame:
+    """within, order and rank: how many rows of groups(within, order, n) with the same `within` come before, the buckets' ranges one after the other."""
+    return running_total(groups.withColumn("bucket", bucket), within, [F.col(c) for c in order], "bucket", F.col("n"), "upto").withColumn("rank", F.col("upto") - F.col("n")).drop("n", "upto")
+
+
+def _shared(rows: DataFrame, keys: list[str], shelf: Shelf, name: str) -> DataFrame:
+    """keys and n: the values that n > 1 rows share."""
+    return shelf.put(name, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -47,7 +51,8 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, min_words: int, shelf: Shelf) -> DataFrame:
     """doc, th, start, end: the lines to delete, as ranges of places among all lines, for each distinct (doc_id, text)."""
     lines = shelf.put("lines", numbered_lines(docs.filter("text is not null")).dropDuplicates([*DOC, "n"]))
-    ranks = _ranked(lines, ["a", "b"], F.shiftright("a", 54), shelf, "names")
+    names = _shared(lines, ["a", "b"], shelf, "names").withColumn("all", F.lit(0))
+    ranks = _ranked(names, ["all"], ["a", "b"], F.shiftright("a", 54)).drop("all")
     kept = lines.join(ranks.hint("merge"), ["a", "b"]).withColumnRenamed("rank", "r0").drop("a", "b")
     by_doc = Window.partitionBy(*DOC).orderBy("n")
     kept = kept.withColumn("seg", F.col("n") - F.row_number().over(by_doc))
@@ -66,8 +71,11 @@ def repeated_ranges(docs: DataFrame, min_words: int, shelf: Shelf) -> DataFrame:
     for j in range(levels):
         twice = kept.withColumn("next", F.lead(f"r{j}", 1 << j).over(seq))
         twice = shelf.put("pairs", twice)
-        pairs = _ranked(twice.filter(F.col(f"r{j}").isNotNull() & F.col("next").isNotNull()), [f"r{j}", "next"], (F.col(f"r{j}") * BUCKETS / F.lit(size + 1)).cast("int"), shelf, "pair-ranks")
-        kept = twice.join(pairs.withColumnRenamed("rank", f"r{j + 1}"), [f"r{j}", "next"], "left").drop("next")
+        # suffixes that share 2**j lines are an interval of the suffix array that starts at their rank; what follows orders them in it
+        pairs = _shared(twice.filter(F.col(f"r{j}").isNotNull() & F.col("next").isNotNull()), [f"r{j}", "next"], shelf, "pair-ranks")
+        pairs = _ranked(pairs, [f"r{j}"], ["next"], (F.col("next") * BUCKETS / F.lit(size + 1)).cast("int"))
+        pairs = pairs.select(f"r{j}", "next", (F.col(f"r{j}") + F.col("rank")).alias(f"r{j + 1}"))
+        kept = twice.join(pairs, [f"r{j}", "next"], "left").drop("next")
         kept = shelf.put("ranked", kept)
     if levels == 0:
         kept = shelf.put("ranked", kept)
@@ -110,7 +118,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out = keyed.join(per_doc.hint("merge"), key, "left")  # never broadcast: it grows with the corpus
     if not repeated.isEmpty():
         again, once = out.join(repeated, key, "left_semi"), out.join(repeated, key, "left_anti")
-        n = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+        n = F.row_number().over(Window.partitionBy(*key).orderBy(row_hash(docs)))
         whole = F.array(F.struct(F.lit(0).alias("start"), (F.size(F.split(text, "\n")) - 1).alias("end")))
         again = again.withColumn("_n", n).withColumn("gone", F.when((F.col("_n") > 1) & (F.regexp_count(text, F.lit(WORD)) >= min_words), whole).otherwise(F.col("gone"))).drop("_n")
         out = once.unionByName(again)
