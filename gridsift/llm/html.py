@@ -1,10 +1,11 @@
 """Main text of web pages by tag-path ratios (operator 2).
 
-A page becomes a list of text nodes, each with its path of tags from the root. For every path the length of
-its text and its punctuation are added up, smoothed over the paths that are neighbours on the page, fused to
-one score and compared with a threshold. If most of the text of the paths above it lies in an article, that is
-the result; else the blocks of these paths are, with those of the element that holds most of them, what lies
-between them and the headings and blocks of like density that adjoin them. What belongs to menus, notices, forms and the like is left out.
+A page becomes blocks of text, each with its path of tags from the root. For every path the length of its text and its
+punctuation are added up as ratios to its blocks, lowered by the share of link text, smoothed over the paths that are
+neighbours on the page, fused to one score, weighted by what tags, class and id say, and compared with a threshold. Paths
+above it are content. They lie in an article or a range of the page, where other paths are content too unless they
+are menus (short blocks of links) or are marked as something else; headings and like blocks that adjoin belong to it.
+Elements that by their own name or role are never text of an article (nav, aside, form, script ...) are left out.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 header
 CLOSES_P = BLOCK - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "li", "dt", "dd"} | {"nav", "aside", "footer", "form", "fieldset", "menu", "dialog"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-LISTS = frozenset("ul ol dl table thead tbody tfoot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARIA = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in class or id that mark what is no part of an article.
+#: Words in class or id that speak against a part of an article; header ones do not in names such as post-header.
+HEADER_WORDS, PAGE_WORDS = frozenset("header banner masthead".split()), frozenset("site page top main global nav".split())
 NOT_ARTICLE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored nav navbar navigation menu menubar topnav breadcrumb breadcrumbs sidebar sidenav aside rail widget widgets "
     "footer foot colophon masthead header topbar cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login popup modal overlay comment comments commentlist respond disqus reply replies discussion "
@@ -42,36 +43,55 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
 MARKS = re.compile(r"(?:class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，،]")
+#: Elements that hold text rather than parts of a page.
+TEXTUAL = HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption span a b i em strong".split())
+#: Share of a score that is left where class or id speak against a part, by how clearly they do: not, as part of a name on a textual element, else.
+LEFT = (1.0, 0.5, 1 / 32)
+#: A path through an article or main element scores so many times more.
+ARTICLE = 4.0
+#: Paths are content from this share of the mean score of the page's text on; blocks with more link text than this share are menus if they are shorter.
+ENOUGH, LINKS, SHORT = 0.25, 0.5, 60
 
 
-def is_boilerplate(tag: str, attrs: str) -> bool:
+def judged(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element is never text of an article, and how clearly its class and id speak against it (see LEFT)."""
     if tag in SKIP:
-        return True
-    if not attrs or attrs.isspace() or tag in ("html", "body", "article", "main"):
-        return False
+        return True, 0
+    if not attrs or attrs.isspace():
+        return False, 0
+    against = 0
     for m in MARKS.finditer(attrs):
         name, value = m[0].split("=")[0].strip().lower(), m[1] or m[2] or m[3] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or name == "role" and value.lower() in ARIA:
-            return True
-        if name in ("class", "id") and any(x.lower() in NOT_ARTICLE for x in PARTS.findall(value)):
-            return True
-    return False
+            return True, 0
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            for token in value.split():
+                parts = [x.lower() for x in PARTS.findall(token)]
+                found = NOT_ARTICLE.intersection(parts)
+                if len(parts) > 1 and found <= HEADER_WORDS and not PAGE_WORDS.intersection(parts):
+                    continue  # the header of something on the page
+                if found:
+                    against = max(against, 1 if tag in TEXTUAL and len(parts) > 1 else 2)
+    return False, against
 
 
 class Node:
-    __slots__ = ("tag", "parent", "skip", "depth", "path", "link")
+    __slots__ = ("tag", "parent", "skip", "against", "depth", "path", "link", "article")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
+    def __init__(self, tag: str, parent: Node | None, skip: bool, against: int, paths: dict[tuple, int]):
         self.tag, self.parent, self.skip = tag, parent, skip
+        self.against = max(against, parent.against) if parent else against
         self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        self.path = paths.setdefault((parent.path if parent else None, tag, self.against), len(paths))  # a number: paths share their beginnings
         self.link = tag == "a" or parent is not None and parent.link
+        self.article = tag in ("article", "main") or parent is not None and parent.article
 
 
 def blocks_of(page: str) -> list[tuple[Node, list[tuple[Node, str]]]]:
     """The page's blocks in order: the element that makes the block and the text nodes in it."""
-    root = Node("", None, False)
-    here, raw, at = root, "", 0
+    paths: dict[tuple, int] = {}
+    root = Node("", None, False, 0, paths)
+    here, at = root, 0
     blocks: list[tuple[Node, list[tuple[Node, str]]]] = []
     run: list[tuple[Node, str]] = []
 
@@ -136,7 +156,8 @@ def blocks_of(page: str) -> list[tuple[Node, list[tuple[Node, str]]]]:
             leave(x)
         if tag in BLOCK or tag in SKIP:
             end_block()
-        here = Node(tag, here, here.skip or is_boilerplate(tag, m[3] or ""))
+        skip, against = judged(tag, m[3] or "")
+        here = Node(tag, here, here.skip or skip, against, paths)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(page, at)
             at = stop.end() if stop else len(page)
@@ -147,43 +168,56 @@ def blocks_of(page: str) -> list[tuple[Node, list[tuple[Node, str]]]]:
     return blocks
 
 
-def content_root(blocks: list[tuple[Node, str, int]]) -> tuple[Node | None, set[str], set[str]]:
-    """The smallest element that holds most of the text of the paths that score above the threshold, or its article; these paths; paths with blocks like theirs."""
-    text, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for node, words, links in blocks:
-        text[node.path] += len(words) - links
-        marks[node.path] += len(PUNCTUATION.findall(words))
-        count[node.path] += 1
-    order = list(text)  # paths in page order
-    ratio = [text[p] / count[p] * (1 + marks[p] / count[p]) for p in order]
-    smooth = [(2 * r + (ratio[i - 1] if i else r) + (ratio[i + 1] if i + 1 < len(ratio) else r)) / 4 for i, r in enumerate(ratio)]
-    fused = {p: (r * s) ** 0.5 * max(text[p], 0) for p, r, s in zip(order, ratio, smooth, strict=True)}
-    limit = sum(fused.values()) / max(1, len(fused)) / 2
-    chosen = {p for p, s in fused.items() if s >= limit and s > 0}
-    least = min((r for p, r in zip(order, ratio, strict=True) if p in chosen), default=0) / 2
-    alike = {p for p, r in zip(order, ratio, strict=True) if r >= least}
+class Paths:
+    """Sums and decisions for the paths of a page's blocks (node, words, length of link text)."""
+
+    def __init__(self, blocks: list[tuple[Node, str, int]]):
+        chars, links, marks, count = (defaultdict(int) for _ in range(4))
+        against, weight = {}, {}
+        for node, words, linked in blocks:
+            p = node.path
+            chars[p] += len(words)
+            links[p] += min(linked, len(words))
+            marks[p] += len(PUNCTUATION.findall(words))
+            count[p] += 1
+            against[p], weight[p] = node.against, LEFT[node.against] * (ARTICLE if node.article else 1)
+        order = list(chars)  # paths in page order
+        share = {p: links[p] / chars[p] for p in order}
+        ratio = [(chars[p] - links[p]) / count[p] * (1 + marks[p] / count[p]) * (1 - share[p]) for p in order]
+        smooth = [(2 * r + (ratio[i - 1] if i else r) + (ratio[i + 1] if i + 1 < len(ratio) else r)) / 4 for i, r in enumerate(ratio)]
+        fused = {p: (r * s) ** 0.5 * weight[p] for p, r, s in zip(order, ratio, smooth, strict=True)}
+        limit = ENOUGH * sum(fused[p] * chars[p] for p in order) / max(1, sum(chars.values()))
+        self.content = {p for p in order if fused[p] >= limit and fused[p] > 0}
+        least = min((r for p, r in zip(order, ratio, strict=True) if p in self.content), default=0) / 2
+        self.alike = {p for p, r in zip(order, ratio, strict=True) if r >= least}
+        self.menus = {p for p in order if share[p] > LINKS and chars[p] < SHORT * count[p]}
+        self.against = {p for p in order if against[p] == 2 or against[p] == 1 and not marks[p]}
+
+    def fits(self, node: Node) -> bool:
+        """Whether a block in the midst of content belongs to it."""
+        return node.path in self.content or node.path not in self.against and (node.path not in self.menus or node.tag in HEADINGS)
+
+
+def content_root(blocks: list[tuple[Node, str, int]], content: set[int]) -> Node | None:
+    """The smallest element that holds most of the text of the content paths, or the article that it is in."""
     held: dict[Node, int] = defaultdict(int)
     total = 0
     for node, words, _ in blocks:
-        if node.path in chosen:
+        if node.path in content:
             total += len(words)
             x: Node | None = node
             while x is not None:
                 held[x] += len(words)
                 x = x.parent
     if not total:
-        return None, chosen, alike
+        return None
     top = max((x for x, n in held.items() if 10 * n > 6 * total), key=lambda x: x.depth)
-    if top.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "blockquote", "pre") and top.parent is not None:
-        top = top.parent  # one block alone: its neighbours belong to it
-    while top.tag in LISTS and top.parent is not None:
-        top = top.parent  # nor does a list or a table stand alone
     x = top
     while x is not None:  # an article is whole
         if x.tag in ("article", "main"):
-            return x, chosen, alike
+            return x
         x = x.parent
-    return top, chosen, alike
+    return top
 
 
 def main_text(page: str | None) -> str:
@@ -195,31 +229,35 @@ def main_text(page: str | None) -> str:
         words = " ".join(entities.unescape("".join(t for _, t in run)).split())
         if words:
             blocks.append((node, words, sum(len(t.strip()) for n, t in run if n.link)))
-    root, chosen, alike = content_root(blocks)
+    paths = Paths(blocks)
+    root = content_root(blocks, paths.content)
     if root is None:
         return ""
     whole = root.tag in ("article", "main")
-    barred, inside = [], []
+    inside, barred = [], []
     for node, _, _ in blocks:
         x: Node | None = node
-        header = held = False
-        while x is not None:
-            held = held or x is root
-            header = header or not held and x.tag == "header"
+        held = header = False
+        while x is not None and not held:
+            held = x is root
+            header = header or x.tag == "header"
             x = x.parent
-        barred.append(header and not whole)
-        inside.append(held and not barred[-1])
+        inside.append(held)
+        barred.append(header and not whole)  # a page's header; an article may have its own
     if whole:
-        return "\n".join(words for (_, words, _), here in zip(blocks, inside, strict=True) if here)
-    taken = [i for i, (node, _, _) in enumerate(blocks) if not barred[i] and (inside[i] or node.path in chosen)]
-    if not taken:
-        return ""
-    low, high = taken[0], taken[-1]
-    while low and not barred[low - 1] and (blocks[low - 1][0].tag in HEADINGS or blocks[low - 1][0].path in alike):
-        low -= 1
-    while high + 1 < len(blocks) and not barred[high + 1] and blocks[high + 1][0].path in alike:
-        high += 1
-    return "\n".join(words for i, (_, words, _) in enumerate(blocks) if low <= i <= high and not barred[i])
+        taken = [i for i, (node, _, _) in enumerate(blocks) if inside[i] and paths.fits(node)]
+    else:
+        seeds = [i for i, (node, _, _) in enumerate(blocks) if node.path in paths.content and not barred[i]]
+        if not seeds:
+            return ""
+        low, high = seeds[0], seeds[-1]
+        adjoins = lambda i, heading: not barred[i] and paths.fits(blocks[i][0]) and (blocks[i][0].path in paths.alike or heading and blocks[i][0].tag in HEADINGS)
+        while low and adjoins(low - 1, True):
+            low -= 1
+        while high + 1 < len(blocks) and adjoins(high + 1, False):
+            high += 1
+        taken = [i for i in range(low, high + 1) if not barred[i] and paths.fits(blocks[i][0])]
+    return "\n".join(blocks[i][1] for i in taken)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
