@@ -1,8 +1,9 @@
 """Quality rules judged at the level of hosts (operator 5).
 
-Each document is measured and tested against rules. The failures of each rule are added up by host, their
-rates are shrunk towards the mean of all hosts with an empirical beta prior, and a host whose shrunk rate
-passes the rule's limit takes all its documents down.
+Each document is measured and tested against rules. The failures of each rule are added up by host and their rates
+are shrunk towards the mean of all documents with an empirical beta prior. The verdicts go back to the documents: a
+host most of whose documents surely fail a rule loses all of them; at a host whose rate is clearly below the mean a
+failing document has the benefit of the doubt; at all others it goes. The base rules need no verdict.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ from gridsift.llm.common import Shelf, table
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
-#: A host is rejected if the shrunk rate of a rule's failures among its documents is above this.
-HOST_LIMIT = 0.5
+#: A host loses all its documents if the shrunk rate, less so many posterior deviations, is over halfway from the mean to 1.
+SURE = 2.0
+#: A rule counts at a host unless its shrunk rate is below this share of the mean.
+CLEARLY = 0.99
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rule -> SQL condition of failure over the measures.
+#: Rule -> SQL condition of failure over the measures and n_lines, the number of lines that hold a word.
 RULES = {
     "too_short": "n_words < 10",
     "repeats": "100 * n_repeat_words > 20 * n_words",
-    "symbols": "10 * n_symbols > 3 * word_chars",
-    "duplicate_lines": "2 * n_dup_lines > n_words",
+    "symbols": "10 * n_symbols > word_chars",
+    "duplicate_lines": "2 * n_dup_lines > n_lines",
 }
 BASE_RULES = ("too_short", "repeats")
 
@@ -56,28 +59,28 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge)[:n] > 0).sum())
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text; None has no words."""
+def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines of a whole text; None has no words."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     raw = text.encode()
     words = raw.split()  # bytes.split takes exactly the six ASCII white-space characters as space
-    dup = 0
+    dup, n_lines = 0, min(1, len(words))
     if b"\n" in raw:
         lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-        dup = len(lines) - len(set(lines))
-    return len(words), len(text) - (len(raw) - len(raw.translate(None, SPACES))), len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeated_words(words)
+        dup, n_lines = len(lines) - len(set(lines)), len(lines)
+    return len(words), len(text) - (len(raw) - len(raw.translate(None, SPACES))), len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeated_words(words), n_lines
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [measure(x.as_py()) for x in batch.column("text")]
-        columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(MEASURES))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns], ["doc_id", "host", *MEASURES])
+        columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * (len(MEASURES) + 1))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns], ["doc_id", "host", *MEASURES, "n_lines"])
 
 
-def host_rates(measured: DataFrame, rules=RULES, limit: float = HOST_LIMIT) -> DataFrame:
-    """host, n, a shrunk rate per rule and host_kept: one row per host that is not null.
+def host_rates(measured: DataFrame, rules=RULES) -> DataFrame:
+    """host, n, for each rule a shrunk rate and whether it counts, and host_kept: one row per host that is not null.
 
     The prior is Beta(m s, (1 - m) s): m is the mean rate over all documents and s follows from the variance
     of the hosts' rates, less what chance alone gives (at most 1e6, where hosts do not differ).
@@ -88,26 +91,32 @@ def host_rates(measured: DataFrame, rules=RULES, limit: float = HOST_LIMIT) -> D
     spread = hosts.crossJoin(F.broadcast(means)).groupBy("all_n", "hosts", *(f"m_{k}" for k in rules)).agg(*((F.sum(F.col("n") * F.pow(F.col(f"f_{k}") / F.col("n") - F.col(f"m_{k}"), F.lit(2))) / F.col("all_n")).alias(f"v_{k}") for k in rules))
     prior = spread.select(*(x for k in rules for m in [F.col(f"m_{k}")] for x in (m.alias(f"m_{k}"), (F.least(F.lit(1e6), m * (1 - m) / F.greatest(F.lit(1e-12), F.col(f"v_{k}") - m * (1 - m) * F.col("hosts") / F.col("all_n")))).alias(f"s_{k}"))))
     rated = hosts.crossJoin(F.broadcast(prior))
-    rates = [((F.col(f"f_{k}") + F.col(f"m_{k}") * F.col(f"s_{k}")) / (F.col("n") + F.col(f"s_{k}"))).alias(f"rate_{k}") for k in rules]
-    worst = F.greatest(*(F.col(f"rate_{k}") for k in rules))
-    return rated.select("host", "n", *rates).withColumn("host_kept", worst <= limit)
+    out = []
+    for k in rules:
+        m, weight = F.col(f"m_{k}"), F.col("n") + F.col(f"s_{k}")
+        rate = (F.col(f"f_{k}") + m * F.col(f"s_{k}")) / weight
+        out += [rate.alias(f"rate_{k}"), (rate >= CLEARLY * m).alias(f"counts_{k}"), (rate - SURE * F.sqrt(rate * (1 - rate) / (weight + 1)) > (1 + m) / 2).alias(f"bad_{k}")]
+    rated = rated.select("host", "n", *out)
+    return rated.withColumn("host_kept", ~F.greatest(*(F.col(f"bad_{k}") for k in rules))).drop(*(f"bad_{k}" for k in rules))
 
 
-def judge(docs: DataFrame, host: str = "source", rules=RULES, base=BASE_RULES, limit: float = HOST_LIMIT) -> DataFrame:
-    """doc_id, host, the measures, base_failed, host_kept and kept, one row per row of docs.
+def judge(docs: DataFrame, host: str = "source", rules=RULES, base=BASE_RULES) -> DataFrame:
+    """doc_id, host, the measures, n_lines, base_failed, host_kept and kept, one row per row of docs.
 
     docs needs doc_id, text and the host column; others are ignored. Null or empty text: no words, so it fails
-    too_short. Null host: no host verdict, so only the base rules count. Repeated rows are measured and counted
-    each. An empty table gives an empty result.
+    too_short. Null host: no host verdict, so all rules count. Repeated rows are measured and counted each. An
+    empty table gives an empty result.
     """
     spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "quality")
     plain = docs.select("doc_id", F.col(host).alias("host"), "text")
-    schema = f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, host {plain.schema['host'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
+    schema = f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, host {plain.schema['host'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in (*MEASURES, "n_lines"))
     measured = shelf.put("measured", plain.mapInArrow(_measured, schema))
-    verdicts = shelf.put("verdicts", host_rates(measured, rules, limit).select("host", "host_kept"))
+    verdicts = shelf.put("verdicts", host_rates(measured, rules).select("host", "host_kept", *(f"counts_{k}" for k in rules)))
     failed = F.expr(" or ".join(f"({rules[k]})" for k in base))
     out = measured.join(verdicts, "host", "left").withColumn("host_kept", F.coalesce("host_kept", F.lit(True)))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
+    soft = [F.expr(f"({rules[k]})") & F.coalesce(f"counts_{k}", F.lit(True)) for k in rules if k not in base]
+    fine = ~F.greatest(failed, failed, *soft)
+    return out.withColumn("base_failed", failed).withColumn("kept", fine & F.col("host_kept")).drop(*(f"counts_{k}" for k in rules))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +129,10 @@ def _oracle() -> str:
     means = ", ".join(f"sum(f_{k}) / cast(sum(n) as double) as m_{k}" for k in RULES)
     spread = ", ".join(f"sum(n * pow(f_{k} / cast(n as double) - m_{k}, 2)) / all_n as v_{k}" for k in RULES)
     strength = ", ".join(f"m_{k}, least(1e6, m_{k} * (1 - m_{k}) / greatest(1e-12, v_{k} - m_{k} * (1 - m_{k}) * hosts / all_n)) as s_{k}" for k in RULES)
-    worst = ", ".join(f"(f_{k} + m_{k} * s_{k}) / (n + s_{k})" for k in RULES)
+    rates = ", ".join(f"m_{k}, n + s_{k} as w_{k}, (f_{k} + m_{k} * s_{k}) / (n + s_{k}) as r_{k}" for k in RULES)
+    counts = ", ".join(f"r_{k} >= {CLEARLY} * m_{k} as counts_{k}" for k in RULES)
+    bad = " or ".join(f"r_{k} - {SURE} * sqrt(r_{k} * (1 - r_{k}) / (w_{k} + 1)) > (1 + m_{k}) / 2" for k in RULES)
+    soft = " or ".join(f"(({RULES[k]}) and coalesce(counts_{k}, true))" for k in RULES if k not in BASE_RULES)
     ms = ", ".join(f"m_{k}" for k in RULES)
     base = " or ".join(f"({RULES[k]})" for k in BASE_RULES)
     return rf"""
@@ -133,17 +145,18 @@ r as (select *, gram is not null and count(*) over (partition by rid, gram) > 1
 c as (select rid, chars, max(cast(twice as int)) over (partition by rid order by i rows between 4 preceding and current row) as covered from r),
 per_word as (select rid, count(*) as n_words, sum(chars) as word_chars, sum(covered) as n_repeat_words from c group by rid),
 l as (select rid, unnest(string_split(text, chr(10))) as line from d),
-per_line as (select rid, count(*) - count(distinct line) as n_dup_lines from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid),
+per_line as (select rid, count(*) - count(distinct line) as n_dup_lines, count(*) as n_lines from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid),
 m as (select d.doc_id, d.source as host, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars,
-        cast(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
+        cast(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_lines, 0) as n_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
       from d left join per_word using (rid) left join per_line using (rid)),
 hosts as (select host, count(*) as n, {fails} from m where host is not null group by host),
 means as (select sum(n) as all_n, count(*) as hosts, {means} from hosts),
 spread as (select all_n, hosts, {ms}, {spread} from hosts h cross join means group by all_n, hosts, {ms}),
 prior as (select {strength} from spread),
-verdicts as (select host, greatest({worst}) <= {HOST_LIMIT} as host_kept from hosts cross join prior)
+rated as (select host, {rates} from hosts cross join prior),
+verdicts as (select host, not ({bad}) as host_kept, {counts} from rated)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) as base_failed,
-  not ({base}) and coalesce(host_kept, true) as kept
+  not ({base}) and coalesce(host_kept, true) and not ({soft}) as kept
 from m left join verdicts using (host)
 """
 
