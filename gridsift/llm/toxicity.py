@@ -2,9 +2,9 @@
 
 Words are embedded by hashing: the sum of vectors looked up under two hashes of the word and one of its first
 letters, so inflected forms share something. Filters of several widths run over the words of the whole text,
-the maximum of each is kept, and a logistic layer gives the score. It is trained in numpy on the driver, on a
-bounded sample of labelled documents; thresholds are calibrated by language, where the language is itself
-guessed from the text.
+the maximum of each is kept, and a logistic layer gives the score. All weights start at random and are trained
+in numpy on the driver, on a bounded sample of labelled documents; thresholds are calibrated by language, where
+the language is itself guessed from the text.
 """
 
 from __future__ import annotations
@@ -14,20 +14,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsift.llm.common import held_out, table
 
-#: Training takes at most SAMPLE labelled rows, in the order of a hash of doc_id, with texts of at most SAMPLE_CHARS.
-SAMPLE, SAMPLE_CHARS = 6000, 100_000
+#: Training takes at most SAMPLE labelled rows, in the order of a hash of doc_id, as far as they hold SAMPLE_CHARS characters together.
+SAMPLE, SAMPLE_CHARS = 6000, 1 << 26
 SLOTS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 6
-EPOCHS, RATE = 3, 0.02
+#: Rows of label 1 count so many times; embeddings and filters learn at RATE, the other weights at a fifth of it.
+EPOCHS, RATE, POSITIVE = 4, 0.1, 3.0
 PREFIX = 4
 #: A part of the sample is kept from training and used for the thresholds.
 CALIBRATION = 5
 #: Long texts are read in parts of so many words, which overlap by the widest filter.
-STRIDE = 1 << 18
+STRIDE = 1 << 15
+#: Texts are hashed in parts of at most so many bytes; longer words are hashed on their own.
+PART = 1 << 20
+#: A language's threshold counts for its rows of label 1 in the calibration, the one of all languages for so many.
+SHRINK = 20
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _FACTOR = 0x9E3779B97F4A7C15 | 1
@@ -41,26 +47,43 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Slots of the words of a text, all words at once: a polynomial hash by prefix sums, then mixed."""
+    """Slots of the words of a text, many words at once: a polynomial hash by prefix sums, then mixed."""
 
     def __init__(self):
-        self.up, self.down = _powers(_FACTOR, 1), _powers(_INVERSE, 1)
+        self.up, self.down = _powers(_FACTOR, PART + 8), _powers(_INVERSE, PART + 8)
 
     def __call__(self, text: str) -> np.ndarray:
         """Three slots a word, as an array of shape (words, 3)."""
-        raw = np.frombuffer(b" " + text.lower().encode().translate(_LETTERS) + b"     ", np.uint8)
-        if len(raw) > len(self.up):
-            self.up, self.down = _powers(_FACTOR, 2 * len(raw)), _powers(_INVERSE, 2 * len(raw))
+        raw = text.lower().encode().translate(_LETTERS)
+        if len(raw) <= PART:
+            return self._part(raw)
+        parts, at = [], 0
+        while at < len(raw):
+            end = len(raw) if at + PART >= len(raw) else raw.rfind(b" ", at, at + PART)
+            if end > at:
+                parts.append(self._part(raw[at:end]))
+            elif end < 0:  # a word that is longer than a part
+                end = raw.find(b" ", at)
+                end = len(raw) if end < 0 else end
+                whole, head = (np.array([xxhash.xxh64_intdigest(raw[at:x])], np.uint64) for x in (end, at + PREFIX))
+                parts.append(_slots(whole, head))
+            at = end + 1
+        return np.concatenate(parts)
+
+    def _part(self, part: bytes) -> np.ndarray:
+        raw = np.frombuffer(b" " + part + b"     ", np.uint8)
         inside = raw != 32
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         starts, ends = edge[::2], edge[1::2]
         if not len(starts):
             return np.zeros((0, 3), np.int32)
         sums = np.cumsum(raw * self.up[: len(raw)], dtype=np.uint64)
-        whole = (sums[ends - 1] - sums[starts - 1]) * self.down[starts]
         first = np.minimum(starts + PREFIX, ends)
-        head = (sums[first - 1] - sums[starts - 1]) * self.down[starts]
-        return np.stack([_mixed(whole, 1), _mixed(whole, 2), _mixed(head, 3)], axis=1)
+        return _slots(*((sums[x - 1] - sums[starts - 1]) * self.down[starts] for x in (ends, first)))
+
+
+def _slots(whole: np.ndarray, head: np.ndarray) -> np.ndarray:
+    return np.stack([_mixed(whole, 1), _mixed(whole, 2), _mixed(head, 3)], axis=1)
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -123,26 +146,8 @@ def _pooled(sums: np.ndarray, bias: np.ndarray, where: np.ndarray | None = None)
     return out
 
 
-def evidence(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """(3, SLOTS): the signed root of the likelihood ratio that a slot's documents are toxic, within -1 and 1."""
-    n, share = len(slots), float(np.clip(toxic.mean(), 1e-6, 1 - 1e-6))
-    seen, hit = np.zeros((3, SLOTS)), np.zeros((3, SLOTS))
-    for s, y in zip(slots, toxic, strict=True):
-        for t in range(3):
-            own = np.unique(s[:, t])
-            seen[t, own] += 1
-            hit[t, own] += y
-    rate = hit / np.maximum(seen, 1)
-    part = lambda k, p, q: np.where(k > 0, k * np.log(np.maximum(p, 1e-12) / q), 0)
-    ratio = np.maximum(part(hit, rate, share) + part(seen - hit, 1 - rate, 1 - share), 0) if n else seen
-    return np.clip(np.sign(rate - share) * np.sqrt(2 * ratio) / 10, -1, 1) * (seen > 0)
-
-
 def train(slots: list[np.ndarray], toxic: np.ndarray, languages: list[str | None], seed: int = 1) -> Model:
-    """Fit the network by Adagrad on rows that are not for calibration, then the thresholds on the others.
-
-    The first coordinate of the embedding starts from the evidence of each slot; all others start at random.
-    """
+    """Fit the network by Adagrad on rows that are not for calibration, then the thresholds on the others."""
     rng = np.random.default_rng(seed)
     places, nf = _places(), len(WIDTHS) * FILTERS
     names = sorted({x for x in languages if x is not None})
@@ -155,24 +160,15 @@ def train(slots: list[np.ndarray], toxic: np.ndarray, languages: list[str | None
     fit, held = rows[rows % CALIBRATION != 0], rows[rows % CALIBRATION == 0]
     both = len(set(toxic[fit].tolist())) == 2
 
-    E = rng.normal(0, 0.01, (3, SLOTS, DIM))
-    if both:
-        E[:, :, 0] = evidence([slots[i] for i in fit], toxic[fit])
-    E = E.reshape(3 * SLOTS, DIM)
-    W = rng.normal(0, 0.1, (places, DIM, FILTERS))
+    E, W = rng.normal(0, 0.1, (3 * SLOTS, DIM)), rng.normal(0, 0.3, (places, DIM, FILTERS))
     place_of, width_of, within = np.concatenate([np.full(FILTERS, sum(WIDTHS[:k])) for k in range(len(WIDTHS))]), np.repeat(WIDTHS, FILTERS), np.tile(np.arange(FILTERS), len(WIDTHS))
-    for k in range(len(WIDTHS)):
-        W[sum(WIDTHS[:k]) : sum(WIDTHS[: k + 1]), 0, :] = 0.2
-        W[sum(WIDTHS[:k]), 0, :] = 1.0
-    b, v, c = np.full(nf, -0.8), np.full(nf, 8 / nf) + rng.normal(0, 0.02, nf), np.array([-3.0 if both else 0.0])
-    if not both:
-        v[:] = 0
-    sums = {"E": np.full(len(E), 0.1), "W": np.full(W.shape, 0.1), "b": np.full(nf, 0.1), "v": np.full(nf, 0.1), "c": np.full(1, 0.1)}
+    b, v, c = np.zeros(nf), rng.normal(0.5, 0.1, nf) if both else np.zeros(nf), np.array([-1.0 if both else 0.0])
+    sums = {"E": np.full(len(E), 0.01), "W": np.full(W.shape, 0.1), "b": np.full(nf, 0.1), "v": np.full(nf, 0.1), "c": np.full(1, 0.1)}
     base = np.arange(3) * SLOTS
 
-    def go(x: np.ndarray, g: np.ndarray, name: str) -> None:
+    def go(x: np.ndarray, g: np.ndarray, name: str, rate: float = RATE / 5) -> None:
         sums[name] += g * g
-        x -= RATE * g / np.sqrt(sums[name])
+        x -= rate * g / np.sqrt(sums[name])
 
     for _ in range(EPOCHS if both else 0):
         for i in rng.permutation(fit):
@@ -180,7 +176,8 @@ def train(slots: list[np.ndarray], toxic: np.ndarray, languages: list[str | None
             where, words = np.zeros(nf, np.int64), E[s].sum(axis=1)
             h = _pooled((words @ W.transpose(1, 0, 2).reshape(DIM, -1)), b, where) if len(s) else np.zeros(nf)
             err = 1 / (1 + np.exp(-np.clip(h @ v + c[0], -30, 30))) - toxic[i]
-            if abs(err) < 0.02:
+            err *= POSITIVE if toxic[i] else 1.0
+            if abs(err) < 0.01:
                 continue
             on = np.flatnonzero(h > 0)
             g, step = err * v[on], np.zeros_like(W)
@@ -196,7 +193,7 @@ def train(slots: list[np.ndarray], toxic: np.ndarray, languages: list[str | None
             wide = np.zeros(nf)
             wide[on] = g
             go(b, wide, "b")
-            go(W, step, "W")
+            go(W, step, "W", RATE)
             rows_e, back = np.concatenate(rows_e), np.concatenate(back)
             if len(rows_e):
                 np.add.at(sums["E"], rows_e, (back * back).sum(axis=1))
@@ -207,33 +204,38 @@ def train(slots: list[np.ndarray], toxic: np.ndarray, languages: list[str | None
     model = Model(np.concatenate([tables, extra], axis=2).astype(np.float32), b, v, float(c[0]), names, np.zeros(max(1, len(names))))
     scored = [model.logit(slots[i]) for i in held]
     z, said = np.array([x[0] for x in scored]), np.array([x[1] for x in scored], int)
-    everywhere = threshold(z, toxic[held], 0.0)
-    model.thresholds = np.array([threshold(z[said == k], toxic[held][said == k], everywhere) for k in range(max(1, len(names)))])
+    everywhere = threshold(z, toxic[held])
+    for k in range(len(names)):
+        own = z[said == k], toxic[held][said == k]
+        n = int(own[1].sum())
+        model.thresholds[k] = (n * threshold(*own) + SHRINK * everywhere) / (n + SHRINK)
     return model
 
 
-def threshold(z: np.ndarray, toxic: np.ndarray, fallback: float, least: int = 20) -> float:
-    """The middle of the best cuts by F1; fallback where either class has fewer than least rows."""
-    if min((toxic == 1).sum(), (toxic == 0).sum()) < least:
-        return fallback
+def threshold(z: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the best cuts by F1; 0 where a class has no rows."""
+    if len(set(toxic.tolist())) < 2:
+        return 0.0
     order = np.argsort(-z)
     hits = np.cumsum(toxic[order] == 1)
     f1 = 2 * hits / (np.arange(1, len(z) + 1) + hits[-1])
     best = int(f1.argmax())
     low = z[order[best + 1]] if best + 1 < len(z) else z[order[best]] - 1
-    return float(np.clip((z[order[best]] + low) / 2, -3, 3))
+    return float((z[order[best]] + low) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on labelled rows of docs outside the held-out part.
 
-    The sample is bounded: at most sample rows, those with the smallest hashes of doc_id, and no text longer than
-    SAMPLE_CHARS. Rows with null label or text are left out. Where a doc_id has several labels the largest counts.
+    The sample is bounded: at most sample rows, those with the smallest hashes of doc_id, until they hold SAMPLE_CHARS
+    characters. Rows with null label or text are left out. Where a doc_id has several labels the largest counts.
     """
     marks = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(marks), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "lang", "toxic").toArrow()
+    texts = docs.select("doc_id", "text", "lang").filter("text is not null").join(F.broadcast(marks), "doc_id")
+    rows = texts.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id", "text").limit(sample)
+    before = Window.orderBy("turn", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)  # over the sample's rows
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(F.col("before") + F.length("text") <= SAMPLE_CHARS).select("text", "lang", "toxic").toArrow()
     hasher = Hasher()
     return train([hasher(x.as_py()) for x in rows["text"]], np.array(rows["toxic"].to_pylist(), float).reshape(-1), rows["lang"].to_pylist())
 
