@@ -3,7 +3,9 @@
 A fingerprint's Hamming distances to fixed reference fingerprints are its coordinates. Two fingerprints that
 differ in at most k bits have no coordinate that differs by more than k, so pairs are discarded by their
 largest coordinate difference and only survivors are verified. Pairs are not taken from all rows: fingerprints
-that differ in at most 3 of 64 bits agree in at least 3 of 6 fixed parts, so each meets others under 20 keys.
+that differ in at most 3 of 64 bits agree in at least 3 of 6 fixed parts, so each meets others under 20 keys. Under a
+key that many unlike fingerprints share, the first coordinates say which of them meet: each lies in a cell of the
+pivot table, and only cells within k of a fingerprint are looked up.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from gridsift.llm.common import Shelf, attach, table, with_keys
 from gridsift.llm.graph import components
 
 SHINGLE, SEED, RADIUS, PARTS = 3, 42, 3, 6
+#: Coordinates that make the cells of the pivot table; a cell is as wide as the range that is looked up, so that range touches two at most.
+CELLS = 4
 CHUNK = 1 << 16
 
 
@@ -86,13 +90,28 @@ def near(x: Column, y: Column, radius: int = RADIUS) -> Column:
     return F.when(apart > radius, F.lit(False)).otherwise(F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius)
 
 
+def _coordinate(x: Column, i: int) -> Column:
+    return F.shiftright(x["p"], 8 * i).bitwiseAND(F.lit(255))
+
+
+def cell(x: Column, radius: int) -> Column:
+    """The number of x's cell in the pivot table."""
+    return sum((F.floor(_coordinate(x, i) / (2 * radius + 1)) * 256**i for i in range(1, CELLS)), F.floor(_coordinate(x, 0) / (2 * radius + 1)))
+
+
+def cells_within(x: Column, radius: int) -> Column:
+    """The numbers of the cells that hold whatever differs from x by at most radius in the first coordinates."""
+    ends = [[F.floor((_coordinate(x, i) + d) / (2 * radius + 1)) * 256**i for d in (-radius, radius)] for i in range(CELLS)]
+    return F.array_distinct(F.array(*(sum(c[1:], c[0]) for c in itertools.product(*ends))))
+
+
 def link_components(fps: DataFrame, shelf: Shelf, radius: int = RADIUS) -> DataFrame:
     """node, root for the distinct fingerprints fps(fp) that link with others.
 
     Under each key the smallest and the largest fingerprint are compared with every member, and what is found
     is contracted. Then only members outside their key's largest component are compared with members of other
-    components, so the pairs within a group of near copies are never listed, and yet no link between two
-    components is missed.
+    components, those in the cells of the pivot table that are near enough, so the pairs within a group of near copies
+    are never listed, and yet no link between two components is missed.
     """
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in MASKS))).alias("t", "key"))
     groups = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1")
@@ -109,8 +128,8 @@ def link_components(fps: DataFrame, shelf: Shelf, radius: int = RADIUS) -> DataF
     by_root = placed.groupBy("t", "key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_root.groupBy("t", "key").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("t", "key", F.col("main.root").alias("main"))
     mixed = shelf.put("mixed", placed.join(mixed, ["t", "key"]))
-    outside = mixed.filter("root != main").select("t", "key", F.col("x").alias("y"), F.col("root").alias("other"))
-    more = outside.join(mixed, ["t", "key"]).filter((F.col("root") != F.col("other")) & near(F.col("x"), F.col("y"), radius)).select(F.col("root").alias("a"), F.col("other").alias("b"))
+    outside = mixed.filter("root != main").select("t", "key", F.explode(cells_within(F.col("x"), radius)).alias("cell"), F.col("x").alias("y"), F.col("root").alias("other"))
+    more = outside.join(mixed.withColumn("cell", cell(F.col("x"), radius)), ["t", "key", "cell"]).filter((F.col("root") != F.col("other")) & near(F.col("x"), F.col("y"), radius)).select(F.col("root").alias("a"), F.col("other").alias("b"))
     second = components(more, shelf, "far")
     out = shelf.put("roots", first.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(second.join(first.select("node"), "node", "left_anti").select("node", "root")))
     shelf.drop("groups", "members", "placed", "mixed", "near-nodes", "far-nodes")
