@@ -3,7 +3,8 @@
 The pieces are those of a fixed public vocabulary; each language has its own probabilities for them, learned by
 expectation maximisation. A word's probability is the sum over all ways to cut it into pieces, found by the
 forward algorithm; a text's is the product over its words. Pieces never cross words, so words are scored once
-per worker and remembered.
+per worker and remembered. A long run of letters falls into parts at the places that no piece crosses, which
+changes nothing: the sum over its segmentations is the product of its parts' sums.
 """
 
 from __future__ import annotations
@@ -15,21 +16,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsift.llm.common import held_out, table
 
-#: Training takes about SAMPLE texts of each language, none longer than SAMPLE_CHARS characters.
-SAMPLE, SAMPLE_CHARS = 250, 20_000
+#: Training takes SAMPLE texts of each language at most, in the order of a hash of doc_id, as far as they hold SAMPLE_CHARS characters together.
+SAMPLE, SAMPLE_CHARS = 250, 1 << 22
 ROUNDS, SMOOTH = 3, 0.05
 #: Probability of a character that no piece covers, the same in all languages.
 UNKNOWN = 1e-7
-#: Longer runs of letters are scored in parts of so many characters; longer pieces are not used.
-WORD_CHARS, PIECE_CHARS = 32, 10
+#: Runs of more letters are looked through for places that no piece crosses; parts of more are scored one by one.
+SPLIT_CHARS, LONG_CHARS = 32, 4096
+#: Characters looked up at a time.
+AT_ONCE = 1 << 18
 START = "▁"
-#: A worker forgets its words when it knows so many, and scores texts in groups of so many words.
-CACHE_WORDS, GROUP_WORDS = 400_000, 1_000_000
+#: A worker forgets its words when it knows so many or they have so many bytes, and scores texts in groups of so many words.
+CACHE_WORDS, CACHE_BYTES, GROUP_WORDS = 400_000, 1 << 24, 1_000_000
 UNDETERMINED = "und"
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -51,7 +54,7 @@ def vocabulary_pieces(path: str) -> list[str]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    kept = {p for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) for p in [model.id_to_piece(i)] if 0 < len(p) <= PIECE_CHARS and START not in p[1:] and p == p.lower() and all(c.isalpha() for c in p.removeprefix(START))}
+    kept = {p for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) for p in [model.id_to_piece(i)] if p and START not in p[1:] and p == p.lower() and all(c.isalpha() for c in p.removeprefix(START))}
     return sorted(kept)
 
 
@@ -112,48 +115,89 @@ class Batch:
         """Pieces of length k that end at place j of each word that is at least j long."""
         return self.found[k - 1][self.starts[: self.steps[j]] + (j - k)]
 
-    def forward(self, p: np.ndarray) -> list[np.ndarray]:
-        """alpha[j]: probability of the first j characters, all segmentations summed. p has a row per piece, the last for none."""
-        alpha = [np.ones((len(self.sizes), p.shape[1]))]
+    def totals(self, p: np.ndarray) -> np.ndarray:
+        """Log probabilities of the words, all segmentations summed, in the order given. p has a row per piece, the last for none, and a column per language."""
+        window = [np.ones((len(self.sizes), p.shape[1]))]  # for the last places, what leads there, times exp(-scale)
+        scale, out = np.zeros((len(self.sizes), p.shape[1])), np.zeros((len(self.sizes), p.shape[1]))
         for j in range(1, len(self.steps)):
             m = self.steps[j]
             here = np.zeros((m, p.shape[1]))
             for k in range(1, min(j, self.longest) + 1):
                 numbers = self.at(j, k)
                 if k == 1:
-                    here += alpha[j - 1][:m] * np.where(numbers[:, None] < self.n, p[numbers], UNKNOWN)
+                    here += window[-1][:m] * np.where(numbers[:, None] < self.n, p[numbers], UNKNOWN)
                 else:
                     some = np.flatnonzero(numbers < self.n)
                     if len(some):
-                        here[some] += alpha[j - k][some] * p[numbers[some]]
-            alpha.append(here)
-        return alpha
-
-    def totals(self, alpha: list[np.ndarray]) -> np.ndarray:
-        """The words' probabilities, in the order they were given."""
-        out = np.empty_like(alpha[0])
-        for i, (w, n) in enumerate(zip(self.order, self.sizes, strict=True)):
-            out[w] = alpha[n][i]
-        return out
+                        here[some] += window[-k][some] * p[numbers[some]]
+            window = [*window[-self.longest + 1 :], here] if self.longest > 1 else [here]
+            if j % 8 == 0:
+                most = np.max([w[:m] for w in window], axis=0)
+                scale[:m] += np.log(most)
+                window = [w[:m] / most for w in window]
+            done = slice(self.steps[j + 1] if j + 1 < len(self.steps) else 0, m)
+            out[done] = np.log(window[-1][done]) + scale[done]
+        return out[np.argsort(self.order, kind="stable")]
 
     def expected(self, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces for one language; weights are the words' counts in the order given."""
-        alpha, m = self.forward(p), len(self.steps) - 1
-        beta = [np.zeros((self.steps[j], 1)) for j in range(m + 1)]
-        counts = np.zeros(self.n + 1)
-        scale = np.array([weights[w] for w in self.order])[:, None] / np.array([alpha[n][i, 0] for i, n in enumerate(self.sizes)])[:, None]
-        for j in range(m, 0, -1):
-            ends = self.sizes[: self.steps[j]] == j
-            beta[j][ends] = 1.0
+        """Expected counts of the pieces for one language, by the forward and backward algorithm in logs; weights are the words' counts in the order given."""
+        with np.errstate(divide="ignore"):
+            logs, unknown = np.append(np.log(p[: self.n, 0]), -np.inf), np.log(UNKNOWN)
+        m = len(self.steps) - 1
+
+        def chance(j: int, k: int) -> np.ndarray:
+            numbers = self.at(j, k)
+            return np.where(numbers < self.n, logs[numbers], unknown) if k == 1 else logs[numbers]
+
+        def summed(ways: list[np.ndarray]) -> np.ndarray:
+            most = np.max(ways, axis=0)
+            return most + np.log(np.sum([np.exp(w - most) for w in ways], axis=0))
+
+        ahead = [np.zeros(len(self.sizes))]
+        for j in range(1, m + 1):
+            ahead.append(summed([ahead[j - k][: self.steps[j]] + chance(j, k) for k in range(1, min(j, self.longest) + 1)]))
+        behind = [np.zeros(0)] * m + [np.zeros(self.steps[m])]
+        for j in range(m - 1, -1, -1):
+            here = np.zeros(self.steps[j])
+            ways = np.full((min(m - j, self.longest), self.steps[j + 1]), -np.inf)
+            for k in range(1, len(ways) + 1):
+                ways[k - 1, : self.steps[j + k]] = behind[j + k] + chance(j + k, k)
+            here[: self.steps[j + 1]] = summed(list(ways))
+            behind[j] = here
+        total = np.array([ahead[n][i] for i, n in enumerate(self.sizes)])
+        scale, counts = np.array([weights[w] for w in self.order]), np.zeros(self.n + 1)
+        for j in range(1, m + 1):
             for k in range(1, min(j, self.longest) + 1):
-                numbers = self.at(j, k)
-                chance = np.where(numbers[:, None] < self.n, p[numbers], UNKNOWN if k == 1 else 0.0)
-                flow = beta[j] * chance
-                beta[j - k][: self.steps[j]] += flow
-                counts += np.bincount(numbers, (alpha[j - k][: self.steps[j]] * flow * scale[: self.steps[j]])[:, 0], minlength=self.n + 1)
+                m_j = self.steps[j]
+                share = np.exp(ahead[j - k][:m_j] + chance(j, k) + behind[j] - total[:m_j]) * scale[:m_j]
+                counts += np.bincount(self.at(j, k), share, minlength=self.n + 1)
         return counts[: self.n]
 
 
+def long_total(part: str, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """The log probability of one part of any length by language; memory does not grow with it."""
+    text = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+    window, scale = np.zeros((pieces.longest, p.shape[1])), np.zeros(p.shape[1])
+    window[-1] = 1  # row -k: what leads to the place k characters back
+    back = np.arange(pieces.longest)
+    for low in range(0, len(text), AT_ONCE):
+        first = max(0, low - pieces.longest + 1)
+        found = pieces.find(text[first : low + AT_ONCE])
+        for j in range(low + 1, min(low + AT_ONCE, len(text)) + 1):
+            k = back[: min(j, pieces.longest)]
+            chances = p[found[k, j - 1 - k - first]]
+            if found[0, j - 1 - first] == pieces.n:
+                chances[0] = UNKNOWN
+            here = (window[-1 - k] * chances).sum(axis=0)
+            window[:-1] = window[1:]
+            window[-1] = here
+            if j % 8 == 0:
+                most = window.max(axis=0)
+                scale += np.log(most)
+                window /= most
+    return np.log(window[-1]) + scale
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -169,7 +213,7 @@ def train(texts: list[str], languages: list[str], vocabulary: str) -> Model:
         seen = Counter(w for t, x in zip(texts, languages, strict=True) if x == name for w in words_of(t))
         parts = Counter()
         for w, n in seen.items():
-            for part in word_parts(w):
+            for part in word_parts(w, pieces):
                 parts[part] += n
         if not parts:
             parts[START] = 1
@@ -183,9 +227,23 @@ def train(texts: list[str], languages: list[str], vocabulary: str) -> Model:
     return Model(names, vocabulary, np.concatenate(columns, axis=1) if columns else np.zeros((pieces.n + 1, 0)))
 
 
-def word_parts(word: bytes) -> list[str]:
+def word_parts(word: bytes, pieces: Pieces) -> list[str]:
+    """The word with its start mark, a long one cut at all places that no piece crosses."""
     whole = START + word.decode()
-    return [whole[i : i + WORD_CHARS] for i in range(0, len(whole), WORD_CHARS)]
+    if len(whole) <= SPLIT_CHARS:
+        return [whole]
+    text, cuts = np.frombuffer(whole.encode("utf-32-le"), np.uint32), [0]
+    for low in range(0, len(whole), AT_ONCE):
+        first = max(0, low - pieces.longest)
+        found = pieces.find(text[first : low + AT_ONCE + pieces.longest])
+        crossed = np.zeros(found.shape[1] + 1, np.int64)
+        for k in range(1, len(found)):  # a piece of k + 1 characters crosses the k places within it
+            starts = np.flatnonzero(found[k] < pieces.n)
+            np.add.at(crossed, starts + 1, 1)
+            np.subtract.at(crossed, starts + k + 1, 1)
+        free = np.flatnonzero(np.cumsum(crossed)[: found.shape[1]] == 0) + first
+        cuts += free[(free > low - (low > 0)) & (free > 0) & (free < low + AT_ONCE)].tolist()
+    return [whole[a:b] for a, b in zip(cuts, [*cuts[1:], len(whole)], strict=True)]
 
 
 class Scorer(dict):
@@ -194,33 +252,47 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.pieces = model, Pieces(vocabulary_pieces(model.vocabulary))
-        self.rows, self.waiting = np.zeros((1024, len(model.languages))), []
+        self.rows, self.waiting, self.size = np.zeros((1024, len(model.languages))), [], 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.waiting.append(word)
+        self.size += len(word)
         return n
 
     def settle(self) -> None:
         """Score the waiting words."""
         if not self.waiting:
             return
-        parts, owner = [], []
-        for i, word in enumerate(self.waiting):
-            for part in word_parts(word):
-                parts.append(part)
-                owner.append(i)
-        first = len(self) - len(self.waiting)
+        first, p = len(self) - len(self.waiting), self.model.probabilities
         if len(self) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(len(self), 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))])
-        for a in range(0, len(parts), 50_000):
-            batch = Batch(parts[a : a + 50_000], self.pieces)
-            logs = np.log(np.maximum(batch.totals(batch.forward(self.model.probabilities)), 1e-300))
-            np.add.at(self.rows, np.array(owner[a : a + 50_000]) + first, logs)
+        parts, owner, chars = [], [], 0
+
+        def flush() -> None:
+            nonlocal chars
+            if parts:
+                np.add.at(self.rows, np.array(owner), Batch(parts, self.pieces).totals(p))
+            parts.clear()
+            owner.clear()
+            chars = 0
+
+        for i, word in enumerate(self.waiting):
+            for part in word_parts(word, self.pieces):
+                if len(part) > LONG_CHARS:
+                    self.rows[first + i] += long_total(part, self.pieces, p)
+                    continue
+                parts.append(part)
+                owner.append(first + i)
+                chars += len(part)
+                if chars > 2 * AT_ONCE:
+                    flush()
+        flush()
         self.waiting = []
 
     def forget(self) -> None:
         self.clear()
+        self.size = 0
         self.rows[:] = 0
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -238,7 +310,7 @@ class Scorer(dict):
                 best = int(logs.argmax())
                 out.append((names[best], float(1 / np.exp(np.clip(logs - logs[best], -700, 0)).sum())))
             group.clear()
-            if len(self) > CACHE_WORDS:
+            if len(self) > CACHE_WORDS or self.size > CACHE_BYTES:
                 self.forget()
 
         for text in texts:
@@ -269,20 +341,17 @@ def scorer_for(key: str, model: Model) -> Scorer:
 def fit(docs: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Model:
     """Learn from rows outside the held-out part whose lang and text are not null.
 
-    The sample is bounded: of each language about sample rows by a hash of doc_id, no text longer than SAMPLE_CHARS.
+    The sample is bounded: of each language at most sample rows, those with the smallest hashes of doc_id among some
+    more that are drawn by them, until they hold SAMPLE_CHARS characters.
     """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row per language
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = usable.filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(sizes), "lang").filter(place < F.lit(1.25 * sample) / F.col("n"))
-    rows = drawn.orderBy("lang", place, "doc_id", "text").select("text", "lang").toArrow()
-    texts, languages, taken = [], [], Counter()
-    for text, language in zip(rows["text"].to_pylist(), rows["lang"].to_pylist(), strict=True):
-        taken[language] += 1
-        if taken[language] <= sample:
-            texts.append(text)
-            languages.append(language)
-    return train(texts, languages, vocabulary)
+    drawn = usable.join(F.broadcast(sizes), "lang").filter(place < F.lit(1.25 * sample) / F.col("n")).withColumn("place", place)
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "text")  # over the rows drawn
+    drawn = drawn.withColumn("turn", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = drawn.filter((F.col("turn") <= sample) & (F.col("before") + F.length("text") <= SAMPLE_CHARS)).orderBy("lang", "turn").select("text", "lang").toArrow()
+    return train(rows["text"].to_pylist(), rows["lang"].to_pylist(), vocabulary)
 
 
 def identify(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE) -> DataFrame:

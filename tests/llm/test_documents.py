@@ -157,12 +157,13 @@ def test_language_of_held_out_texts(spark):
 def test_forward_sums_all_segmentations():
     model = langid.train(["the thing there", "ein ding dort"], ["en", "de"], langid.default_vocabulary())
     numbers = {p: i for i, p in enumerate(langid.vocabulary_pieces(model.vocabulary))}
+    longest = max(map(len, numbers))
 
     def total(word, language):
         if not word:
             return 1.0
         out = 0.0
-        for k in range(1, min(len(word), langid.PIECE_CHARS) + 1):
+        for k in range(1, min(len(word), longest) + 1):
             i = numbers.get(word[:k])
             p = model.probabilities[i, language] if i is not None else langid.UNKNOWN if k == 1 else 0.0
             out += p and p * total(word[k:], language)
