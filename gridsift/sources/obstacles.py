@@ -11,21 +11,17 @@ from pyspark.sql import types as T
 from gridsift.functions.text import FEET, field_in_feet, parse_height
 
 DEFAULT_HEIGHT_M, LEVEL_M = 30.0, 3.0
-#: Column names that are looked for, in order, without case and white space.
+# Column names that are looked for, in order, without case and white space.
 HEIGHT_FIELDS = ("height_m", "height_ft", "agl_m", "agl_ft", "agl", "height", "hgt")
 LAT_FIELDS, LON_FIELDS = ("lat", "latitude", "y"), ("lon", "long", "longitude", "x")
 NAME_FIELDS = ("name", "id", "type")
 
-_POSITION = r"(\d{2})\s(\d{2})\s(\d{2}(?:\.\d+)?)([NS])\s+(\d{3})\s(\d{2})\s(\d{2}(?:\.\d+)?)([EW])"
-_TAIL = _POSITION + r"\s+(.*?)\s+(\d+)\s+(\d{1,5})\s+(\d{1,5})\b(.*)$"
 
-
-def find_field(names: list[str], wanted: str | None, known: tuple[str, ...] = ()) -> str | None:
-    """The column that is wanted, else the first known one; None if there is none."""
-    lookup = {"".join(n.split()).lower(): n for n in names}
-    if wanted:
-        return lookup.get("".join(wanted.split()).lower())
-    return next((lookup[k] for k in known if k in lookup), None)
+def column_of(names: list[str], known: tuple[str, ...]) -> str | None:
+    """The column that has the first of the known names that there is, without case and white space; None if there is none."""
+    plain = lambda name: "".join(name.lower().split())
+    there = {plain(n): n for n in names}
+    return next((there[k] for k in map(plain, known) if k in there), None)
 
 
 def within(rows: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
@@ -39,25 +35,34 @@ def _height(value, default_m: float):
 
 
 def from_records(lines: DataFrame, default_m: float = DEFAULT_HEIGHT_M, box=None) -> DataFrame:
-    """Obstacles of fixed-layout records line(line): positions in degrees, minutes and seconds, heights in feet; dismantled ones (action D) go."""
-    part = lambda i: F.regexp_extract("line", _TAIL, i)
-    number = lambda i: part(i).try_cast("double")
-    sign = lambda i, c: F.when(part(i) == c, F.lit(-1.0)).otherwise(F.lit(1.0))
-    rows = lines.filter(F.col("line").rlike(_TAIL)).filter(F.regexp_extract(part(13), r"\s([ACD])\s+\d{7}\b", 1) != "D")
-    height = F.when(number(11) > 0, number(11) * FEET)
-    out = rows.select(
-        F.concat_ws(" ", F.trim(part(9)), F.trim(F.substring("line", 1, 9))).alias("name"), ((number(5) + number(6) / 60 + number(7) / 3600) * sign(8, "W")).alias("lon"),
-        ((number(1) + number(2) / 60 + number(3) / 3600) * sign(4, "S")).alias("lat"), *_height(height, default_m),
-    )
-    return within(out, box)
+    """Obstacles of records line(line) of words: number, place, position, type, quantity, heights in feet above ground and sea level, remarks.
+
+    The word that ends the latitude is the first number with N or S; a record has the degrees and minutes before it and
+    a longitude of three words after it. The type goes up to three words of digits: quantity and heights. A D before a
+    word of seven digits marks a dismantled obstacle, which goes.
+    """
+    place = lambda words, test: F.get(F.filter(F.transform(words, lambda w, i: F.when(test(w, i), i)), lambda i: i.isNotNull()), F.lit(0))
+    word = lambda words, i: F.get(words, i)
+    digits = lambda w, most: F.coalesce(w.rlike(f"^[0-9]{{1,{most}}}$"), F.lit(False))
+    rows = lines.select("line", F.split(F.trim("line"), r"\s+").alias("w"))
+    rows = rows.withColumn("at", place(F.col("w"), lambda w, i: w.rlike(r"^[0-9]{2}(?:\.[0-9]+)?[NS]$"))).filter(F.col("at") >= 2)
+    rows = rows.withColumn("tail", F.slice("w", F.col("at") + 5, F.size("w"))).filter(word(F.col("w"), F.col("at") + 3).rlike(r"^[0-9]{2}(?:\.[0-9]+)?[EW]$"))
+    tail = F.col("tail")
+    rows = rows.withColumn("q", place(tail, lambda w, i: digits(w, 9) & digits(word(tail, i + 1), 5) & digits(word(tail, i + 2), 5))).filter("q is not null")
+    gone = place(tail, lambda w, i: (w == "D") & digits(word(tail, i + 1), 7) & (i > F.col("q")))
+    angle = lambda i, negative: (word(F.col("w"), i - 2).try_cast("double") + word(F.col("w"), i - 1).try_cast("double") / 60 + F.regexp_extract(word(F.col("w"), i), "^[0-9.]+", 0).try_cast("double") / 3600) * F.when(F.endswith(word(F.col("w"), i), F.lit(negative)), -1.0).otherwise(1.0)
+    feet = word(tail, F.col("q") + 1).try_cast("double")
+    name = F.concat_ws(" ", F.array_join(F.slice(tail, F.lit(1), F.col("q")), " "), word(F.col("w"), F.lit(0)))
+    out = rows.filter(gone.isNull()).select(name.alias("name"), angle(F.col("at") + 3, "W").alias("lon"), angle(F.col("at"), "S").alias("lat"), *_height(F.when(feet > 0, feet * FEET), default_m))
+    return within(out.filter("lat is not null and lon is not null"), box)
 
 
 def from_table(table: DataFrame, feet: bool = False, default_m: float = DEFAULT_HEIGHT_M, box=None, height: str | None = None) -> DataFrame:
     """Obstacles of a table with columns for position and perhaps name and height; rows without a position go."""
-    lat, lon = find_field(table.columns, None, LAT_FIELDS), find_field(table.columns, None, LON_FIELDS)
+    lat, lon = column_of(table.columns, LAT_FIELDS), column_of(table.columns, LON_FIELDS)
     if not lat or not lon:
         raise ValueError(f"no latitude and longitude among {table.columns}")
-    name, tall = find_field(table.columns, None, NAME_FIELDS), find_field(table.columns, height, HEIGHT_FIELDS)
+    name, tall = column_of(table.columns, NAME_FIELDS), column_of(table.columns, (height,) if height else HEIGHT_FIELDS)
     number = lambda c: F.trim(F.col(c).cast("string")).try_cast("double")
     value = parse_height(F.col(tall).cast("string"), field_in_feet(F.lit(tall), F.lit(feet))) if tall else F.lit(None).cast("double")
     out = table.select((F.col(name).cast("string") if name else F.lit("")).alias("name"), number(lon).alias("lon"), number(lat).alias("lat"), *_height(value, default_m))
