@@ -42,8 +42,7 @@ def passes_exact(aircraft: Aircraft, mission: Mission, obstacle_evidence: bool =
 def checked(cells: DataFrame, classes: DataFrame, aircraft: Aircraft, mission: Mission, cell_m: float = 1.0) -> DataFrame:
     """Passing cells with their screening quality, exact metrics and passes."""
     own = quality(classes, aircraft, cell_m).select("r", "c", F.round("quality", 6).alias("quality"))
-    exact = terrain.exact_metrics(cells, own.select("r", "c"), aircraft, cell_m)
-    return exact.withColumn("passes", passes_exact(aircraft, mission)).join(own, ["r", "c"])
+    return terrain.exact_metrics(cells, own, aircraft, cell_m).withColumn("passes", passes_exact(aircraft, mission))
 
 
 def _attributes(rows: DataFrame, cells: DataFrame, aircraft: Aircraft) -> DataFrame:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsift.operators.terrain import disk_offsets
+from gridsift.operators import tiles
 
 
 def edges(polygons: DataFrame) -> DataFrame:
@@ -58,11 +60,30 @@ def cell_of(points: DataFrame, height: Column, cell_m: float = 1.0) -> DataFrame
     return points.withColumn("r", F.floor(height - F.col("y") / cell_m)).withColumn("c", F.floor(F.col("x") / cell_m))
 
 
-def grow(mask: DataFrame, radius_px: float) -> DataFrame:
-    """r, c, d2: cells within the radius of mask(r, c), with the squared distance in cells to the nearest one."""
-    offsets = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in disk_offsets(radius_px)))
-    near = mask.select("r", "c").distinct().withColumn("o", F.explode(offsets))
-    return near.groupBy((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).agg(F.min(F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")).alias("d2"))
+def grow(mask: DataFrame, radius_px: float, tile: int = tiles.TILE) -> DataFrame:
+    """r, c, d2: cells within the radius of mask(r, c), with the squared distance in cells to the nearest one.
+
+    Worked out in tiles: the distance within each row by two running scans, then the least over the rows in reach. A mask
+    cell goes to the tiles that its disk touches; no disk is listed cell by cell.
+    """
+    reach = int(math.floor(radius_px + 1e-9))
+    spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile)))
+    moved = mask.select("r", "c").distinct().withColumn("tr", spread("r")).withColumn("tc", spread("c"))
+    size, far = tile + 2 * reach, 1 << 30
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        r0, c0 = (k.as_py() * tile - reach for k in key)
+        there = np.zeros((size, size), bool)
+        there[rows["r"].to_numpy() - r0, rows["c"].to_numpy() - c0] = True
+        column = np.arange(size)
+        left = np.maximum.accumulate(np.where(there, column, -far), axis=1)
+        right = np.minimum.accumulate(np.where(there, column, far)[:, ::-1], axis=1)[:, ::-1]
+        along = np.minimum(np.minimum(column - left, right - column), far >> 15).astype(np.int64) ** 2
+        least = np.min([along[reach + dr : reach + dr + tile] + dr * dr for dr in range(-reach, reach + 1)], axis=0)[:, reach : reach + tile]
+        r, c = np.nonzero(least <= radius_px * radius_px + 1e-9)
+        return pa.table({"r": r + (r0 + reach), "c": c + (c0 + reach), "d2": least[r, c]})
+
+    return moved.groupBy("tr", "tc").applyInArrow(run, "r long, c long, d2 long")
 
 
 def line_cells(lines: DataFrame, cells: DataFrame, height: Column, width: float, cell_m: float = 1.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsift.operators.storage import Store
@@ -121,7 +121,3 @@ def per_tile_top(rows: DataFrame, tile_px: int, k: int, order: list) -> DataFram
     """The best k rows(r, c, ...) of each tile of tile_px cells."""
     tile = Window.partitionBy(F.floor(F.col("r") / tile_px), F.floor(F.col("c") / tile_px)).orderBy(*order)
     return rows.withColumn("_place", F.row_number().over(tile)).filter(F.col("_place") <= k).drop("_place")
-
-
-def offsets_frame(spark: SparkSession, offsets: list[tuple[int, int]]) -> DataFrame:
-    return spark.createDataFrame(offsets, "dr int, dc int")
