@@ -217,7 +217,7 @@ ORACLES = {
     "rating_cube": sql("select rating, limiting, count(*) as sites from rated group by cube (rating, limiting)", "rated"),
     "rating_rollup": sql("select rating, upslope, count(*) as sites from rated group by rollup (rating, upslope)", "rated"),
     "rating_pivot": sql("select limiting, count(case when rating = 'Highly Suitable' then 1 end) as highly_suitable, count(case when rating = 'Suitable' then 1 end) as suitable, count(case when rating = 'Marginal' then 1 end) as marginal, count(case when rating = 'Unassessed' then 1 end) as unassessed, count(case when rating = 'Unsuitable' then 1 end) as unsuitable from rated group by limiting", "rated"),
-    "density_altitude": sql("select r, c, case when alt between 25 and 32.5 then round(pa + 120 * (oat - (15 - 1.98 * pa / 1000)), 3) end as density_altitude_ft from (select *, z / 0.3048 + (29.92 - alt) * 1000 as pa from (select r, c, z, 29.5 + c / 40.0 as alt, r % 70 - 5.0 as oat from cells where z is not null) a) b", "cells"),
+    "density_altitude": sql("select r, c, case when alt between 25 and 32.5 and oat between -70 and 60 then round(pa + 120 * (oat - (15 - 1.98 * pa / 1000)), 3) end as density_altitude_ft from (select *, z / 0.3048 + (29.92 - alt) * 1000 as pa from (select r, c, z, 29.5 + c / 40.0 as alt, r % 70 - 5.0 as oat from cells where z is not null) a) b", "cells"),
     "min_spacing": sql("select unnest(ids) as id from (select ids from spaced order by n desc limit 1) t", "spaced"),
     "seam_pairs": sql("select a.id, b.id as other, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), 4) as distance from points a join points b on a.id < b.id and (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) < 144 - 1e-9", "points"),
     "site_groups": sql("select node as id, min(seen) as root from point_reach group by node", "point_reach"),
