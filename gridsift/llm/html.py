@@ -32,6 +32,7 @@ BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tab
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARIA = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words in class or id that speak against a part of an article; header ones do not in names such as post-header.
+CONTENT_WORDS = frozenset("content main article story post entry".split())  # as whole names they outweigh those that speak against it
 HEADER_WORDS, PAGE_WORDS = frozenset("header banner masthead".split()), frozenset("site page top main global nav".split())
 NOT_ARTICLE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored nav navbar navigation menu menubar topnav breadcrumb breadcrumbs sidebar sidenav aside rail widget widgets "
@@ -45,8 +46,11 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，،]")
 #: Elements that hold text rather than parts of a page.
 TEXTUAL = HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption span a b i em strong".split())
-#: Share of a score that is left where class or id speak against a part, by how clearly they do: not, as part of a name on a textual element, else.
-LEFT = (1.0, 0.5, 1 / 32)
+#: Share of a score that is left where class or id speak against a part, by how clearly they do: not, as part of a name on a textual element, else
+#: (such a path is content only where it holds nearly all text).
+LEFT = (1.0, 0.5, 1e-4)
+#: A punctuation mark counts as much as so many characters.
+MARKED = 10
 #: A path through an article or main element scores so many times more.
 ARTICLE = 4.0
 #: Paths are content from this share of the mean score of the page's text on; blocks with more link text than this share are menus if they are shorter.
@@ -59,12 +63,13 @@ def judged(tag: str, attrs: str) -> tuple[bool, int]:
         return True, 0
     if not attrs or attrs.isspace():
         return False, 0
-    against = 0
+    against, content = 0, False
     for m in MARKS.finditer(attrs):
         name, value = m[0].split("=")[0].strip().lower(), m[1] or m[2] or m[3] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or name == "role" and value.lower() in ARIA:
             return True, 0
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            content = content or not CONTENT_WORDS.isdisjoint(value.lower().split())
             for token in value.split():
                 parts = [x.lower() for x in PARTS.findall(token)]
                 found = NOT_ARTICLE.intersection(parts)
@@ -72,7 +77,7 @@ def judged(tag: str, attrs: str) -> tuple[bool, int]:
                     continue  # the header of something on the page
                 if found:
                     against = max(against, 1 if tag in TEXTUAL and len(parts) > 1 else 2)
-    return False, against
+    return False, 0 if content else against
 
 
 class Node:
@@ -183,7 +188,7 @@ class Paths:
             against[p], weight[p] = node.against, LEFT[node.against] * (ARTICLE if node.article else 1)
         order = list(chars)  # paths in page order
         share = {p: links[p] / chars[p] for p in order}
-        ratio = [(chars[p] - links[p]) / count[p] * (1 + marks[p] / count[p]) * (1 - share[p]) for p in order]
+        ratio = [(chars[p] - links[p]) / count[p] * (1 + MARKED * marks[p] / chars[p]) * (1 - share[p]) for p in order]
         smooth = [(2 * r + (ratio[i - 1] if i else r) + (ratio[i + 1] if i + 1 < len(ratio) else r)) / 4 for i, r in enumerate(ratio)]
         fused = {p: (r * s) ** 0.5 * weight[p] for p, r, s in zip(order, ratio, smooth, strict=True)}
         limit = ENOUGH * sum(fused[p] * chars[p] for p in order) / max(1, sum(chars.values()))
