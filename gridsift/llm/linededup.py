@@ -100,10 +100,11 @@ def repeated_ranges(docs: DataFrame, min_words: int, shelf: Shelf) -> DataFrame:
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of docs with repeated runs deleted from text, and removed_lines: array<struct<start, end>> of deleted line numbers.
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, spans: str | None = "removed_lines") -> DataFrame:
+    """The columns of docs with repeated runs deleted from text, and spans: array<struct<start, end>> of deleted line numbers.
 
-    docs needs doc_id and text; all columns are kept, but one called removed_lines is replaced. Documents are ordered
+    docs needs doc_id and text; all columns are kept, but one with the name spans is replaced; without a name there is
+    no such column. Documents are ordered
     by doc_id (an integer; null first), then by a hash of the text; the first copy of a run stays. Runs are compared line by
     line, without lines that have no word; such lines go if they lie within a deleted run. Null text stays null.
     Repeated rows (equal doc_id and text): the later ones are copies as a whole. A text whose lines all go becomes
@@ -129,7 +130,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cut = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.flatten(gaps), "\n")).alias("text")
     out = out.withColumn("_lines", F.when(F.col("gone").isNotNull(), lines))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return out.select(*(cut if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c != "removed_lines"), F.coalesce("gone", none).alias("removed_lines"))
+    named = [F.coalesce("gone", none).alias(spans)] if spans else []
+    return out.select(*(cut if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c != spans), *named)
 
 
 def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
