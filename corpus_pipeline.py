@@ -16,12 +16,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, later copies of repeated runs of lines deleted from their texts, n_chars counted again."""
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, spans=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    if "removed_lines" in docs.columns:
-        out = out.withColumn("removed_lines", F.lit(None).cast(docs.schema["removed_lines"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
