@@ -3,7 +3,7 @@
 Every distinct vector keeps a list of its nearest known neighbours. The lists start from blocks of vectors that are
 close in the order of random sign codes. They are refined round by round: a block of vectors gathers its neighbours
 and those that name it as theirs, and all that meet there are compared, so that neighbours of neighbours find each
-other; rounds end when hardly a list changes. A list that is full of links is enlarged.
+other; the next round goes on from the lists that changed, until hardly one does. A list that is full of links is enlarged.
 
 Comparing happens in blocks whose results grow with their rows: the nearest few of each row, and a spanning forest of
 all links at the threshold that the block holds. So no link that was ever seen is lost to the length of a list. The
@@ -196,7 +196,7 @@ def descend(found: DataFrame, shelf: Shelf, threshold: float, seed: int, before:
     owners = shelf.put("owners", start.filter("v is null").select(F.col("u").alias("owner"), "block"))
     pairs = start.filter("v is not null").select("u", "v", "sim")
     lists = shelf.put("lists", listed(pairs if before is None else pairs.unionByName(before.select("u", "v", "sim")), None if before is None else before.select("u", "k").distinct()))
-    changed = owners.select("block").distinct()
+    changed = owners
     entries = max(1, lists.count())
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,16 +211,16 @@ def descend(found: DataFrame, shelf: Shelf, threshold: float, seed: int, before:
         back = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
         reverse = lists.withColumn("place", F.row_number().over(back)).filter(F.col("place") <= REVERSE).select(F.col("v").alias("owner"), F.col("u").alias("id"))
         around = lists.select(F.col("u").alias("owner"), F.col("v").alias("id")).union(reverse).union(owners.select("owner", F.col("owner").alias("id")))
-        met = around.join(owners.join(changed, "block", "left_semi"), "owner").select("block", "id").distinct()
+        met = around.join(changed, "owner").select("block", "id").distinct()
         rows = met.join(found.select("id", "vec"), "id").join(tops.select(F.col("u").alias("id"), "least", "known"), "id", "left")
         rows = rows.withColumn("least", F.coalesce("least", F.lit(-1.5))).withColumn("known", F.coalesce("known", F.array().cast("array<bigint>")))
         new = shelf.put("new", rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(compared, FOUND))
         keep(links(new))
         lists = shelf.put("lists", listed(new.filter("not link").select("u", "v", "sim").unionByName(lists.select("u", "v", "sim")), tops.select("u", "k")))
         fresh = lists.select("u", "v").join(new.filter("not link").select("u", "v").distinct(), ["u", "v"], "left_semi")
-        changed = shelf.put("changed", fresh.join(owners.withColumnRenamed("owner", "u"), "u").groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+        changed = shelf.put("changed", fresh.groupBy(F.col("u").alias("owner")).agg(F.count(F.lit(1)).alias("n")).join(owners, "owner"))
         moved = changed.agg(F.sum("n").alias("n")).first()["n"] or 0
-        changed = changed.select("block")
+        changed = changed.select("owner", "block")
         if moved <= SETTLED * entries:
             break
     shelf.drop("start", "tops", "new", "changed", "owners")
