@@ -101,8 +101,15 @@ def test_packing_is_an_exact_round_trip(docs):
     for text in odd + [r[1] or "" for r in rows()]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
     got = packing.pack(docs).collect()
-    whole = Counter((r[0], zlib.crc32(np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")[:1024].tobytes())) for r in rows() if len(tok.encode(r[1] or "", add_special_tokens=False).ids) < 1024)
-    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got if r["piece"] == 0 and r["length"] < 1024 and r["doc_id"] != 47) == Counter({k: v for k, v in whole.items() if k[0] != 47})
+    want = Counter()
+    for r in rows():
+        ids = np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024  # longer ones: whole sequences after the first piece
+        for piece, start in enumerate([0, *range(first, len(ids), 1024)]):
+            part = ids[start : start + 1024] if piece else ids[:first]
+            want[r[0], piece, start, len(part), zlib.crc32(part.tobytes())] += 1
+    assert max(k[1] for k in want) > 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     places = defaultdict(list)
     for r in got:
         places[r["sequence_id"]].append((r["offset"], r["length"]))
