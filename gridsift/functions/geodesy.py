@@ -99,5 +99,5 @@ def utm_of_epsg(code: str) -> str:
 def compass(bearing: str, points: int = 16) -> str:
     """Name of the nearest of 8 or 16 compass points."""
     names = "N   NNE NE  ENE E   ESE SE  SSE S   SSW SW  WSW W   WNW NW  NNW "
-    step = 360 // points
+    step = 360 / points
     return f"trim(substr('{names}', cast(cast(floor(({bearing} + {step / 2}) / {step}) as bigint) % {points} as int) * {4 * (16 // points)} + 1, 4))"
