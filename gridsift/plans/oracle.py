@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from gridsift.sources.bindings import SQL
 
 # What holds for the small profile on 1 m cells: disks of radius 3 and 6, and the unions of rectangles in them.
@@ -14,6 +16,14 @@ def define(name: str, needs: tuple[str, ...], text: str) -> None:
     _CTES[name] = (needs, text)
 
 
+def copy_of(name: str, renamed: dict[str, str]) -> None:
+    """Define renamed[name]: the table expression name over other ones."""
+    needs, text = _CTES[name]
+    for old, new in renamed.items():
+        text = re.sub(rf"\b{old}\b", new, text)
+    define(renamed[name], tuple(renamed.get(n, n) for n in needs), text)
+
+
 def sql(final: str, *needs: str) -> str:
     """final with all the table expressions that it needs, each after those it needs itself."""
     order: list[str] = []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridsift.functions import geodesy as g
 from gridsift.functions import text
 from gridsift.operators import audit, overview, planning
+from gridsift.plans import geodetic
 from gridsift.plans.ground import cells, classes
 from gridsift.plans.masks import height
 from gridsift.plans.oracle import define, sql
@@ -113,7 +114,6 @@ def _values(rows, names, kinds=None) -> str:
     return f"(values {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) t({names})"
 
 
-define("utm", ("positions",), f"select *, {_EAST} as east, {_NORTH} as north from (select *, {_ZONE} as zone, {g.band('lat')} as band from positions) a")
 define("blocks", ("classes",), """select *, 100.0 * valid / cells as pct_cover, case when valid > 0 then 100.0 * (n_any + n_up) / valid end as pct_pass, elev_max - elev_min as elev_range,
   case when valid > 0 then case when slope_mean is null then 'Unknown' when slope_mean <= 3 then 'Flat' when slope_mean <= 6 then 'Moderate' else 'Steep' end end as terrain,
   case when valid > 0 then case when 100.0 * (n_any + n_up) / valid >= 25 then 'High' when 100.0 * (n_any + n_up) / valid >= 5 then 'Medium' when n_any + n_up > 0 then 'Low' else 'None' end end as passing
@@ -122,12 +122,6 @@ define("blocks", ("classes",), """select *, 100.0 * valid / cells as pct_cover,
 _TILES = "select i * {nc} + j + 1 as index, cast(round_even({rows} * i / cast({nr} as double), 0) as bigint) as r0, cast(round_even({rows} * (i + 1) / cast({nr} as double), 0) as bigint) as r1, cast(round_even({cols} * j / cast({nc} as double), 0) as bigint) as c0, cast(round_even({cols} * (j + 1) / cast({nc} as double), 0) as bigint) as c1 from range({nr}) a(i) cross join range({nc}) b(j)"
 _T1, _T2 = _TILES.format(rows=151, cols=97, nr=4, nc=3), _TILES.format(rows=15000, cols=100, nr=375, nc=3)
 ORACLES = {
-    "utm_forward": sql("select id, zone, band, round(east, 3) as east, round(north, 3) as north from utm", "utm"),
-    "utm_inverse": sql(f"select id, round({_LAT2}, 7) as lat2, round({_LON2}, 7) as lon2 from (select *, {_FOOT} as foot, {_X} as x from utm) a", "utm"),
-    "mgrs_encode": sql(f"select id, {_MGRS} as mgrs from utm", "utm"),
-    "utm_epsg": sql(f"select id, epsg, {g.utm_of_epsg('epsg')} as utm from (select id, {g.epsg('lat', 'lon', 'id % 2 = 0')} as epsg from positions) a", "positions"),
-    "metres_per_degree": sql(f"select id, round({_LON_M}, 3) as lon_m, round({_LAT_M}, 3) as lat_m, round(sqrt(0.0001 * {_LON_M} * 0.0001 * {_LAT_M}), 3) as cell_m from positions", "positions"),
-    "compass_points": sql(f"select id, {g.compass(_BEARING)} as compass16, {g.compass(_BEARING, 8)} as compass8 from positions", "positions"),
     "parse_height": f"select id, case when v > 0 then round(case when unit in ('ft', 'feet', 'foot', '''') or (unit not in ('m', 'meter', 'meters', 'metre', 'metres') and feet) then v * 0.3048 else v end, 4) end as height_m from (select id, feet, try_cast(replace(regexp_extract(txt, '^\\s*([-+]?\\d+(?:[.,]\\d+)?)\\s*([a-zA-Z''\"]*)', 1), ',', '.') as double) as v, lower(regexp_extract(txt, '^\\s*([-+]?\\d+(?:[.,]\\d+)?)\\s*([a-zA-Z''\"]*)', 2)) as unit from {_values(HEIGHTS, 'id, txt, feet')}) a",
     "length_text": sql("select owner, printf('%.1f m', round(agl_m, 1)) as metric from obstacles", "obstacles"),
     "feet_columns": sql("select owner, round(agl_m / 0.3048, 2) as agl_ft, round(x / 1852.0, 6) as x_nm from obstacles", "obstacles"),
@@ -154,7 +148,7 @@ _PAIRS = " union all ".join(
 _MISSING = " union all ".join(f"select '{key}', '{level}', null, '{message}' from (select count(*) as n from ds where folder_key = '{key}' and kind = 'raster') t where {condition}" for key, condition, level, message in (("ground", "n = 0", "F", "no ground model"), ("ground", "n > 1", "F", "several ground models"), ("surface", "n = 0", "W", "no surface model"), ("surface", "n > 1", "W", "several surface models")))
 _FINDINGS = f"with ds as (select * from {_DATASETS}), found as ({_SINGLE} union all {_PAIRS} union all {_MISSING})"
 _AIRCRAFT = "(values ('small', 6.0, 3.0), ('steep', 6.0, 3.0), ('odd', 6.0, 3.0), ('short', 6.0, 3.0)) a(name, dia, rin)"
-ORACLES |= {
+ORACLES |= geodetic.ORACLES | {
     "audit_findings": f"{_FINDINGS} select area, level, path, message from found",
     "audit_status": f"{_FINDINGS} select count(case when level = 'F' then 1 end) as n_f, count(case when level = 'W' then 1 end) as n_w, count(case when level = 'I' then 1 end) as n_i, count(case when level = 'P' then 1 end) as n_p, case when count(case when level = 'F' then 1 end) > 0 then 'NOT_READY' when count(case when level = 'W' then 1 end) > 0 then 'READY_WITH_WARNINGS' else 'READY' end as status from found",
     "profile_what_if": f"select name, cast(coalesce(diameter, dia) as double) as tdp_diameter_m, cast(coalesce(ring, rin) as double) as cleared_ring_m from {_AIRCRAFT} cross join (values (10.0, null), (null, 8.0), (500.0, null), (12.0, 4.0)) t(diameter, ring) where (diameter is null or diameter between 5 and 200) and (ring is null or ring between 0 and 200)",

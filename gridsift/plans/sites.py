@@ -8,7 +8,7 @@ from gridsift.operators import approach, candidates, masks, scoring, spatial
 from gridsift.plans.ground import AIRCRAFT, MISSION, cells, classes
 from gridsift.plans.masks import height
 from gridsift.operators.storage import Store
-from gridsift.plans.oracle import define, sql
+from gridsift.plans.oracle import copy_of, define, sql
 from gridsift.sources.bindings import bind
 from gridsift.sources.profiles import Doctrine
 
@@ -195,7 +195,30 @@ define(
 )
 define("runs", ("sectors",), "select *, min(lo) over (partition by r, c) = 0 and max(hi) over (partition by r, c) = 35 and count(*) over (partition by r, c) > 1 as wraps from (select r, c, min(i) as lo, max(i) as hi, count(*) as n from (select *, i - row_number() over (partition by r, c order by i) as run from (select r, c, cast(round(azimuth / 10) as int) as i from sectors where class = 'CLEAR') a) b group by r, c, run) d")
 
+define("cell_links", ("classes",), "select p.r * 2147483648 + p.c as a, q.r * 2147483648 + q.c as b from classes p join classes q on q.r between p.r - 1 and p.r + 1 and q.c between p.c - 1 and p.c + 1 and (q.r <> p.r or q.c <> p.c) where p.ground in (1, 2) and q.ground in (1, 2)")
+define(
+    "walked",
+    ("checked",),
+    """select 0::bigint as n, []::bigint[] as picked, []::bigint[] as rs, []::bigint[] as cs, []::double[] as reach
+  union all
+  select n, case when seen and passes then list_append(picked, n) else picked end, case when seen then list_append(rs, r) else rs end, case when seen then list_append(cs, c) else cs end, case when seen then list_append(reach, case when passes then (6 - 1e-6) * (6 - 1e-6) + 1e-9 else 1 + 1e-9 end) else reach end
+  from (select p.n, w.picked, w.rs, w.cs, w.reach, p.r, p.c, p.passes, len(list_filter(range(len(w.rs)), lambda i: (w.rs[i+1]-p.r)*(w.rs[i+1]-p.r) + (w.cs[i+1]-p.c)*(w.cs[i+1]-p.c) <= w.reach[i+1])) = 0 as seen
+    from walked w join (select r, c, passes, row_number() over (order by -quality, r, c) as n from checked) p on p.n = w.n + 1) s""",
+)
+define("selected", ("checked", "walked", "cells"), f"select {_ATTRIBUTES} from (select *, row_number() over (order by -quality, r, c) as n from checked) a join (select unnest(picked) as n from (select picked from walked order by n desc limit 1) w) k using (n) join (select r, c, x, y, z from cells) b using (r, c) order by n limit 1000")
+# the chain from sites to ranks once more, for the selection over the whole grid
+for _name in ("rays", "sector_rays", "sectors", "best", "summary", "scored", "rated", "ranked"):
+    copy_of(_name, {"chosen": "selected"} | {k: f"{k}_all" for k in ("rays", "sector_rays", "sectors", "best", "summary", "scored", "rated", "ranked")})
+
 ORACLES = {
+    "candidate_selection": sql("select r, c, elevation, slope, quality from selected", "selected"),
+    "component_sizes": sql(
+        """select count(*) as cells, cast(root // 2147483648 as bigint) as r, cast(root % 2147483648 as bigint) as c from (
+  with recursive found(node, root) using key (node) as (select r * 2147483648 + c, r * 2147483648 + c from classes where ground in (1, 2)
+    union (select k.node, min(v.root) from recurring.found k join cell_links l on l.a = k.node join found v on v.node = l.b where v.root < k.root group by k.node)) select * from found) t group by root""",
+        "classes", "cell_links",
+    ),
+    "site_screening": sql("select cast(rank as int) as rank, site_id, r, c, rating, score, limiting, assessed, clear, best_azimuth, best_angle, heading from ranked_all", "ranked_all"),
     "quality_surface": sql("select r, c, round(edge, 4) as edge, round(quality, 4) as quality from quality_cells", "quality_cells"),
     "edge_distance": sql("select round(edge, 4) as edge, count(*) as cells from quality_cells where edge < 1 group by 1", "quality_cells"),
     "exact_pass": sql("select passes, count(*) as cells from checked group by passes", "checked"),
