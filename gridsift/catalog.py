@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS: tuple[str, ...] = ("ground", "masks", "sites", "search", "live", "reports")
+AREAS: tuple[str, ...] = ("ground", "masks", "sites", "search", "live", "reports", "full")
 
 
 def _merged(attribute: str) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsift.operators import masks, spatial, terrain
@@ -61,17 +61,23 @@ def best_per_tile(found: DataFrame, cells: DataFrame, aircraft: Aircraft, tile_p
     return _attributes(rows, cells, aircraft)
 
 
-def select_apart(found: DataFrame, cells: DataFrame, aircraft: Aircraft, mission: Mission, cell_m: float = 1.0, store: Store | None = None) -> DataFrame:
+def select_apart(found: DataFrame, cells: DataFrame, aircraft: Aircraft, mission: Mission, cell_m: float = 1.0, store: Store | None = None, within: str | None = None) -> DataFrame:
     """Greedy selection over the whole grid: best quality first, a site blocks the separation, a failed check a quarter of the pad radius.
 
-    The budget of checks and the cap on sites are applied to the order in which cells are examined.
+    The budget of checks and the cap on sites cut the order in which cells are examined, which later cells do not
+    change. With a column within, each of its values is a grid of its own (with the cap for a tile), and it is kept.
     """
     apart = aircraft.tdp_diameter_m * mission.minimum_candidate_separation_factor / cell_m - 1e-6
     failed = max(1.0, 0.25 * aircraft.tdp_radius_m / cell_m)
     rows = found.withColumn("id", F.col("r") * F.lit(1 << 31) + F.col("c")).withColumn("better", -F.col("quality"))
     points = rows.select("id", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), "passes", "better")
-    seen = spatial.examine_and_block(points, apart, failed, ["better"], store=store).select("id")
-    budget = max(50, 25 * mission.max_candidates)
-    examined = rows.join(seen, "id", "left_semi").orderBy("better", "id").limit(budget)
-    best = examined.filter("passes").orderBy("better", "id").limit(mission.max_candidates)
-    return _attributes(best, cells, aircraft)
+    points = points if within is None else points.join(rows.select("id", within), "id")
+    seen = spatial.examine_and_block(points, apart, failed, ["better"], store=store, within=within).select("id")
+    most = mission.max_candidates if within is None else mission.max_candidates_per_tile
+    examined, budget = rows.join(seen, "id", "left_semi"), max(50, 25 * most)
+    if within is None:
+        best = examined.orderBy("better", "id").limit(budget).filter("passes").orderBy("better", "id").limit(most)
+        return _attributes(best, cells, aircraft)
+    place = lambda df: df.withColumn("place", F.row_number().over(Window.partitionBy(within).orderBy("better", "id")))
+    best = place(place(examined).filter(F.col("place") <= budget).filter("passes")).filter(F.col("place") <= most)
+    return _attributes(best, cells, aircraft).join(best.select("r", "c", within), ["r", "c"])

@@ -13,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsift.operators import tiles
+from gridsift.operators import spatial, tiles
+from gridsift.operators.storage import Store
+
+#: Search centres that are broadcast; more are met in bins.
+FEW_CENTRES = 1000
 
 
 def edges(polygons: DataFrame) -> DataFrame:
@@ -101,10 +105,13 @@ def point_cells(points: DataFrame, cells: DataFrame, height: Column, radius: flo
     return near.filter((F.col("same_r") & F.col("same_c")) | (dx * dx + dy * dy <= radius * radius)).select("r", "c").distinct().join(cells.select("r", "c"), ["r", "c"], "left_semi")
 
 
-def circle_cells(cells: DataFrame, circles: DataFrame) -> DataFrame:
-    """Cells(r, c, x, y) in any of the search circles(x, y, radius), of which there are a few."""
-    near = F.broadcast(circles.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "radius"))
-    return cells.join(near, F.pow(F.col("x") - F.col("cx"), F.lit(2)) + F.pow(F.col("y") - F.col("cy"), F.lit(2)) <= F.col("radius") * F.col("radius"), "left_semi").select("r", "c")
+def circle_cells(cells: DataFrame, circles: DataFrame, bin_m: float = 64.0) -> DataFrame:
+    """Cells(r, c, x, y) in any of the search circles(x, y, radius), which meet them in square bins."""
+    touched = lambda v: F.explode(F.sequence(F.floor((F.col(v) - F.col("radius")) / bin_m), F.floor((F.col(v) + F.col("radius")) / bin_m)))
+    near = circles.withColumn("bx", touched("x")).withColumn("by", touched("y")).select("bx", "by", F.col("x").alias("cx"), F.col("y").alias("cy"), "radius")
+    own = cells.select("r", "c", "x", "y", F.floor(F.col("x") / bin_m).alias("bx"), F.floor(F.col("y") / bin_m).alias("by"))
+    inside = (own["bx"] == near["bx"]) & (own["by"] == near["by"]) & (F.pow(F.col("x") - F.col("cx"), F.lit(2)) + F.pow(F.col("y") - F.col("cy"), F.lit(2)) <= F.col("radius") * F.col("radius"))
+    return own.join(near, inside, "left_semi").select("r", "c")
 
 
 def nearest_distance(cells: DataFrame, mask: DataFrame, reach_px: float, cell_m: float = 1.0) -> DataFrame:
@@ -121,9 +128,22 @@ def burn_heights(cells: DataFrame, footprints: DataFrame) -> DataFrame:
 
 
 def nearest_centre(points: DataFrame, circles: DataFrame, key: str = "id") -> DataFrame:
-    """points with centre, distance and bearing to the nearest of a few centres; the smaller id wins ties."""
-    centres = F.broadcast(circles.select(F.col("id").alias("centre"), F.col("x").alias("cx"), F.col("y").alias("cy")))
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    pairs = points.crossJoin(centres).withColumn("distance", F.hypot(dx, dy)).withColumn("bearing", F.pmod(F.degrees(F.atan2(dx, dy)) + 360.0, F.lit(360.0)))
-    best = pairs.groupBy(key).agg(F.min(F.struct("distance", "centre", "bearing")).alias("b"))
-    return best.select(key, "b.centre", "b.distance", "b.bearing")
+    """points with centre, distance and bearing to the nearest centre; the smaller id wins ties.
+
+    Up to FEW_CENTRES centres are compared with every point; of more, each point meets those in growing square bins.
+    """
+    centres = circles.select(F.col("id").alias("centre"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    reduced = lambda pairs: pairs.withColumn("distance", F.hypot(dx, dy)).withColumn("bearing", F.pmod(F.degrees(F.atan2(dx, dy)) + 360.0, F.lit(360.0))).groupBy(key).agg(F.min(F.struct("distance", "centre", "bearing")).alias("b")).select(key, "b.centre", "b.distance", "b.bearing")
+    if centres.limit(FEW_CENTRES + 1).count() <= FEW_CENTRES:
+        return reduced(points.crossJoin(F.broadcast(centres)))
+    span = points.select("x", "y").union(centres.select("x2", "y2")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    widest = math.hypot(span["x1"] - span["x0"], span["y1"] - span["y0"])
+    store, out, left, radius = Store(points.sparkSession, "nearest"), None, points, max(widest / math.sqrt(centres.count()), 1e-9)
+    while True:
+        found = store.put(f"found-{radius:.6g}", reduced(spatial.near_join(left, centres, radius)))
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found, key, "left_anti")
+        if radius > widest or left.isEmpty():
+            return out
+        radius *= 2

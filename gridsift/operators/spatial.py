@@ -24,6 +24,17 @@ def near_join(left: DataFrame, right: DataFrame, radius: float, strict: bool = F
     return a.join(b, ["bx", "by"]).withColumn("d2", d2).filter(within).drop("bx", "by")
 
 
+def boxes_meet(left: DataFrame, right: DataFrame, bin_m: float) -> DataFrame:
+    """Pairs of left(x0, x1, y0, y1, ...) and right(u0, u1, v0, v1, ...) whose closed boxes meet, each once.
+
+    Boxes go to the square bins that they touch and pairs meet in equal bins; a pair counts in the first bin that both touch.
+    """
+    to = lambda c: F.floor(F.col(c) / bin_m)
+    spread = lambda df, x0, x1, y0, y1: df.withColumn("bx", F.explode(F.sequence(to(x0), to(x1)))).withColumn("by", F.explode(F.sequence(to(y0), to(y1))))
+    pairs = spread(left, "x0", "x1", "y0", "y1").join(spread(right, "u0", "u1", "v0", "v1"), ["bx", "by"]).filter("x0 <= u1 and u0 <= x1 and y0 <= v1 and v0 <= y1")
+    return pairs.filter((F.col("bx") == F.greatest(to("x0"), to("u0"))) & (F.col("by") == F.greatest(to("y0"), to("v0")))).drop("bx", "by")
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, other: str, radius: float) -> DataFrame:
     """key, other, distance: for each left row the nearest right row within the radius, ties by the smaller other."""
     pairs = near_join(left, right, radius)
@@ -52,15 +63,17 @@ def suppress(points: DataFrame, radius: float, order: list[str], key: str = "id"
     return points.join(kept, key, "left_semi")
 
 
-def examine_and_block(points: DataFrame, pass_radius: float, fail_radius: float, order: list[str], key: str = "id", store: Store | None = None) -> DataFrame:
+def examine_and_block(points: DataFrame, pass_radius: float, fail_radius: float, order: list[str], key: str = "id", store: Store | None = None, within: str | None = None) -> DataFrame:
     """Greedy selection with a check: points(key, x, y, passes, order...) in order; one that passes blocks pass_radius, one that fails blocks fail_radius.
 
-    Returns the rows that are examined. A row is examined once no better row that could block it is undecided.
+    Returns the rows that are examined. A row is examined once no better row that could block it is undecided. Rows
+    with different values in the column within do not block each other.
     """
     store = store or Store(points.sparkSession, "examine")
-    rows = store.put("rows", points.select(key, "x", "y", "passes", F.struct(*order, key).alias("rank")))
-    other = rows.select(F.col(key).alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("rank").alias("rank2"), F.col("passes").alias("ok"))
-    pairs = near_join(rows, other, max(pass_radius, fail_radius)).filter("rank2 < rank")
+    part = F.col(within) if within else F.lit(0)
+    rows = store.put("rows", points.select(key, "x", "y", "passes", F.struct(*order, key).alias("rank"), part.alias("part")))
+    other = rows.select(F.col(key).alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("rank").alias("rank2"), F.col("passes").alias("ok"), F.col("part").alias("part2"))
+    pairs = near_join(rows, other, max(pass_radius, fail_radius)).filter("part = part2 and rank2 < rank")
     reach = F.when(F.col("ok"), F.lit(pass_radius)).otherwise(F.lit(fail_radius))
     links = store.put("links", pairs.filter(F.col("d2") <= reach * reach + 1e-9).select(key, "other"))
     alive, seen = store.put("alive", rows.select(key)), store.put("seen", rows.select(key).limit(0))
@@ -99,21 +112,26 @@ def cell_groups(cells: DataFrame, store: Store | None = None) -> DataFrame:
     return runs.join(out, ["r", "run"]).select("r", "c", "root")
 
 
-def connected(edges: DataFrame, store: Store) -> DataFrame:
-    """node, root for the nodes of edges(a, b): the smallest node reached. Hooking, pointer jumping and contraction, written out each step."""
-    left = store.put("cc-edges", edges.filter("a != b").distinct())
-    out = store.put("cc-nodes", edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
+def connected(edges: DataFrame, store: Store, name: str = "cc") -> DataFrame:
+    """node, root for the nodes of edges(a, b): the smallest node reached. Hooking, pointer jumping and contraction, written out each step.
+
+    In a round every node hooks to its smallest neighbour, jumps until all point at a local minimum, and what is left
+    is contracted; at least half of the nodes with edges vanish. Loops and repeated edges are allowed, nulls are not.
+    """
+    left = store.put(f"{name}-edges", edges.filter("a != b").distinct())
+    out = store.put(f"{name}-nodes", edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        up = store.put("cc-up", both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
+        up = store.put(f"{name}-up", both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
         settled = False
         while not settled:
             top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = store.put("cc-up", up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            jumped = store.put(f"{name}-up", up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
             settled, up = jumped.filter("moved").isEmpty(), jumped.drop("moved")
         to = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_to"))  # noqa: B023, E731
-        left = store.put("cc-edges", left.join(to("a"), "a").join(to("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).filter("a != b").distinct())
-        out = store.put("cc-nodes", out.join(to("root"), "root", "left").select("node", F.coalesce("root_to", "root").alias("root")))
+        left = store.put(f"{name}-edges", left.join(to("a"), "a").join(to("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).filter("a != b").distinct())
+        out = store.put(f"{name}-nodes", out.join(to("root"), "root", "left").select("node", F.coalesce("root_to", "root").alias("root")))
+    store.drop(f"{name}-edges", f"{name}-up")
     return out
 
 

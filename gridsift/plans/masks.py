@@ -77,7 +77,7 @@ QUERIES = {
     "nearest_centre": lambda s, d: masks.nearest_centre(bind(s, d, "points"), bind(s, d, "circles")).select("id", "centre", F.round("distance", 4).alias("distance"), F.round("bearing", 4).alias("bearing")),
     "densify_line": lambda s, d: masks.densify(bind(s, d, "lines"), 5.0).select("fid", "part", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")),
     "feature_bounds": lambda s, d: bind(s, d, "polygons").groupBy("fid").agg(*(f(c).alias(f"{c}_{n}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))), F.round(F.avg("x"), 4).alias("x_mean")),
-    "bbox_overlap": lambda s, d: (lambda b: b.join(b.select(F.col("fid").alias("other"), *(F.col(x).alias(f"o{x}") for x in ("x0", "x1", "y0", "y1"))), (F.col("fid") < F.col("other")) & (F.col("x0") <= F.col("ox1")) & (F.col("ox0") <= F.col("x1")) & (F.col("y0") <= F.col("oy1")) & (F.col("oy0") <= F.col("y1"))).select("fid", "other"))(bind(s, d, "polygons").groupBy("fid").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))),
+    "bbox_overlap": lambda s, d: (lambda b: spatial.boxes_meet(b, b.select(F.col("fid").alias("other"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("y0").alias("v0"), F.col("y1").alias("v1")), 16.0).filter("fid < other").select("fid", "other"))(bind(s, d, "polygons").groupBy("fid").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))),
 }
 
 define("edges", ("polygons",), "select fid, x as x1, y as y1, coalesce(lead(x) over w, first_value(x) over w) as x2, coalesce(lead(y) over w, first_value(y) over w) as y2 from polygons window w as (partition by fid, ring order by i)")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridsift.functions.text import FEET, field_in_feet, parse_height
 
@@ -69,15 +68,27 @@ def from_table(table: DataFrame, feet: bool = False, default_m: float = DEFAULT_
     return within(out.filter("lat between -90 and 90 and lon between -180 and 180"), box)
 
 
-def from_geojson(texts: DataFrame, default_m: float = DEFAULT_HEIGHT_M) -> DataFrame:
+_GEOMETRY = "type: string, coordinates: string, geometries: array<struct<type: string, coordinates: string>>"
+
+
+def from_geojson(texts: DataFrame, default_m: float = DEFAULT_HEIGHT_M, feet: bool = False) -> DataFrame:
     """fid, kind, part, i, lon, lat, height_m, assumed: vertices of the features of GeoJSON documents json(json).
 
-    Heights are taken from height, else from building:levels at 3 m each. Feature collections are read; geometries
-    are points, lines and polygons and their multiples.
+    A document is a collection of features, a feature or a bare geometry; geometries are points, lines and polygons,
+    their multiples and collections of them. Heights are taken from the first of HEIGHT_FIELDS that a feature has,
+    else from building:levels at 3 m each. fid counts features, and geometries of collections on from them.
     """
-    feature = T.StructType([T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])), T.StructField("properties", T.MapType(T.StringType(), T.StringType()))])
-    rows = texts.select(F.posexplode(F.from_json("json", T.StructType([T.StructField("features", T.ArrayType(feature))]))["features"]).alias("fid", "f"))
-    tall = parse_height(F.col("f.properties")["height"], F.lit(False))
+    feature = f"geometry: struct<{_GEOMETRY}>, properties: map<string, string>"
+    document = F.from_json("json", f"struct<type: string, features: array<struct<{feature}>>, {feature}, {_GEOMETRY.removeprefix('type: string, ')}>")
+    null = F.lit(None).cast("map<string,string>")
+    bare = lambda d: F.struct(F.struct(d["type"], d["coordinates"], d["geometries"]).alias("geometry"), null.alias("properties"))
+    alone = lambda d: F.struct(d["geometry"].alias("geometry"), d["properties"].alias("properties"))
+    features = lambda d: F.when(d["features"].isNotNull(), d["features"]).when(d["geometry"].isNotNull(), F.array(alone(d))).otherwise(F.array(bare(d)))
+    # a collection is as many features as it has geometries
+    members = lambda g: F.when(g["geometries"].isNotNull(), g["geometries"]).otherwise(F.array(F.struct(g["type"].alias("type"), g["coordinates"].alias("coordinates"))))
+    single = F.transform(features(F.col("d")), lambda f: F.transform(members(f["geometry"]), lambda g: F.struct(g.alias("geometry"), f["properties"].alias("properties"))))
+    rows = texts.select(document.alias("d")).select(F.posexplode(F.flatten(single)).alias("fid", "f"))
+    tall = F.coalesce(*(parse_height(F.col("f.properties")[name], field_in_feet(F.lit(name), F.lit(feet))) for name in HEIGHT_FIELDS))
     levels = F.col("f.properties")["building:levels"].try_cast("double") * LEVEL_M
     rows = rows.select("fid", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("text"), *_height(F.coalesce(tall, F.when(levels > 0, levels)), default_m))
     point, line, area, many = "array<double>", "array<array<double>>", "array<array<array<double>>>", "array<array<array<array<double>>>>"
@@ -93,6 +104,14 @@ def from_geojson(texts: DataFrame, default_m: float = DEFAULT_HEIGHT_M) -> DataF
     return vertices.select("fid", "kind", "part", "i", F.element_at("v", 1).alias("lon"), F.element_at("v", 2).alias("lat"), "height_m", "assumed")
 
 
+def exclusions(vertices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """polygons(fid, ring, i, x, y), lines(fid, part, i, x, y) and points(x, y) of from_geojson's vertices, for masks; rings without their closing vertex."""
+    at = lambda *kinds: vertices.filter(F.col("kind").isin(*kinds)).select("fid", "part", F.col("i").cast("long").alias("i"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    whole = Window.partitionBy("fid", "part")
+    rings = at("Polygon", "MultiPolygon").withColumn("last", F.max("i").over(whole)).filter("i < last").drop("last").withColumnRenamed("part", "ring")
+    return rings, at("LineString", "MultiLineString"), at("Point", "MultiPoint").select("x", "y")
+
+
 def read(spark: SparkSession, path: str, feet: bool = False, default_m: float = DEFAULT_HEIGHT_M) -> DataFrame:
     """Obstacles of a file by its ending: .dat records, .csv or .txt tables, .json or .geojson points."""
     ending = path.rsplit(".", 1)[-1].lower()

@@ -46,6 +46,19 @@ def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
     return _late(events).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
+def overview(cells: DataFrame, block: int) -> DataFrame:
+    """Counts, sums and ranges of classified cells(r, c, zc, slope, ground) by block; partial sums merge as cells arrive.
+
+    A stream keeps one row per block in its state; means follow from sums, so the order of arrival does not matter.
+    """
+    known = F.col("ground") != 255
+    per = cells.groupBy(F.floor(F.col("r") / block).alias("br"), F.floor(F.col("c") / block).alias("bc")).agg(
+        F.count(F.lit(1)).alias("cells"), F.count_if(known).alias("valid"), F.sum(F.when(known, F.col("slope"))).alias("slope_sum"), F.count(F.when(known, F.col("slope"))).alias("slope_n"),
+        F.min("zc").alias("low"), F.max("zc").alias("high"), F.count_if(F.col("ground").isin(1, 2)).alias("passing"),
+    )
+    return per.select("br", "bc", "cells", "valid", "passing", (F.col("slope_sum") / F.col("slope_n")).alias("slope_mean"), (F.col("high") - F.col("low")).alias("elev_range"))
+
+
 def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Work off what is there, batch by batch, remembering in checkpoint what is done."""
     stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
