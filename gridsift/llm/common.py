@@ -2,37 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridsift.operators.storage import Store as Shelf
+
 #: A word: a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: One part in so many, by the CRC-32 of doc_id as text, is held out from learning.
 FOLDS = 5
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir; where that is unset, a temporary one, if all is one machine."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        there = tempfile.mkdtemp(prefix="gridsift-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts Python workers get BATCH_ROWS at a time in this session from now on, if its setting is larger: they hold a batch in memory."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
+    return df
 
 
 def row_keys() -> list[Column]:
@@ -73,30 +64,6 @@ def attach(docs: DataFrame, decided: DataFrame, shelf: Shelf) -> DataFrame:
     return once.unionByName(again.drop("_turn")).drop(*key)
 
 
-class Shelf:
-    """Tables written between steps in the shared folder; each cuts the lineage of what follows."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[str, str] = {}
-        self.made = 0
-
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Write df and read it again. A table of the same name is deleted afterwards, so df may be built on it."""
-        old, self.made = self.paths.get(name), self.made + 1
-        path = f"{self.root}/{name}-{self.made}"
-        df.write.parquet(path)
-        if old:
-            delete(self.spark, old)
-        self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            if name in self.paths:
-                delete(self.spark, self.paths.pop(name))
-
-
 def running_total(df: DataFrame, keys: list[str], order: list[Column], bucket: str, value: Column, name: str) -> DataFrame:
     """Add the running sum of value within keys, in the order (bucket, order), without one task per key.
 

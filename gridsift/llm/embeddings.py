@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsift.llm.common import Shelf, running_total, table
-from gridsift.llm.graph import components
+from gridsift.operators.spatial import connected
 
 THRESHOLD = 0.98
 #: Length of a neighbour list at first and when enlarged, and neighbours taken in reverse.
@@ -321,7 +321,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     for number in range(1, PASSES + 1):
         lists = descend(found, shelf, threshold, number, lists, keep)
-        roots = components(edges, shelf, "vectors")
+        roots = connected(edges, shelf, "vectors")
         recall, lost = audit(found, roots, threshold)
         keep(lost)
         if recall >= RECALL:
@@ -330,7 +330,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if recall < LEAST_RECALL:
             raise RuntimeError(f"NN-descent found {recall:.3f} of the audited links")
     if recall < 1:
-        roots = components(edges, shelf, "audited")
+        roots = connected(edges, shelf, "audited")
     counts = count_links(found, roots, shelf, threshold)
     linked = found.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import table
+from gridsift.llm.common import in_small_batches, table
 
 # Fixed values of HTML: element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -277,7 +277,7 @@ def extract(pages: DataFrame) -> DataFrame:
     pages needs page_id, url and html; other columns are ignored. Null or empty html: empty text. Markup without
     an article: empty text. Plain text without markup: that text. Repeated rows give repeated results.
     """
-    plain = pages.select("page_id", "url", "html")
+    plain = in_small_batches(pages.select("page_id", "url", "html"))
     return plain.mapInArrow(_extracted, f"page_id {plain.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 

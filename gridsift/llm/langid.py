@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import held_out, table
+from gridsift.llm.common import held_out, in_small_batches, table
 
 #: Training takes SAMPLE texts of each language at most, in the order of a hash of doc_id, as far as they hold SAMPLE_CHARS characters together.
 SAMPLE, SAMPLE_CHARS = 250, 1 << 22
@@ -376,7 +376,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPL
                     values.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(values, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    plain = docs.select("doc_id", "text")
+    plain = in_small_batches(docs.select("doc_id", "text"))
     out = plain.mapInArrow(predicted, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 

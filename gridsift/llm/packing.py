@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import Shelf, running_total, table
+from gridsift.llm.common import Shelf, in_small_batches, running_total, table
 
 CAPACITY, END, PARTS = 1024, 2, 1024
 #: White space this long makes the ranks' pattern search recurse too deep.
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
             columns = [pa.array(values[:, 0], pa.int32(), safe=False), *(pa.array(values[:, j], pa.int64()) for j in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    plain = docs.select("doc_id", "text")
+    plain = in_small_batches(docs.select("doc_id", "text"))
     return plain.mapInArrow(cut_up, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import Shelf, table
+from gridsift.llm.common import Shelf, in_small_batches, table
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -108,7 +108,7 @@ def judge(docs: DataFrame, host: str = "source", rules=RULES, base=BASE_RULES) -
     empty table gives an empty result.
     """
     spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "quality")
-    plain = docs.select("doc_id", F.col(host).alias("host"), "text")
+    plain = in_small_batches(docs.select("doc_id", F.col(host).alias("host"), "text"))
     schema = f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, host {plain.schema['host'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in (*MEASURES, "n_lines"))
     measured = shelf.put("measured", plain.mapInArrow(_measured, schema))
     verdicts = shelf.put("verdicts", host_rates(measured, rules).select("host", "host_kept", *(f"counts_{k}" for k in rules)))

@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import Shelf, attach, table, with_keys
-from gridsift.llm.graph import components
+from gridsift.llm.common import Shelf, attach, in_small_batches, table, with_keys
+from gridsift.operators.spatial import connected
 
 SHINGLE, SEED, RADIUS, PARTS = 3, 42, 3, 6
 #: Coordinates that make the cells of the pivot table; a cell is as wide as the range that is looked up, so that range touches two at most.
@@ -67,7 +67,7 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, its row's keys and fp (the 64 bits as a long), one row per row of docs."""
-    plain = with_keys(docs.select("doc_id", "text"))
+    plain = in_small_batches(with_keys(docs.select("doc_id", "text")))
     return plain.mapInArrow(_fingerprinted, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, _doc long, _th long, fp long")
 
 
@@ -122,7 +122,7 @@ def link_components(fps: DataFrame, shelf: Shelf, radius: int = RADIUS) -> DataF
     found = groups.filter(near(F.col("low"), F.col("high"), radius)).select(*edge("low", "high"))
     for end in ("low", "high"):
         found = found.unionByName(members.filter((F.col("x.fp") != F.col(f"{end}.fp")) & near(F.col("x"), F.col(end), radius)).select(*edge(end, "x")))
-    first = components(found, shelf, "near")
+    first = connected(found, shelf, "near")
     placed = members.select("t", "key", "x", F.col("x.fp").alias("node")).join(first, "node", "left").select("t", "key", "x", F.coalesce("root", "node").alias("root"))
     placed = shelf.put("placed", placed)
     by_root = placed.groupBy("t", "key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -130,7 +130,7 @@ def link_components(fps: DataFrame, shelf: Shelf, radius: int = RADIUS) -> DataF
     mixed = shelf.put("mixed", placed.join(mixed, ["t", "key"]))
     outside = mixed.filter("root != main").select("t", "key", F.explode(cells_within(F.col("x"), radius)).alias("cell"), F.col("x").alias("y"), F.col("root").alias("other"))
     more = outside.join(mixed.withColumn("cell", cell(F.col("x"), radius)), ["t", "key", "cell"]).filter((F.col("root") != F.col("other")) & near(F.col("x"), F.col("y"), radius)).select(F.col("root").alias("a"), F.col("other").alias("b"))
-    second = components(more, shelf, "far")
+    second = connected(more, shelf, "far")
     out = shelf.put("roots", first.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(second.join(first.select("node"), "node", "left_anti").select("node", "root")))
     shelf.drop("groups", "members", "placed", "mixed", "near-nodes", "far-nodes")
     return out

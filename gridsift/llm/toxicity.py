@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import held_out, table
+from gridsift.llm.common import held_out, in_small_batches, table
 
 #: Training takes at most SAMPLE labelled rows, in the order of a hash of doc_id, as far as they hold SAMPLE_CHARS characters together.
 SAMPLE, SAMPLE_CHARS = 6000, 1 << 26
@@ -31,7 +31,7 @@ CALIBRATION = 5
 #: Long texts are read in parts of so many words, which overlap by the widest filter.
 STRIDE = 1 << 15
 #: Texts are hashed in parts of at most so many bytes; longer words are hashed on their own.
-PART = 1 << 20
+PART = 1 << 16
 #: A language's threshold counts for its rows of label 1 in the calibration, the one of all languages for so many.
 SHRINK = 20
 
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             values = [net.score(hasher(x.as_py() or "")) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "score"])
 
-    plain = docs.select("doc_id", "text")
+    plain = in_small_batches(docs.select("doc_id", "text"))
     return plain.mapInArrow(scored, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, score double")
 
 
@@ -275,7 +275,7 @@ def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
             clean = [net.score(hasher(x.as_py() or "")) < 0.5 for x in batch.column("text")]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return in_small_batches(docs).mapInArrow(kept, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
