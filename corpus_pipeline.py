@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridsift.llm import linededup, mixing, packing, simhash, toxicity
 from gridsift.llm.common import Shelf, table
+from gridsift.operators.storage import scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each stage's result written to the shared folder and read again."""
     shelf, docs = Shelf(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shelf.put(name, stage(spark, docs, sf_dir))
+        with scratch():  # what the stage wrote on its way goes when its result is there
+            docs = shelf.put(name, stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
