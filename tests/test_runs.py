@@ -4,6 +4,7 @@ import dataclasses
 import datetime
 import math
 import random
+import time
 
 import pytest
 from gridsift.functions import geodesy as g
@@ -111,16 +112,14 @@ def test_streams_equal_their_batch_form(spark, tmp_path):
 def test_late_events_are_left_out(spark, tmp_path):
     row = lambda i, hour: (i, f"2024-01-01 {hour:02d}:00:00", 1, "x", 1.0, "")
     schema = "event_id long, ts string, user_id long, event_type string, value double, props string"
-    for n, rows in enumerate(([row(1, 0), row(2, 20)], [row(3, 1)], [row(4, 23)], [row(5, 23)])):
+    for rows in ([row(1, 0), row(2, 20)], [row(3, 21)], [row(4, 1)], [row(5, 23)], [row(6, 23)]):
         spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        if n < 2:
-            import time
-
-            time.sleep(1.1)  # files are taken in the order of their times
+        time.sleep(1.1)  # files are taken in the order of their times
     events = spark.read.parquet(str(tmp_path / "in"))
     out = []
     live.run(live.tumbling(live.events_stream(spark, str(tmp_path / "in"), events.schema, 1), "1 hour"), lambda part, _: out.extend(part.collect()), str(tmp_path / "state"))
-    assert {r["start"].hour for r in out} == {0, 20}  # the event of 1 o'clock came after the watermark had passed it
+    hours = {r["start"].hour for r in out}
+    assert {0, 20} <= hours and 1 not in hours  # the event of 1 o'clock came after the watermark had passed it
 
 
 def test_overview_of_a_stream_of_cells(spark, tmp_path):
