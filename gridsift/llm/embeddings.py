@@ -38,7 +38,7 @@ AUDIT, RECALL, LEAST_RECALL, PASSES = 512, 0.995, 0.9, 6
 #: In the exact count, a component has a block for each BLOCK distinct vectors up to SPLIT, then as many as keep a block within HELD bytes.
 BLOCK, SPLIT, HELD = 1024, 4, 1 << 26
 #: Similarities that are held at a time.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 FOUND = "u long, v long, sim double, link boolean, block long"
 
 
