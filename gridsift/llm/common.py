@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from gridsift.operators.storage import Store as Shelf
 WORD = r"[^\x20\x09-\x0D]+"
 #: One part in so many, by the CRC-32 of doc_id as text, is held out from learning.
 FOLDS = 5
-BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, whose texts Python workers get BATCH_ROWS at a time in this session from now on, if its setting is larger: they hold a batch in memory."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
+    """df, whose rows Python workers get BATCH_BYTES at a time, or one row if that is longer: they hold a batch in memory.
+
+    Spark has only a setting of the session for it, which is read when a result is computed, so it stays lowered. Batches of short rows are as before.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(setting).rstrip("bB")
+    if not (now.isdigit() and int(now) <= BATCH_BYTES):
+        df.sparkSession.conf.set(setting, str(BATCH_BYTES))
     return df
 
 
+def bucketed(shelf: Shelf, name: str, df: DataFrame, key: str) -> DataFrame:
+    """df written to the shelf in buckets by key, one for each shuffle partition: joins and groups by key do not deal out its rows again."""
+    spark = df.sparkSession
+    shelf.made += 1
+    n, path, known = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{shelf.root}/{name}-{shelf.made}", f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(known)
+    out = spark.table(known)
+    spark.sql(f"DROP TABLE {known}")  # its name; the files belong to the shelf
+    shelf.paths[name] = path
+    return out
+
+
 def row_keys() -> list[Column]:
     """_doc and _th, which are never null and tell all rows apart but those with equal doc_id and text."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_th")]
