@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsift.llm import embeddings, html, langid, linededup, mixing, packing, quality, sharding, simhash, substrings, toxicity
+from gridsift.llm import embeddings, html, langid, linededup, mixing, packing, prefixtrie, quality, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_sharding": sharding.op10_sharding,
         "op12_substrings": substrings.op12_substrings,
+        "op13_prefixtrie": prefixtrie.op13_prefixtrie,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict:
     return {
         "op4_mixing": mixing.ORACLE,
         "op5_quality": quality.ORACLE,
+        "op13_prefixtrie": prefixtrie.ORACLE,
     }
