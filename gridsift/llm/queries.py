@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsift.llm import embeddings, html, langid, linededup, mixing, packing, prefixtrie, quality, sharding, simhash, substrings, toxicity
+from gridsift.llm import alignment, embeddings, html, langid, linededup, mixing, packing, prefixtrie, quality, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_langid": langid.op8_langid,
         "op9_packing": packing.op9_packing,
         "op10_sharding": sharding.op10_sharding,
+        "op11_alignment": alignment.op11_alignment,
         "op12_substrings": substrings.op12_substrings,
         "op13_prefixtrie": prefixtrie.op13_prefixtrie,
     }
