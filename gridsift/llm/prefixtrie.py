@@ -13,10 +13,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsift.llm.common import WORD, Shelf, running_total, table
+from gridsift.llm.common import WORD, Shelf, table
 
 #: First turns are taken over from the first conversation of each so many, and fewer than SHARED of them.
 FAMILY, SHARED = 20, 4
@@ -34,48 +34,57 @@ def looked_up(df: DataFrame, found: DataFrame, key: list[str], salt: Column) ->
     return df.join(places, [*key, "_salt"], "left").drop("_salt")
 
 
-def upward(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Add the sum of value over this depth and those below of the same chain."""
-    df = df.withColumn("_bucket", -F.floor(F.col("d") / RANGE))
-    return running_total(df, ["c"], [F.col("d").desc()], "_bucket", F.col(value), name).drop("_bucket")
+def running(df: DataFrame, order: list[Column], bucket: str, values: list[str]) -> DataFrame:
+    """df whose columns values are replaced by their running sums within c, in the order (bucket, order): within each bucket, and from a table with a row for each bucket but the first."""
+    inner = Window.partitionBy("c", bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("c").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy("c", bucket).agg(*(F.sum(v).alias(f"_{v}") for v in values)).select("c", bucket, *(F.sum(f"_{v}").over(before).alias(f"_{v}") for v in values))
+    sums = sums.filter(F.col(f"_{values[0]}").isNotNull())
+    within = df.withColumns({v: F.sum(v).over(inner) for v in values})
+    return within.join(sums, ["c", bucket], "left").withColumns({v: F.col(v) + F.coalesce(f"_{v}", F.lit(0)) for v in values}).drop(*(f"_{v}" for v in values))
+
+
+def upward(df: DataFrame, values: list[str]) -> DataFrame:
+    """df whose columns values are summed over their depth and those below of the same chain."""
+    return running(df.withColumn("_bucket", -F.floor(F.col("d") / RANGE)), [F.col("d").desc()], "_bucket", values).drop("_bucket")
 
 
 def turns(conversations: DataFrame) -> DataFrame:
     """c, at (place among the turns, from 1), u, v (digests of role and text) and words."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     out = conversations.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("turn"), F.xxhash64(role, text).alias("u"), F.xxhash64(text, role, F.lit(1)).alias("v"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"), role.alias("role"), text.alias("text"))
-    out = out.withColumn("_bucket", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-(1 << 62))))
-    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    return running_total(out, ["c"], order, "_bucket", F.lit(1), "at").select("c", "at", "u", "v", "words")
+    out = out.withColumn("_bucket", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-(1 << 62)))).withColumn("at", F.lit(1).cast("long"))
+    return running(out, [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")], "_bucket", ["at"]).select("c", "at", "u", "v", "words")
 
 
 def rebuilt(conversations: DataFrame, shelf: Shelf) -> DataFrame:
-    """c, d (depth from 1), u, v, words: the turns of conversations whose first h come from the first of their family. And a row with d = 0 for each."""
+    """c, n (its turns), d (depth from 1), u, v, words: the turns of conversations whose first h come from the first of their family. And a row with d = 0 for each."""
     own = shelf.put("turns", turns(conversations))
     head = own.filter((F.col("c") % FAMILY == 0) & (F.col("at") < SHARED)).groupBy(F.col("c").alias("base")).agg(F.array_sort(F.collect_list(F.struct("at", "u", "v", "words"))).alias("head"))
     h = F.crc32(F.col("c").cast("string").cast("binary")) % SHARED
-    convs = own.select("c").distinct().withColumn("base", F.col("c") - F.col("c") % FAMILY).join(head, "base", "left").withColumn("h", h)
-    convs = shelf.put("convs", convs.withColumn("head", F.slice(F.coalesce("head", F.array().cast("array<struct<at:bigint,u:bigint,v:bigint,words:bigint>>")), F.lit(1), F.col("h").cast("int"))).drop("base"))
-    before = convs.select("c", F.explode("head").alias("x")).select("c", F.col("x.at").alias("d"), "x.u", "x.v", "x.words")
-    after = looked_up(own.filter(F.col("at") > h), convs.select("c", (F.size("head") - F.col("h")).alias("shift")), ["c"], F.col("at"))
-    top = convs.select("c", *(F.lit(0).cast("long").alias(x) for x in ("d", "u", "v", "words")))
-    return top.unionByName(before).unionByName(after.select("c", (F.col("at") + F.col("shift")).alias("d"), "u", "v", "words"))
+    convs = own.groupBy("c").agg(F.count(F.lit(1)).alias("own")).withColumn("base", F.col("c") - F.col("c") % FAMILY).join(head, "base", "left")
+    convs = convs.withColumn("head", F.slice(F.coalesce("head", F.array().cast("array<struct<at:bigint,u:bigint,v:bigint,words:bigint>>")), F.lit(1), h.cast("int")))
+    convs = shelf.put("convs", convs.select("c", "own", "head", (F.size("head") + F.greatest(F.col("own") - h, F.lit(0))).alias("n")))
+    before = convs.select("c", "n", F.explode("head").alias("x")).select("c", "n", F.col("x.at").alias("d"), "x.u", "x.v", "x.words")
+    # ranges of turns: a long conversation meets its row in many places
+    shift = convs.select("c", "n", (F.size("head") - h).alias("shift"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("own") / RANGE))).alias("range"))
+    after = own.filter(F.col("at") > h).withColumn("range", F.floor(F.col("at") / RANGE)).join(shift, ["c", "range"])
+    top = convs.select("c", "n", *(F.lit(0).cast("long").alias(x) for x in ("d", "u", "v", "words")))
+    return top.unionByName(before).unionByName(after.select("c", "n", (F.col("at") + F.col("shift")).alias("d"), "u", "v", "words"))
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
-    """c, d, p, q (digests of the first d turns) and words."""
+    """c, n, d, p, q (digests of the first d turns) and words."""
     parts = [x for a in (F.xxhash64("u", "v", "d"), F.xxhash64("v", "u", "d")) for x in (a.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(a, 32))]
-    rows = rows.select("c", "d", "words", F.floor(F.col("d") / RANGE).alias("_bucket"), *(F.when(F.col("d") > 0, x).otherwise(0).alias(f"s{i}") for i, x in enumerate(parts)))
-    for i in range(len(parts)):
-        rows = running_total(rows, ["c"], [F.col("d")], "_bucket", F.col(f"s{i}"), f"t{i}").drop(f"s{i}")
-    sums = [F.col(f"t{i}") for i in range(len(parts))]
-    return rows.select("c", "d", F.xxhash64(*sums).alias("p"), F.xxhash64(*reversed(sums), F.lit(1)).alias("q"), "words")
+    names = [f"s{i}" for i in range(len(parts))]
+    rows = rows.select("c", "n", "d", "words", F.floor(F.col("d") / RANGE).alias("_bucket"), *(F.when(F.col("d") > 0, x).otherwise(0).alias(s) for s, x in zip(names, parts)))
+    return running(rows, [F.col("d")], "_bucket", names).select("c", "n", "d", F.xxhash64(*names).alias("p"), F.xxhash64(*names[::-1], F.lit(1)).alias("q"), "words")
 
 
 def first_owned(ends: DataFrame, minima: DataFrame, shelf: Shelf) -> DataFrame:
     """c, n (its turns) and f, the first depth that it owns, n + 1 if it owns none."""
-    state = ends.select("c", F.col("d").alias("n"), F.lit(0).cast("long").alias("lo"), (F.col("d") + 1).alias("hi"))
-    rounds = int((ends.agg(F.max("d")).first()[0] or 0) + 1).bit_length()
+    state = ends.select("c", "n", F.lit(0).cast("long").alias("lo"), (F.col("n") + 1).alias("hi"))
+    rounds = int((ends.agg(F.max("n")).first()[0] or 0) + 1).bit_length()
     for k in range(rounds):
         state = state.withColumn("d", F.floor((F.col("lo") + F.col("hi")) / 2))
         state = state.join(minima.select("c", "d", F.lit(True).alias("owns")), NODE, "left")
@@ -86,17 +95,24 @@ def first_owned(ends: DataFrame, minima: DataFrame, shelf: Shelf) -> DataFrame:
     return state.select("c", "n", F.col("lo").alias("f"))
 
 
-def subtree_sums(chains: DataFrame, values: list[str], shelf: Shelf) -> DataFrame:
-    """c and values, summed over the chain and all that hang from it. chains has c, parent (null at the top) and values."""
-    state = chains.select("c", F.col("parent").alias("up"), *values)
+def ancestors(chains: DataFrame, shelf: Shelf) -> list[DataFrame]:
+    """c, up: the chains that the chains (c, parent) are below, 1, 2, 4 ... chains up, as long as there are any."""
+    out = [chains.select("c", F.col("parent").alias("up"))]
     while True:
-        state = shelf.put("sums", state)
-        if state.filter("up is not null").isEmpty():
-            return state.drop("up")
-        below = state.filter("up is not null").groupBy(F.col("up").alias("c")).agg(*(F.sum(v).alias(f"_{v}") for v in values))
-        above = state.select(F.col("c").alias("up"), F.col("up").alias("_up"))
-        state = looked_up(state, above, ["up"], F.col("c")).join(below, "c", "left")
-        state = state.select("c", F.col("_up").alias("up"), *((F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values))
+        nearer = out[-1]
+        above = looked_up(nearer, nearer.select(F.col("c").alias("up"), F.col("up").alias("top")), ["up"], F.col("c"))
+        above = shelf.put(f"above{len(out)}", above.filter("top is not null").select("c", F.col("top").alias("up")))
+        if above.isEmpty():
+            return out
+        out.append(above)
+
+
+def subtree_sums(sums: DataFrame, above: list[DataFrame], values: list[str], shelf: Shelf) -> DataFrame:
+    """sums(c, values) of chains, summed over each chain and all below it: first those that hang from it, then those that are up to twice as far below, and so on."""
+    for up in above:
+        below = up.join(sums, "c").groupBy(F.col("up").alias("c")).agg(*(F.sum(v).alias(f"_{v}") for v in values))
+        sums = shelf.put("sums", sums.join(below, "c", "left").select("c", *((F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values)))
+    return sums
 
 
 def id_digests(ends: DataFrame) -> DataFrame:
@@ -130,30 +146,36 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     """
     shelf = Shelf(conversations.sparkSession, "trie")
     at = shelf.put("prefixes", prefixes(rebuilt(conversations, shelf)))
-    minima = shelf.put("minima", at.groupBy("d", "p", "q").agg(F.min("c").alias("c"), F.max("words").alias("words")))
-    last = shelf.put("last", at.groupBy("c").agg(F.max("d").alias("d")).join(at, NODE).select("c", "d", "p", "q"))
+    owner = F.min(F.struct("c", "n"))
+    minima = at.groupBy("d", "p", "q").agg(owner.alias("x"), F.max("words").alias("words"))
+    minima = shelf.put("minima", minima.select("d", "p", "q", "x.c", "x.n", "words"))
+    last = at.filter("d = n")
     chains = first_owned(last, minima, shelf)
-    hangs = at.select("c", (F.col("d") + 1).alias("f"), "d", "p", "q").join(chains.filter("f between 1 and n").select("c", "f"), ["c", "f"])
+    hangs = at.join(chains.filter("f between 1 and n").select("c", (F.col("f") - 1).alias("d")), NODE, "left_semi")
     # where conversations end and where chains hang, in one lookup
-    asked = last.select(F.col("c").alias("id"), "d", "p", "q", F.lit(True).alias("end")).unionByName(hangs.select(F.col("c").alias("id"), "d", "p", "q", F.lit(False).alias("end")))
-    nodes = shelf.put("places", looked_up(asked, minima.drop("words"), ["d", "p", "q"], F.col("id")).select("c", "d", "id", "end"))
-    ends, hung = nodes.filter("end"), nodes.filter("not end")
-    here = nodes.groupBy(*NODE).agg(F.sum(F.col("end").cast("long")).alias("n_ends"), F.sum((~F.col("end")).cast("long")).alias("n_hung"))
-    deeper = minima.select("c", (F.col("d") - 1).alias("d"), F.lit(1).alias("next"))
-    table_ = minima.select("c", "d", "words").join(here, NODE, "left").join(deeper, NODE, "left").na.fill(0, ["n_ends", "n_hung", "next"])
-    table_ = shelf.put("nodes", table_.select("c", "d", "words", "n_ends", (F.col("n_hung") + F.col("next")).alias("n_children")).withColumn("leaf", (F.col("n_children") == 0).cast("long")))
-    parent = shelf.put("parents", hung.select(F.col("id").alias("c"), F.col("c").alias("parent"), (F.col("d") + 1).alias("d")))  # d: of the chain's top
-    tree = table_.groupBy("c").agg(F.sum("n_ends").alias("n_ends"), F.sum("leaf").alias("leaf")).join(parent, "c", "left")
-    sums = subtree_sums(tree, ["n_ends", "leaf"], shelf)
-    below = lambda sums, values: parent.join(sums, "c").groupBy(F.col("parent").alias("c"), (F.col("d") - 1).alias("d")).agg(*(F.sum(v).alias(f"_{v}") for v in values))
-    filled = table_.join(below(sums, ["n_ends", "leaf"]), NODE, "left").withColumn("n", F.col("n_ends") + F.coalesce("_n_ends", F.lit(0))).withColumn("l", F.col("leaf") + F.coalesce("_leaf", F.lit(0)))
-    filled = upward(upward(filled.select("c", "d", "words", "n_children", "n", "l"), "n", "n_convs"), "l", "n_leaves")
-    filled = shelf.put("filled", filled.withColumn("own", (F.col("n_convs") - 1) * F.col("words")).drop("n", "l", "words"))
-    saved = subtree_sums(filled.groupBy("c").agg(F.sum("own").alias("own")).join(parent, "c", "left"), ["own"], shelf)
-    out = filled.join(below(saved, ["own"]), NODE, "left").withColumn("own", F.col("own") + F.coalesce("_own", F.lit(0))).drop("_own")
-    out = upward(out, "own", "saved_tokens").join(parent, NODE, "left").join(id_digests(ends), NODE, "left")
-    above = F.when(F.col("d") > 0, F.coalesce("parent", "c"))
-    return out.select(F.col("c").alias("conv_id"), F.col("d").alias("depth"), above.alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
+    asked = last.withColumn("end", F.lit(True)).unionByName(hangs.withColumn("end", F.lit(False))).select(F.col("c").alias("id"), "d", "p", "q", "end")
+    places = shelf.put("places", looked_up(asked, minima.select("d", "p", "q", "c"), ["d", "p", "q"], F.col("id")).select("c", "d", "id", "end"))
+    ends, hung = places.filter("end"), places.filter("not end")
+    here = places.groupBy(*NODE).agg(F.sum(F.col("end").cast("long")).alias("n_convs"), F.sum((~F.col("end")).cast("long")).alias("hung"))
+    nodes = minima.join(here, NODE, "left").na.fill(0, ["n_convs", "hung"])
+    nodes = nodes.select("c", "d", "words", "n_convs", (F.col("hung") + (F.col("d") < F.col("n")).cast("long")).alias("n_children"))
+    nodes = shelf.put("nodes", nodes.withColumn("n_leaves", (F.col("n_children") == 0).cast("long")))
+    parent = shelf.put("parents", hung.select(F.col("id").alias("c"), F.col("c").alias("parent"), F.col("d").alias("at")))
+    above = ancestors(parent, shelf)
+
+    def with_below(nodes: DataFrame, values: list[str]) -> DataFrame:
+        """nodes whose values are summed over their subtrees: over all chains that hang from each, then along its own."""
+        sums = subtree_sums(nodes.groupBy("c").agg(*(F.sum(v).alias(v) for v in values)), above, values, shelf)
+        hanging = parent.join(sums, "c").groupBy(F.col("parent").alias("c"), F.col("at").alias("d")).agg(*(F.sum(v).alias(f"_{v}") for v in values))
+        whole = nodes.join(hanging, NODE, "left").withColumns({v: F.col(v) + F.coalesce(f"_{v}", F.lit(0)) for v in values}).drop(*(f"_{v}" for v in values))
+        return upward(whole, values)
+
+    nodes = with_below(nodes, ["n_convs", "n_leaves"])
+    nodes = shelf.put("counted", nodes.withColumn("saved_tokens", (F.col("n_convs") - 1) * F.col("words")).drop("words"))
+    tops = parent.select("c", "parent", (F.col("at") + 1).alias("d"))
+    out = with_below(nodes, ["saved_tokens"]).join(tops, NODE, "left").join(id_digests(ends), NODE, "left")
+    over = F.when(F.col("d") > 0, F.coalesce("parent", "c"))
+    return out.select(F.col("c").alias("conv_id"), F.col("d").alias("depth"), over.alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
 
 
 def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
