@@ -70,11 +70,9 @@ def select_apart(found: DataFrame, cells: DataFrame, aircraft: Aircraft, mission
     apart = aircraft.tdp_diameter_m * mission.minimum_candidate_separation_factor / cell_m - 1e-6
     failed = max(1.0, 0.25 * aircraft.tdp_radius_m / cell_m)
     rows = found.withColumn("id", F.col("r") * F.lit(1 << 31) + F.col("c")).withColumn("better", -F.col("quality"))
-    points = rows.select("id", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), "passes", "better")
-    points = points if within is None else points.join(rows.select("id", within), "id")
-    seen = spatial.examine_and_block(points, apart, failed, ["better"], store=store, within=within).select("id")
+    seen = spatial.examine_and_block(found.select("r", "c", "quality", "passes", *([within] if within else [])), apart, failed, store=store, within=within)
     most = mission.max_candidates if within is None else mission.max_candidates_per_tile
-    examined, budget = rows.join(seen, "id", "left_semi"), max(50, 25 * most)
+    examined, budget = rows.join(seen, seen.columns, "left_semi"), max(50, 25 * most)
     if within is None:
         best = examined.orderBy("better", "id").limit(budget).filter("passes").orderBy("better", "id").limit(most)
         return _attributes(best, cells, aircraft)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DATUM_TOLERANCE_M = 0.5
@@ -19,6 +19,19 @@ def tiles(spark: SparkSession, rows: int, cols: int, tile_px: int) -> DataFrame:
     return spark.range(n_r * n_c).select((F.col("id") + 1).alias("index"), edge(i, n_r, rows).alias("r0"), edge(i + 1, n_r, rows).alias("r1"), edge(j, n_c, cols).alias("c0"), edge(j + 1, n_c, cols).alias("c1"))
 
 
+def tile_of(r: Column, c: Column, rows: int, cols: int, tile_px: int) -> Column:
+    """index of the planned tile that a cell lies in, by arithmetic: the edge next to the proportional place is tried on both sides."""
+
+    def place(v: Column, size: int) -> tuple[Column, int]:
+        n = max(1, -(-size // tile_px))
+        edge = lambda k: F.bround(F.lit(float(size)) * k / n)
+        near = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(v * n / size)))
+        return near - F.when(v < edge(near), 1).otherwise(0) + F.when((v >= edge(near + 1)) & (near < n - 1), 1).otherwise(0), n
+
+    (i, _), (j, n_c) = place(r, rows), place(c, cols)
+    return (i * n_c + j + 1).cast("long")
+
+
 def unfinished(planned: DataFrame, finished: DataFrame) -> DataFrame:
     """Tiles that a resumed run has yet to do."""
     return planned.join(finished.select("index"), "index", "left_anti")

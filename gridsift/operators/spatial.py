@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsift.operators.storage import Store
+from gridsift.operators.tiles import TILE
 
 
 def near_join(left: DataFrame, right: DataFrame, radius: float, strict: bool = False) -> DataFrame:
@@ -63,27 +66,54 @@ def suppress(points: DataFrame, radius: float, order: list[str], key: str = "id"
     return points.join(kept, key, "left_semi")
 
 
-def examine_and_block(points: DataFrame, pass_radius: float, fail_radius: float, order: list[str], key: str = "id", store: Store | None = None, within: str | None = None) -> DataFrame:
-    """Greedy selection with a check: points(key, x, y, passes, order...) in order; one that passes blocks pass_radius, one that fails blocks fail_radius.
+def examine_and_block(cells: DataFrame, pass_px: float, fail_px: float, store: Store | None = None, within: str | None = None, tile: int = TILE) -> DataFrame:
+    """Greedy selection with a check among cells(r, c, quality, passes), best quality first, then by r and c: one that passes blocks pass_px around it, one that fails fail_px.
 
-    Returns the rows that are examined. A row is examined once no better row that could block it is undecided. Rows
-    with different values in the column within do not block each other.
+    Returns r and c (and within) of the cells that are examined. Rows with different values in the column within, an
+    integer, do not block each other. Each round goes through the undecided cells in tiles, with those around that can reach them: the
+    sequential pass decides what hangs on no cell outside. What it leaves undecided goes on to the next round, together with
+    the cells examined in this one. So a round exchanges undecided cells, some more than once, and pairs of cells are never listed.
     """
-    store = store or Store(points.sparkSession, "examine")
-    part = F.col(within) if within else F.lit(0)
-    rows = store.put("rows", points.select(key, "x", "y", "passes", F.struct(*order, key).alias("rank"), part.alias("part")))
-    other = rows.select(F.col(key).alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("rank").alias("rank2"), F.col("passes").alias("ok"), F.col("part").alias("part2"))
-    pairs = near_join(rows, other, max(pass_radius, fail_radius)).filter("part = part2 and rank2 < rank")
-    reach = F.when(F.col("ok"), F.lit(pass_radius)).otherwise(F.lit(fail_radius))
-    links = store.put("links", pairs.filter(F.col("d2") <= reach * reach + 1e-9).select(key, "other"))
-    alive, seen = store.put("alive", rows.select(key)), store.put("seen", rows.select(key).limit(0))
-    while not alive.isEmpty():
-        waiting = links.join(alive.withColumnRenamed(key, "other"), "other").select(key).distinct()
-        now = store.put("now", alive.join(waiting, key, "left_anti"))
-        blocked = links.join(now.withColumnRenamed(key, "other"), "other").select(key).distinct()
-        seen = store.put("seen", seen.unionByName(now))
-        alive = store.put("alive", alive.join(now, key, "left_anti").join(blocked, key, "left_anti"))
-    return points.join(seen, key, "left_semi")
+    store = store or Store(cells.sparkSession, "examine")
+    reach = int(max(pass_px, fail_px) + 1e-9)
+    halo, part = 2 * reach, F.col(within).cast("long") if within else F.lit(0).cast("long")
+    stamps = {ok: np.array([(dr, dc) for dr in range(-reach, reach + 1) for dc in range(-reach, reach + 1) if dr * dr + dc * dc <= px * px + 1e-9], np.int64) for ok, px in ((True, pass_px), (False, fail_px))}
+    spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
+    size = tile + 2 * halo
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        r, c = (rows[x].to_numpy() - (k.as_py() * tile - halo) for x, k in zip(("r", "c"), key[1:], strict=True))
+        quality, passes, new = rows["quality"].to_numpy(), rows["passes"].to_numpy(zero_copy_only=False), rows["new"].to_numpy(zero_copy_only=False)
+        wide = size + 2 * reach
+        blocked, doubt = np.zeros(wide * wide, bool), np.zeros(wide * wide, bool)
+        around = {ok: o[:, 0] * wide + o[:, 1] for ok, o in stamps.items()}
+        at = (r + reach) * wide + c + reach
+        state = np.zeros(len(r), np.int8)
+        inner = (np.minimum(r, c) >= reach) & (np.maximum(r, c) < size - reach)
+        order = np.lexsort((c, r, -quality))
+        for i in order.tolist():
+            if new[i]:  # it blocks those after it
+                blocked[at[i] + around[passes[i]]] = True
+                state[i] = 2
+            elif blocked[at[i]]:
+                state[i] = 2
+            elif inner[i] and not doubt[at[i]]:
+                state[i] = 1
+                blocked[at[i] + around[passes[i]]] = True
+            else:
+                doubt[at[i] + around[passes[i]]] = True
+        keep = (state < 2) & (np.minimum(r, c) >= halo) & (np.maximum(r, c) < halo + tile)
+        out = rows.filter(pa.array(keep))
+        return out.set_column(out.schema.get_field_index("new"), "new", pa.array(state[keep] == 1))
+
+    kind = "part long, r long, c long, quality double, passes boolean, new boolean"
+    left = store.put("left", cells.select(part.alias("part"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("quality").cast("double").alias("quality"), "passes", F.lit(False).alias("new")))
+    seen = store.put("seen", left.filter("new").select("part", "r", "c"))
+    while not left.filter("not new").isEmpty():
+        moved = left.withColumn("tr", spread("r")).withColumn("tc", spread("c"))
+        left = store.put("left", moved.groupBy("part", "tr", "tc").applyInArrow(lambda key, rows: run(key, rows.select(["part", "r", "c", "quality", "passes", "new"])), kind))
+        seen = store.put("seen", seen.unionByName(left.filter("new").select("part", "r", "c")))
+    return seen.select("r", "c", *([F.col("part").alias(within)] if within else []))
 
 
 def groups(points: DataFrame, radius: float, key: str = "id", store: Store | None = None) -> DataFrame:

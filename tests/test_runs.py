@@ -4,11 +4,12 @@ import dataclasses
 import datetime
 import math
 import random
+import threading
 import time
 
 import pytest
 from gridsift.functions import geodesy as g
-from gridsift.operators import masks, runs, spatial, storage
+from gridsift.operators import digests, masks, planning, runs, spatial, storage
 from gridsift.sources import obstacles, profiles, sinks
 from gridsift.streaming import live
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def test_a_stopped_run_ends_like_one_that_was_not(spark, tmp_path):
     whole = rows(go("a", per_step=5))
     assert len(whole) > 3
     assert go("b", per_step=2, steps=2) is None
-    done = runs.TiledRun(spark, str(tmp_path / "b"), {"aircraft": vars(small), "mission": vars(profiles.Mission()), "rows": 40, "cols": 30, "tile_px": 10}, spark.range(12).toDF("index"))
+    done = runs.TiledRun(spark, str(tmp_path / "b"), runs.settings_of(cells, 40, 30, small, profiles.Mission(), 10), spark.range(12).toDF("index"))
     assert sorted(r["index"] for r in done.finished().collect()) == [1, 2, 3, 4]
     # a tile that was written but not listed is written again
     spark.read.parquet(str(tmp_path / "b" / "sites")).filter("index = 1").withColumn("index", F.lit(5)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index").parquet(str(tmp_path / "b" / "sites"))
@@ -40,6 +41,58 @@ def test_a_stopped_run_ends_like_one_that_was_not(spark, tmp_path):
     assert all(x[2] >= 15 for x in rows(go("c", removed=removed)))
 
 
+def test_a_run_with_other_inputs_is_not_taken_up(spark, tmp_path):
+    cells, small = ground(spark, 20, 20), profiles.Aircraft()
+    go = lambda cells=cells, **more: runs.screen(spark, cells, 20, 20, small, profiles.Mission(), str(tmp_path / "a"), 10, **more)
+    all_cells, tower = cells.select("r", "c"), spark.createDataFrame([(1.0, 2.0)], "x double, agl_m double")
+    assert go(steps=0) is None
+    assert go(cells.repartition(7), steps=0) is None  # equal content in another order
+    for other in ({"removed": all_cells}, {"inputs": {"obstacles": tower}}, {"cells": cells.withColumn("z", F.when(F.col("r") == 3, F.col("z") + 1e-9).otherwise(F.col("z")))}, {"cells": cells.unionByName(cells.limit(1))}):
+        with pytest.raises(ValueError, match="settings"):
+            go(**other, steps=0)
+
+
+def test_a_run_without_sites_has_no_rows(spark, tmp_path):
+    cells = ground(spark, 20, 20)
+    out = runs.screen(spark, cells, 20, 20, profiles.Aircraft(), profiles.Mission(), str(tmp_path / "a"), 10, removed=cells.select("r", "c"))
+    assert out.count() == 0 and {"place", "r", "c", "quality"} <= set(out.columns)
+    assert runs.screen(spark, cells, 20, 20, profiles.Aircraft(), profiles.Mission(), str(tmp_path / "a"), 10, removed=cells.select("r", "c")).count() == 0
+
+
+def test_progress_and_cancelling(spark, tmp_path):
+    cells = ground(spark, 40, 30)
+    go = lambda folder, **more: runs.screen(spark, cells, 40, 30, profiles.Aircraft(), profiles.Mission(), str(tmp_path / folder), 10, per_step=4, **more)
+    told = []
+    whole = go("a", progress=lambda done, all_: told.append((done, all_))).orderBy("place").collect()
+    assert told == [(0, 12), (4, 12), (8, 12), (12, 12)]
+
+    def stop(done, _):
+        if done == 4:  # from now on the run's jobs are stopped, as by another thread
+            threading.Thread(target=lambda: [(time.sleep(0.2), spark.sparkContext.cancelJobsWithTag("screening")) for _ in range(40)], daemon=True).start()
+
+    with pytest.raises(Exception, match="(?i)cancel|interrupt"):
+        go("b", progress=stop, tag="screening")
+    assert "screening" not in spark.sparkContext.getJobTags()
+    time.sleep(9)  # the other thread ends
+    told.clear()
+    assert go("b", progress=lambda done, all_: told.append(done)).orderBy("place").collect() == whole
+    assert told[0] in (4, 8)
+
+
+def test_tiles_by_arithmetic(spark):
+    for rows, cols, px in ((151, 97, 40), (7, 3, 2), (40, 30, 100), (1000, 1, 7)):
+        cells = spark.range(rows * cols).select(F.expr(f"id div {cols}").alias("r"), (F.col("id") % cols).alias("c")).withColumn("at", planning.tile_of(F.col("r"), F.col("c"), rows, cols, px))
+        assert cells.join(planning.tiles(spark, rows, cols, px), F.expr("r >= r0 and r < r1 and c >= c0 and c < c1")).filter("at = index").count() == rows * cols
+
+
+def test_digests(spark):
+    rows = [(1, "a", 0.0), (2, None, 1.5), (2, None, 1.5), (3, "", None)]
+    of = lambda rows, kind="i long, s string, d double": digests.text_of(spark.createDataFrame(rows, kind))
+    assert of(rows) == of(rows[::-1]) == of([(1, "a", -0.0), *rows[1:]])
+    assert len({of(x) for x in (rows, rows[:3], rows[1:], [*rows, rows[0]], [(1, "a", 1e-300), *rows[1:]], [*rows[:3], (3, None, None)], [])}) == 7
+    assert of([("ab", "c")], "a string, b string") != of([("a", "bc")], "a string, b string")
+
+
 def test_tiled_exact_metrics_leave_no_seams(spark):
     from gridsift.operators import terrain
 
@@ -153,8 +206,8 @@ def test_sinks(spark, tmp_path):
 
 
 def test_published_positions(spark):
-    """A tower and a monument whose grid positions are published, to the metre."""
-    rows = spark.createDataFrame([(43.642567, -79.387139, 630084, 4833439, "17T PJ"), (38.889484, -77.035278, 323483, 4306480, "18S UJ")], "lat double, lon double, e int, n int, square string")
+    """A tower whose grid position is published, and a monument, by a series of sixth order in the third flattening."""
+    rows = spark.createDataFrame([(43.642567, -79.387139, 630084, 4833439, "17T PJ"), (38.889484, -77.035278, 323480, 4306481, "18S UJ")], "lat double, lon double, e int, n int, square string")
     rows = rows.withColumn("zone", F.expr(g.zone("lat", "lon"))).withColumn("band", F.expr(g.band("lat")))
     east, north = g.to_utm("lat", "lon", "zone")
     for r in rows.withColumn("east", F.expr(east)).withColumn("north", F.expr(north)).withColumn("mgrs", F.expr(g.mgrs("zone", "band", "east", "north"))).collect():

@@ -82,12 +82,22 @@ def test_greedy_selections_equal_a_loop(spark):
         if all((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 >= 400 - 1e-9 for q in kept):
             kept.append(p)
     assert {r["id"] for r in spatial.suppress(df, 20.0, ["worse"]).collect()} == {p[0] for p in kept}
+
+
+@pytest.mark.parametrize(("wide", "narrow", "tile"), [(4.0, 1.5, 8), (2.0, 5.0, 6), (6.0, 1.0, 256)])
+def test_examining_cells_equals_a_loop(spark, wide, narrow, tile):
+    """Chains of cells that hang on one another go across many tiles: quality falls along the rows. Ties are frequent."""
+    rng = random.Random(int(wide))
+    cells = [(r, c, part, round(1 - c / 60 + rng.choice([0, 0.01, 0.5]), 2), rng.random() < 0.6) for part in (3, 8) for r in range(30) for c in range(-10, 40) if rng.random() < 0.8]
     seen, blocks = [], []
-    for p in sorted(points, key=lambda p: (p[3], p[0])):
-        if all((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 > d * d + 1e-9 for q, d in blocks):
-            seen.append(p[0])
-            blocks.append((p, 20.0 if p[4] else 6.0))
-    assert {r["id"] for r in spatial.examine_and_block(df, 20.0, 6.0, ["worse"]).collect()} == set(seen)
+    for r, c, part, _, ok in sorted(cells, key=lambda p: (-p[3], p[0], p[1])):
+        if all(part != p or (r - y) ** 2 + (c - x) ** 2 > d * d + 1e-9 for y, x, p, d in blocks):
+            seen.append((r, c, part))
+            blocks.append((r, c, part, wide if ok else narrow))
+    df = spark.createDataFrame(cells, "r long, c long, part long, quality double, passes boolean")
+    got = spatial.examine_and_block(df, wide, narrow, within="part", tile=tile)
+    assert sorted(tuple(x) for x in got.select("r", "c", "part").collect()) == sorted(seen)
+    assert spatial.examine_and_block(df.limit(0), wide, narrow).count() == 0
 
 
 def test_groups_of_cells(spark):
