@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridsift.llm.common import Shelf, in_small_batches, table
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Spaces between which both tokenizers start anew. Python's white space includes all that the byte-level pattern takes for such.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 #: White space this long makes the ranks' pattern search recurse too deep.
@@ -78,6 +78,8 @@ class Aligner:
             raise ValueError("pieces that go on over a space: texts can't be broken at spaces")
         self.b_bytes = [bytes([int(x[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", x) else x.replace("▁", " ").encode() for x in names]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.spellings = [f"{i}{sign}" for sign in (",", "|", ";", "\n") for i in range(most)]
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
 
     def encode_a(self, text: str) -> list[int]:
@@ -93,21 +95,28 @@ class Aligner:
 
     def align(self, texts: list[str | None]) -> dict:
         """What a chunk's row holds of its texts."""
-        known: dict[str, int] = {}
-        broken = [[known.setdefault(s, len(known)) for s in BREAK.split(t)] if t else [] for t in texts]
-        stretches = list(known)
-        a, b = [self.encode_a(" " + s) for s in stretches], self.pieces.encode(stretches, num_threads=1) if stretches else []
-        bad = {i for i, s in enumerate(stretches) if not b"".join([self.b_bytes[x] for x in b[i]]) == b" " + s.encode() == b"".join([self.a_bytes[x] for x in a[i]])}
-        broken = [[] if bad and not bad.isdisjoint(x) else x for x in broken]
-        for i in bad:
-            a[i], b[i] = [], []
-        n = len(stretches)
-        sides = {}
-        for side, ids, sizes in (("a", a, self.a_sizes), ("b", b, self.b_sizes)):
-            counts = np.fromiter(map(len, ids), np.int64, n)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
-            sides[side] = (np.repeat(np.arange(n, dtype=np.int32), counts), flat, np.cumsum(sizes[flat]), counts)
-            self.db.register(side, pa.table({"stretch": sides[side][0], "id": flat, "e": sides[side][2]}))
+        broken = [BREAK.split(t) if t else [] for t in texts]
+        stretches = list(dict.fromkeys(chain.from_iterable(broken)))
+        place = {s: i for i, s in enumerate(stretches)}.__getitem__
+        broken = [list(map(place, x)) for x in broken]
+        n, spaced = len(stretches), [" " + s for s in stretches]
+        ids = {"a": [self.encode_a(s) for s in spaced], "b": self.pieces.encode(stretches, num_threads=1) if stretches else []}
+        want = [s.encode() for s in spaced]
+        sizes, whole, bad, sides = np.fromiter(map(len, want), np.int64, n), b"".join(want), set(), {}
+        for side, tokens, length in (("a", self.a_bytes, self.a_sizes), ("b", self.b_bytes, self.b_sizes)):
+            counts, flat = flattened(ids[side])
+            of = np.repeat(np.arange(n, dtype=np.int32), counts)
+            if not np.array_equal(np.bincount(of, length[flat], n).astype(np.int64), sizes) or b"".join(map(tokens.__getitem__, flat.tolist())) != whole:
+                bad |= {i for i, s in enumerate(want) if b"".join(map(tokens.__getitem__, ids[side][i])) != s}
+            sides[side] = (of, flat, np.cumsum(length[flat]), counts)
+        if bad:
+            broken = [[] if not bad.isdisjoint(x) else x for x in broken]
+            for side, length in (("a", self.a_sizes), ("b", self.b_sizes)):
+                counts, flat = flattened([[] if i in bad else x for i, x in enumerate(ids[side])])
+                sides[side] = (np.repeat(np.arange(n, dtype=np.int32), counts), flat, np.cumsum(length[flat]), counts)
+        del ids, want, spaced, whole
+        for side in "ab":
+            self.db.register(side, pa.table({"stretch": sides[side][0], "id": sides[side][1], "e": sides[side][2]}))
         lengths = np.fromiter(map(len, broken), np.int64, len(broken))
         inside = np.fromiter(chain.from_iterable(broken), np.int64, int(lengths.sum()))
         self.db.register("inside", pa.table({"doc": np.repeat(np.arange(len(broken), dtype=np.int32), lengths), "stretch": inside.astype(np.int32)}))
@@ -126,7 +135,7 @@ class Aligner:
         each["n_groups"] = np.bincount(of_group, minlength=n)
         each["n_links"] = np.zeros(n, np.int64)
         np.add.at(each["n_links"], of_group, in_group[0] * in_group[1])
-        written = spelled(group_of, [sides["a"][1], sides["b"][1]], of_group, n)
+        written = spelled(group_of, [sides["a"][1], sides["b"][1]], of_group, n, self.spellings)
         digest = lambda x: hashlib.sha256(";".join([written[i] for i in x]).encode()).hexdigest() if x else ""
         start = np.cumsum(lengths) - lengths
         total = lambda v: np.diff(np.r_[0, np.cumsum(v[inside])][np.r_[start, len(inside)]])
@@ -137,8 +146,14 @@ class Aligner:
         }
 
 
-def spelled(group_of: list[np.ndarray], ids: list[np.ndarray], of_group: np.ndarray, n: int) -> list[str]:
-    """Of each stretch, its groups as text: ids of one side by commas, sides by a bar, groups by semicolons."""
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each list has, and all of them."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return counts, np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
+
+
+def spelled(group_of: list[np.ndarray], ids: list[np.ndarray], of_group: np.ndarray, n: int, spellings: list[str]) -> list[str]:
+    """Of each stretch, its groups as text: ids of one side by commas, sides by a bar, groups by semicolons. spellings: every id with each sign after it."""
     key = np.concatenate([2 * group_of[0], 2 * group_of[1] + 1])
     order = np.argsort(key, kind="stable")
     key, flat = key[order], np.concatenate(ids)[order]
@@ -147,7 +162,7 @@ def spelled(group_of: list[np.ndarray], ids: list[np.ndarray], of_group: np.ndar
     sign = np.where(after == key, 0, np.where(after >> 1 == key >> 1, 1, np.where(last[key >> 1], 3, 2)))
     if len(sign):
         sign[-1] = 3
-    text = "".join([f"{i}{',|;' [s]}" if s < 3 else f"{i}\n" for i, s in zip(flat.tolist(), sign.tolist())]).split("\n")
+    text = "".join(map(spellings.__getitem__, (sign * (len(spellings) // 4) + flat).tolist())).split("\n")
     out = [""] * n
     for i, t in zip(np.unique(of_group).tolist(), text):
         out[i] = t
