@@ -19,6 +19,24 @@ def tiles(spark: SparkSession, rows: int, cols: int, tile_px: int) -> DataFrame:
     return spark.range(n_r * n_c).select((F.col("id") + 1).alias("index"), edge(i, n_r, rows).alias("r0"), edge(i + 1, n_r, rows).alias("r1"), edge(j, n_c, cols).alias("c0"), edge(j + 1, n_c, cols).alias("c1"))
 
 
+@F.udtf(returnType="index long, r0 long, r1 long, c0 long, c1 long")
+class PlanTiles:
+    """plan_tiles(rows, cols, tile_px) in SQL: the tiles of a grid, which may differ from row to row of a lateral join."""
+
+    def eval(self, rows: int, cols: int, tile_px: int):
+        if rows is None or cols is None or rows < 1 or cols < 1:
+            return
+        n_r, n_c = -(-rows // tile_px), -(-cols // tile_px)
+        edge = lambda k, n, size: round(size * k / n)
+        for i in range(n_r):
+            for j in range(n_c):
+                yield i * n_c + j + 1, edge(i, n_r, rows), edge(i + 1, n_r, rows), edge(j, n_c, cols), edge(j + 1, n_c, cols)
+
+
+def register(spark: SparkSession) -> None:
+    spark.udtf.register("plan_tiles", PlanTiles)
+
+
 def tile_of(r: Column, c: Column, rows: int, cols: int, tile_px: int) -> Column:
     """index of the planned tile that a cell lies in, by arithmetic: the edge next to the proportional place is tried on both sides."""
 
