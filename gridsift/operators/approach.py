@@ -119,6 +119,29 @@ def class_letters(found: DataFrame) -> DataFrame:
     return found.groupBy("r0", "c0").agg(F.array_join(F.transform(ordered, lambda x: x["letter"]), "").alias("letters"))
 
 
+#: A sector within a candidate, as text and in memory.
+SECTOR = "azimuth double, worst double, coverage double, class string, obstacle long"
+
+
+def nested(found: DataFrame) -> DataFrame:
+    """r0, c0, sectors: the sectors of each candidate from north on, as one array of structures."""
+    whole = F.struct(*(F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in SECTOR.split(", ")))
+    return found.groupBy("r0", "c0").agg(F.array_sort(F.collect_list(whole)).alias("sectors"))
+
+
+def sectors_to_json(sectors: Column) -> Column:
+    """A candidate's sectors as JSON text: what is not a finite number is null, and is written."""
+    finite = lambda v: F.when(F.abs(v) < F.lit(float("inf")), v)
+    clean = F.transform(sectors, lambda x: x.withField("worst", finite(x["worst"])).withField("coverage", finite(x["coverage"])))
+    return F.to_json(clean, {"ignoreNullFields": "false"})
+
+
+def sectors_from_json(text: Column) -> Column:
+    """The sectors of JSON text. Fields that it lacks have their defaults: no coverage, class INCOMPLETE, no obstacle; fields of other names go. Null for text that is no such list."""
+    read = F.from_json(text, f"array<struct<{SECTOR.replace(' ', ': ').replace(',:', ',')}>>")
+    return F.transform(read, lambda x: x.withField("coverage", F.coalesce(x["coverage"], F.lit(0.0))).withField("class", F.coalesce(x["class"], F.lit(INCOMPLETE))))
+
+
 def bearing_text(degrees: Column) -> Column:
     """Three digits, 000 to 359."""
     return F.lpad(F.pmod(F.round(degrees), F.lit(360.0)).cast("int").cast("string"), 3, "0")

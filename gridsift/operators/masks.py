@@ -119,6 +119,68 @@ def nearest_distance(cells: DataFrame, mask: DataFrame, reach_px: float, cell_m:
     return cells.select("r", "c").join(grow(mask, reach_px), ["r", "c"], "left").select("r", "c", (F.sqrt("d2") * cell_m).alias("distance"))
 
 
+def closed(features: DataFrame) -> DataFrame:
+    """features(fid, kind, part, i, x, y, ...) whose area rings end where they begin."""
+    first = F.min_by(F.struct("x", "y"), "i")
+    keys = [c for c in features.columns if c not in ("i", "x", "y")]
+    ends = features.filter("kind = 'area'").groupBy(*keys).agg(first.alias("p"), (F.max("i") + 1).alias("i")).select(*keys, "i", "p.x", "p.y")
+    return features.unionByName(ends)
+
+
+def tallest_within(touched: DataFrame, radius_px: float, tile: int = tiles.TILE) -> DataFrame:
+    """r, c, agl_m, fid: of touched(r, c, agl_m, fid), the tallest within the radius of each cell, ties to the smaller fid. No disk is listed cell by cell."""
+    reach = int(math.floor(radius_px + 1e-9))
+    span = {dr: int(math.floor(math.sqrt(radius_px * radius_px - dr * dr + 1e-9))) for dr in range(-reach, reach + 1)}
+    top = touched.groupBy("r", "c").agg(F.max(F.struct("agl_m", (-F.col("fid")).alias("back"))).alias("t")).select("r", "c", "t.agl_m", (-F.col("t.back")).alias("fid"))
+    spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile)))
+    moved = top.withColumn("tr", spread("r")).withColumn("tc", spread("c"))
+    size = tile + 2 * reach
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        r0, c0 = (k.as_py() * tile - reach for k in key)
+        agl, fid = rows["agl_m"].to_numpy(), rows["fid"].to_numpy()
+        order = np.lexsort((-fid, agl))
+        place = np.empty(len(order))
+        place[order] = np.arange(len(order))
+        grid = np.full((size, size), np.nan)
+        grid[rows["r"].to_numpy() - r0, rows["c"].to_numpy() - c0] = place
+        best = tiles.largest(grid, span)[reach : reach + tile, reach : reach + tile]
+        r, c = np.nonzero(~np.isnan(best))
+        owner = order[best[r, c].astype(np.int64)]
+        return pa.table({"r": r + (r0 + reach), "c": c + (c0 + reach), "agl_m": agl[owner], "fid": fid[owner]})
+
+    return moved.groupBy("tr", "tc").applyInArrow(run, "r long, c long, agl_m double, fid long")
+
+
+def footprint_heights(features: DataFrame, cells: DataFrame, height: Column, buffer_m: float, cell_m: float = 1.0) -> DataFrame:
+    """r, c, agl_m, owner: the tallest footprint over each cell of cells(r, c, y), ties to the smaller fid.
+
+    features(fid, kind, part, i, x, y, agl_m) are points, lines of parts and areas of rings (even-odd). Points reach cells whose centre is
+    within the buffer, or three quarters of a cell; lines and outlines reach as far around the cells that they touch; areas have their inner cells too.
+    """
+    radius = max(buffer_m, 0.75 * cell_m)
+    k = int(math.ceil(radius / cell_m)) + 1
+    around = F.explode(F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in range(-k, k + 1) for dc in range(-k, k + 1) if dr * dr + dc * dc <= (radius / cell_m + 1.5) ** 2)))
+    near = cell_of(features.filter("kind = 'point'"), height, cell_m).withColumn("o", around).select("fid", "agl_m", "x", "y", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
+    dx, dy = (F.col("c") + 0.5) * cell_m - F.col("x"), (height - F.col("r") - 0.5) * cell_m - F.col("y")
+    points = near.filter(dx * dx + dy * dy <= radius * radius)
+    tall = features.select("fid", "agl_m").distinct()
+    outlines = closed(features.filter("kind != 'point'"))
+    touched = cell_of(densify(outlines, cell_m / 2), height, cell_m).select("fid", "r", "c").distinct().join(tall, "fid")
+    inner = polygon_cells(features.filter("kind = 'area'").withColumnRenamed("part", "ring"), cells, cell_m).join(tall, "fid")
+    parts = [x.select("r", "c", "agl_m", "fid") for x in (points, tallest_within(touched, radius / cell_m), inner)]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("r", "c").agg(F.max(F.struct("agl_m", (-F.col("fid")).alias("back"))).alias("t"))
+    return whole.join(cells.select("r", "c"), ["r", "c"], "left_semi").select("r", "c", "t.agl_m", (-F.col("t.back")).alias("owner"))
+
+
+def footprint_samples(features: DataFrame, cells: DataFrame, height: Column, step_m: float = 5.0, cell_m: float = 1.0) -> DataFrame:
+    """owner, x, y, top_m: points, and points along lines and outlines at most a step apart, with the height of their tops; those over unknown ground go."""
+    tall = features.select("fid", "agl_m").distinct()
+    along = densify(closed(features.filter("kind != 'point'")), step_m).select("fid", "x", "y").unionByName(features.filter("kind = 'point'").select("fid", "x", "y"))
+    at = cell_of(along.join(tall, "fid"), height, cell_m).join(cells.filter("z is not null").select("r", "c", "z"), ["r", "c"])
+    return at.select(F.col("fid").alias("owner"), "x", "y", (F.col("z") + F.col("agl_m")).alias("top_m"))
+
+
 def burn_heights(cells: DataFrame, footprints: DataFrame) -> DataFrame:
     """cells(r, c, z, dsm) whose surface is raised to the ground plus the tallest of footprints(r, c, agl_m)."""
     tallest = footprints.groupBy("r", "c").agg(F.max("agl_m").alias("_agl"))

@@ -7,7 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DATUM_TOLERANCE_M = 0.5
+from gridsift.operators import sketches
+
+DATUM_TOLERANCE_M, MOST_BELOW = 0.5, 0.05
 SECONDS_PER_MILLION = (2.0, 5.0)
 
 
@@ -74,11 +76,30 @@ def runtime(estimates: DataFrame) -> DataFrame:
     return estimates.withColumn("low_s", F.round(F.col("cells") / 1e6 * low, 3)).withColumn("high_s", F.round(F.col("cells") / 1e6 * high, 3))
 
 
+def _samples(cells: DataFrame, every: int) -> DataFrame:
+    """r, c, d: surface less ground on a regular sample of the cells."""
+    return cells.filter((F.col("r") % every == 0) & (F.col("c") % every == 0)).select("r", "c", (F.col("dsm") - F.col("z")).alias("d")).filter("d is not null and not isnan(d)")
+
+
 def surface_check(cells: DataFrame, every: int = 5, least: int = 100) -> DataFrame:
     """sampled, p05, below: the low end of surface less ground on a regular sample, and whether it hints at a vertical shift."""
-    own = cells.filter((F.col("r") % every == 0) & (F.col("c") % every == 0)).select((F.col("dsm") - F.col("z")).alias("d")).filter("d is not null")
-    out = own.agg(F.count(F.lit(1)).alias("sampled"), F.percentile("d", F.lit(0.05)).alias("p05"), F.avg((F.col("d") < -DATUM_TOLERANCE_M).cast("double")).alias("below"))
-    return out.withColumn("suspicious", (F.col("sampled") >= least) & (F.abs("p05") > DATUM_TOLERANCE_M))
+    own = _samples(cells, every)
+    p05 = sketches.exact_quantile(own, "d", 0.05)
+    out = own.agg(F.count(F.lit(1)).alias("sampled"), F.lit(p05).cast("double").alias("p05"), F.avg((F.col("d") < -DATUM_TOLERANCE_M).cast("double")).alias("below"))
+    return out.withColumn("suspicious", (F.col("sampled") >= least) & F.coalesce(F.abs("p05") > DATUM_TOLERANCE_M, F.lit(False)))
+
+
+def tile_surface(cells: DataFrame, rows: int, cols: int, tile_px: int, every: int = 5, least: int = 1000) -> DataFrame:
+    """index, sampled, p05, below, flagged of each planned tile with at least so many samples: a tile is flagged for its low end or for a share of more than 5 % below the ground."""
+    own = _samples(cells, every).withColumn("index", tile_of(F.col("r"), F.col("c"), rows, cols, tile_px))
+    per = own.groupBy("index").agg(F.count(F.lit(1)).alias("sampled"), F.percentile("d", F.lit(0.05)).alias("p05"), F.avg((F.col("d") < -DATUM_TOLERANCE_M).cast("double")).alias("below"))
+    return per.filter(F.col("sampled") >= least).withColumn("flagged", (F.abs("p05") > DATUM_TOLERANCE_M) | (F.col("below") > MOST_BELOW))
+
+
+def surface_of_run(per_tile: DataFrame) -> DataFrame:
+    """tiles, flagged and median_p05 over the tiles of tile_surface. One row; the median of tiles is found without one task for all."""
+    median = sketches.exact_quantile(per_tile, "p05", 0.5)
+    return per_tile.agg(F.count(F.lit(1)).alias("tiles"), F.count_if("flagged").alias("flagged")).withColumn("median_p05", F.lit(median).cast("double"))
 
 
 def bilinear(points: DataFrame, cells: DataFrame, height: int, cell_m: float = 1.0) -> DataFrame:

@@ -35,7 +35,11 @@ from nation cross join {HEIGHT} hh cross join (values (0),(1)) t(ring) cross joi
     "lines": """select cast(fid as bigint) as fid, cast(part as bigint) as part, cast(i as bigint) as i, cast(x as double) as x, cast(y as double) as y
 from (values (0,0,0,10.5,5.5),(0,0,1,90.5,5.5),(1,0,0,5.5,1.5),(1,0,1,35.5,9.5),(2,0,0,60.5,2.5),(2,0,1,80.5,2.5),(2,0,2,80.5,8.5),(2,0,3,60.5,8.5),(2,0,4,60.5,2.5),(3,0,0,-50.5,-40.5),(3,0,1,-20.5,-40.5)) v(fid,part,i,x,y)""",
 }
-TABLES = {"cells": ["orders"], "obstacles": ["supplier", "orders"], "points": ["customer"], "polygons": ["nation", "orders"], "circles": ["region", "orders"], "positions": ["supplier"], "lines": []}
+SQL["features"] = f"""select fid, 'area' as kind, ring as part, i, x, y, cast(8 + fid%5 as double) as agl_m from ({SQL["polygons"]}) p
+union all select 1000 + owner, 'point', cast(0 as bigint), cast(0 as bigint), x, y, agl_m from ({SQL["obstacles"]}) o
+union all select cast(500 + r_regionkey as bigint), 'line', cast(0 as bigint), cast(i as bigint), cast((r_regionkey*23)%70 as double) + cast(0.25 as double) + 27*i, cast((r_regionkey*31)%h as double) + cast(0.25 as double) + cast(4.5 as double)*i,
+       cast(12 + r_regionkey as double) from region cross join {HEIGHT} hh cross join (values (0),(1)) v(i)"""
+TABLES = {"features": ["nation", "region", "supplier", "orders"], "cells": ["orders"], "obstacles": ["supplier", "orders"], "points": ["customer"], "polygons": ["nation", "orders"], "circles": ["region", "orders"], "positions": ["supplier"], "lines": []}
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
