@@ -2,8 +2,8 @@
 
 Each document is measured and tested against rules. The failures of each rule are added up by host and their rates
 are shrunk towards the mean of all documents with an empirical beta prior. The verdicts go back to the documents: a
-host most of whose documents surely fail a rule loses all of them; at a host whose rate is clearly below the mean a
-failing document has the benefit of the doubt; at all others it goes. The base rules need no verdict.
+host most of whose documents surely fail a rule loses all of them; at a host that surely fails a rule more often than
+the mean, the documents that fail it go; at all others a failing document has the benefit of the doubt. The base rules need no verdict.
 """
 
 from __future__ import annotations
@@ -20,10 +20,8 @@ from gridsift.llm.common import Shelf, in_small_batches, table
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
-#: A host loses all its documents if the shrunk rate, less so many posterior deviations, is over halfway from the mean to 1.
+#: A rule counts at a host if the shrunk rate, less so many posterior deviations, is above the mean; if that is over halfway from the mean to 1, the host loses all its documents.
 SURE = 2.0
-#: A rule counts at a host unless its shrunk rate is below this share of the mean.
-CLEARLY = 0.99
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rule -> SQL condition of failure over the measures and n_lines, the number of lines that hold a word.
 RULES = {
@@ -95,17 +93,18 @@ def host_rates(measured: DataFrame, rules=RULES) -> DataFrame:
     for k in rules:
         m, weight = F.col(f"m_{k}"), F.col("n") + F.col(f"s_{k}")
         rate = (F.col(f"f_{k}") + m * F.col(f"s_{k}")) / weight
-        out += [rate.alias(f"rate_{k}"), (rate >= CLEARLY * m).alias(f"counts_{k}"), (rate - SURE * F.sqrt(rate * (1 - rate) / (weight + 1)) > (1 + m) / 2).alias(f"bad_{k}")]
+        surely = rate - SURE * F.sqrt(rate * (1 - rate) / (weight + 1))
+        out += [rate.alias(f"rate_{k}"), (surely > m).alias(f"counts_{k}"), (surely > (1 + m) / 2).alias(f"bad_{k}")]
     rated = rated.select("host", "n", *out)
     return rated.withColumn("host_kept", ~F.greatest(*(F.col(f"bad_{k}") for k in rules))).drop(*(f"bad_{k}" for k in rules))
 
 
 def judge(docs: DataFrame, host: str = "source", rules=RULES, base=BASE_RULES) -> DataFrame:
-    """doc_id, host, the measures, n_lines, base_failed, host_kept and kept, one row per row of docs.
+    """doc_id, host, the measures, n_lines, base_failed, soft_failed (another rule, whatever the host), host_kept and kept, one row per row of docs.
 
-    docs needs doc_id, text and the host column; others are ignored. Null or empty text: no words, so it fails
-    too_short. Null host: no host verdict, so all rules count. Repeated rows are measured and counted each. An
-    empty table gives an empty result.
+    docs needs doc_id, text and the host column; others are ignored, whatever they are called. Null or empty text: no words, so it fails
+    too_short. Null host: no host verdict, so only the base rules count. Repeated rows are measured and counted each. A rate that equals
+    a bound is not above it. An empty table gives an empty result.
     """
     spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "quality")
     plain = in_small_batches(docs.select("doc_id", F.col(host).alias("host"), "text"))
@@ -114,9 +113,10 @@ def judge(docs: DataFrame, host: str = "source", rules=RULES, base=BASE_RULES) -
     verdicts = shelf.put("verdicts", host_rates(measured, rules).select("host", "host_kept", *(f"counts_{k}" for k in rules)))
     failed = F.expr(" or ".join(f"({rules[k]})" for k in base))
     out = measured.join(verdicts, "host", "left").withColumn("host_kept", F.coalesce("host_kept", F.lit(True)))
-    soft = [F.expr(f"({rules[k]})") & F.coalesce(f"counts_{k}", F.lit(True)) for k in rules if k not in base]
+    soft = [F.expr(f"({rules[k]})") & F.coalesce(f"counts_{k}", F.lit(False)) for k in rules if k not in base]
     fine = ~F.greatest(failed, failed, *soft)
-    return out.withColumn("base_failed", failed).withColumn("kept", fine & F.col("host_kept")).drop(*(f"counts_{k}" for k in rules))
+    alone = [F.expr(f"({rules[k]})") for k in rules if k not in base]
+    return out.withColumn("base_failed", failed).withColumn("soft_failed", F.greatest(F.lit(False), F.lit(False), *alone)).withColumn("kept", fine & F.col("host_kept")).drop(*(f"counts_{k}" for k in rules))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +130,10 @@ def _oracle() -> str:
     spread = ", ".join(f"sum(n * pow(f_{k} / cast(n as double) - m_{k}, 2)) / all_n as v_{k}" for k in RULES)
     strength = ", ".join(f"m_{k}, least(1e6, m_{k} * (1 - m_{k}) / greatest(1e-12, v_{k} - m_{k} * (1 - m_{k}) * hosts / all_n)) as s_{k}" for k in RULES)
     rates = ", ".join(f"m_{k}, n + s_{k} as w_{k}, (f_{k} + m_{k} * s_{k}) / (n + s_{k}) as r_{k}" for k in RULES)
-    counts = ", ".join(f"r_{k} >= {CLEARLY} * m_{k} as counts_{k}" for k in RULES)
-    bad = " or ".join(f"r_{k} - {SURE} * sqrt(r_{k} * (1 - r_{k}) / (w_{k} + 1)) > (1 + m_{k}) / 2" for k in RULES)
-    soft = " or ".join(f"(({RULES[k]}) and coalesce(counts_{k}, true))" for k in RULES if k not in BASE_RULES)
+    surely = {k: f"r_{k} - {SURE} * sqrt(r_{k} * (1 - r_{k}) / (w_{k} + 1))" for k in RULES}
+    counts = ", ".join(f"{surely[k]} > m_{k} as counts_{k}" for k in RULES)
+    bad = " or ".join(f"{surely[k]} > (1 + m_{k}) / 2" for k in RULES)
+    soft = " or ".join(f"(({RULES[k]}) and coalesce(counts_{k}, false))" for k in RULES if k not in BASE_RULES)
     ms = ", ".join(f"m_{k}" for k in RULES)
     base = " or ".join(f"({RULES[k]})" for k in BASE_RULES)
     return rf"""
