@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS: tuple[str, ...] = ("ground", "masks", "sites", "search", "live", "reports", "full", "survey")
+AREAS: tuple[str, ...] = ("ground", "masks", "sites", "search", "live", "reports", "full", "survey", "texts")
 
 
 def _merged(attribute: str) -> dict:

@@ -29,38 +29,15 @@ def full_run(s, d):
     return best.join(roles.select("rank", F.col("site_no").cast("long").alias("site_no"), "role"), "rank").select("rank", "site_id", "site_no", "role", "r", "c", "rating", "score", "limiting", "best_azimuth", "best_angle")
 
 
-SYSTEMS = [
-    (1, 'PROJCS["WGS_1984_UTM_Zone_18N",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],UNIT["Degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],UNIT["Meter",1.0],AUTHORITY["EPSG","32618"]]'),
-    (2, 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],UNIT["degree",0.0174532925199433],AUTHORITY["EPSG","4326"]]'),
-    (3, 'COMPD_CS["both",PROJCS["NAD83 / UTM zone 18N",GEOGCS["NAD83",DATUM["North_American_Datum_1983",SPHEROID["GRS 1980",6378137,298.257222101]],UNIT["degree",0.0174532925199433]],UNIT["metre",1]],VERT_CS["CGVD2013",VERT_DATUM["CGVD",2005],UNIT["metre",1],AUTHORITY["EPSG","6647"]]]'),
-    (4, 'PROJCRS["WGS 84 / Pseudo-Mercator",BASEGEOGCRS["WGS 84"],CONVERSION["x"],CS[Cartesian,2],LENGTHUNIT["metre",1],ID["EPSG",3857]]'),
-    (5, ""),
-    (6, 'PROJCS["Some_Grid",GEOGCS["GCS_X",DATUM["D"],UNIT["Degree",0.017]],UNIT["Foot_US",0.3048006]]'),
-    (7, 'PROJCS["some grid",UNIT["Foot_US",0.3048006]]'),
-]
-BARE = '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"MultiPolygon","coordinates":[[[[0,0],[0,4],[4,4],[0,0]],[[1,2],[1,3],[2,3],[1,2]]],[[[9,9],[9,10],[10,10],[9,9]]]]}]}'
-FEATURE = '{"type":"Feature","geometry":{"type":"MultiLineString","coordinates":[[[0,0],[1,1]],[[2,2],[3,3],[4,4]]]},"properties":{"agl_ft":"10"}}'
-
-
-def systems(s):
-    return s.createDataFrame(SYSTEMS, "id long, wkt string").select("id", crs.from_wkt(F.col("wkt")).alias("s"))
 
 
 def boxes(s, d):
-    return bind(s, d, "positions").filter("lat between -70 and 70 and lon between -170 and 170").select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 0.75).alias("east"), (F.col("lat") + 0.5).alias("north"), F.expr(g.zone("lat", "lon")).alias("zone"))
-
-
-def shapes(s):
-    return obstacles.from_geojson(s.createDataFrame([(BARE,), (FEATURE,)], "json string"))
+    return bind(s, d, "positions").select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 0.75).alias("east"), (F.col("lat") + 0.5).alias("north"), F.expr(g.zone("lat", "lon")).alias("zone"))
 
 
 QUERIES = {
     "full_run": full_run,
-    "crs_from_wkt": lambda s, d: systems(s).select("id", "s.kind", "s.name", "s.epsg", "s.unit", "s.utm", "s.vertical", "s.web_mercator"),
-    "crs_agreement": lambda s, d: systems(s).crossJoin(systems(s).select(F.col("id").alias("other"), F.col("s").alias("t"))).filter("id < other").select("id", "other", crs.same(F.col("s"), F.col("t")).alias("same"), crs.compatible(F.col("s"), F.col("t")).alias("compatible")).filter("compatible"),
     "extent_in_utm": lambda s, d: crs.extents_in_utm(boxes(s, d)).select("id", *(F.round(x, 2).alias(x) for x in ("x_min", "y_min", "x_max", "y_max"))),
-    "geojson_exclusions": lambda s, d: obstacles.exclusions(shapes(s))[0].select("fid", F.col("ring").cast("long").alias("ring"), "i", "x", "y"),
-    "geojson_lines": lambda s, d: obstacles.exclusions(shapes(s))[1].select(F.col("part").cast("long").alias("part"), "i", "x", "y"),
     "site_summary": lambda s, d: ranked(s, d).select(F.col("rank").cast("long").alias("rank"), wording.site_summary(AIRCRAFT).alias("text")),
     "rejection_lines": lambda s, d: wording.rejection_lines(classify.rejection_summary(classes(s, d))),
 }
@@ -76,16 +53,11 @@ define(
     ("swept_full", "listed_sectors_full"),
     f"select r, c, azimuth, coverage, worst, {_KIND} as class from (select s.r, s.c, s.azimuth, s.coverage, case when listed is not null and (s.worst is null or listed > s.worst) then listed else s.worst end as worst from swept_full s left join listed_sectors_full l using (r, c, azimuth)) t",
 )
-define("box_edges", ("positions",), "select id, lat + v * 0.5 as lat, lon + u * 0.75 as lon, zone, '' as band from (select id, lat, lon, cast(case when lat >= 56 and lat < 64 and lon >= 3 and lon < 12 then 32 else 1 + cast(floor((lon + 180) / 6) as int) % 60 end as bigint) as zone from positions where lat between -70 and 70 and lon between -170 and 170) p cross join (select i / 8.0::double as t from range(9) a(i)) s cross join lateral (values (t, 0.0::double), (t, 1.0::double), (0.0::double, t), (1.0::double, t)) e(u, v)")
+define("box_edges", ("zoned",), "select id, lat + v * 0.5 as lat, lon + u * 0.75 as lon, zone, '' as band from zoned p cross join (select i / 8.0::double as t from range(9) a(i)) s cross join lateral (values (t, 0.0::double), (t, 1.0::double), (0.0::double, t), (1.0::double, t)) e(u, v)")
 copy_of("projected", {"projected": "box_points", "zoned": "box_edges"})
 ORACLES = {
     "full_run": sql("select rank, site_id, site_no, role, r, c, rating, score, limiting, best_azimuth, best_angle from ranked_full join (select rank, site_no, role from roles_full) k using (rank)", "ranked_full", "roles_full"),
-    "crs_from_wkt": """select id, kind, name, cast(epsg as int) as epsg, unit, utm, vertical, web_mercator from (values (1, 'projected', 'WGS 1984 UTM Zone 18N', 32618, 'meter', '18N', null, false), (2, 'geographic', 'WGS 84', 4326, 'degree', null, null, false), (3, 'projected', 'NAD83 / UTM zone 18N', null, 'metre', '18N', 'CGVD2013', false),
-      (4, 'projected', 'WGS 84 / Pseudo-Mercator', 3857, 'metre', null, null, true), (5, null, null, null, null, null, null, false), (6, 'projected', 'Some Grid', null, 'foot_us', null, null, false), (7, 'projected', 'some grid', null, 'foot_us', null, null, false)) t(id, kind, name, epsg, unit, utm, vertical, web_mercator)""",
-    "crs_agreement": "select * from (values (1, 3, false, true), (6, 7, true, true)) t(id, other, same, compatible)",
     "extent_in_utm": sql("select id, round(min(east), 2) as x_min, round(min(y), 2) as y_min, round(max(east), 2) as x_max, round(max(y), 2) as y_max from (select id, east, north - case when lat < 0 then 10000000 else 0 end as y from box_points) b group by id", "box_points"),
-    "geojson_exclusions": "select fid, ring, i, cast(x as double) as x, cast(y as double) as y from (values (1, 0, 0, 0, 0), (1, 0, 1, 0, 4), (1, 0, 2, 4, 4), (1, 1, 0, 1, 2), (1, 1, 1, 1, 3), (1, 1, 2, 2, 3), (1, 2, 0, 9, 9), (1, 2, 1, 9, 10), (1, 2, 2, 10, 10)) t(fid, ring, i, x, y)",
-    "geojson_lines": "select part, i, cast(x as double) as x, cast(y as double) as y from (values (0, 0, 0, 0), (0, 1, 1, 1), (1, 0, 2, 2), (1, 1, 3, 3), (1, 2, 4, 4)) t(part, i, x, y)",
     "site_summary": sql(
         """select rank, case when upslope then printf('Steep ground (%.1f deg), for landing uphill only', round(slope, 1)) else case when slope < 1 then 'Level' when slope < 3 then 'Gently sloping' else 'Sloping' end || printf(' ground (%.1f deg)', round(slope, 1)) end
       || ', ' || case when roughness < 0.05 then 'smooth' when roughness < 0.15 then 'fairly smooth' else printf('uneven by %.2f m', round(roughness, 2)) end || '; ' || clear || ' of ' || assessed || ' approaches open, '

@@ -66,14 +66,4 @@ ORACLES = {
         "positions",
     ),
     "compass_points": sql(f"select id, {_POINTS}[1 + cast(floor(b / 22.5 + 0.5) as int) % 16] as compass16, {_POINTS}[1 + 2 * (cast(floor(b / 45 + 0.5) as int) % 8)] as compass8 from (select id, ((lon * 1.7) % 360 + 360) % 360 as b from positions) t", "positions"),
-    "parse_position": """select * from (values (1, 45.4236, -75.7009, 'LATLON'), (2, 45.4236, -75.7009, 'LATLON'), (3, 45.4236, -75.7009, 'LATLON'), (4, 45.4236, -75.7009, 'LATLON'),
-      (5, round(45 + 25 / 60.0 + 25 / 3600.0, 6), round(-75 - 42 / 60.0 - 3 / 3600.0, 6), 'LATLON'), (6, 45.429903, -75.691524, 'MGRS'), (7, null, null, null), (8, null, null, null), (9, null, null, null), (10, -33.9, 18.4, 'LATLON')) t(id, lat, lon, kind)""",
-    "read_dof": """select name, round(lon, 6) as lon, round(lat, 6) as lat, round(height_m::double, 4) as height_m, assumed from (values
-      ('TOWER 01-000001', -(75 + 42 / 60.0 + 3 / 3600.0), 45 + 25 / 60.0 + 25 / 3600.0, 500 * 0.3048, false), ('WIND TURBINE 01-000002', 18 + 24 / 60.0, -(33 + 54 / 60.0), 30.0, true)) t(name, lon, lat, height_m, assumed)""",
-    "read_csv_obstacles": "select * from (values ('mast', -75.5::double, 45.5::double, round(100 * 0.3048, 4)::double, false), ('pole', -76.0::double, 46.0::double, 30.0::double, true)) t(name, lon, lat, height_m, assumed)",
-    "read_geojson_obstacles": """select cast(fid as bigint) as fid, kind, cast(part as bigint) as part, cast(i as bigint) as i, cast(lon as double) as lon, cast(lat as double) as lat, cast(height_m as double) as height_m, assumed from (values
-      (0, 'Point', 0, 0, 10, 50, 45, false), (1, 'LineString', 0, 0, 10, 50, 30.48, false), (1, 'LineString', 0, 1, 11, 51, 30.48, false),
-      (2, 'Polygon', 0, 0, 0, 0, 12, false), (2, 'Polygon', 0, 1, 0, 1, 12, false), (2, 'Polygon', 0, 2, 1, 1, 12, false), (2, 'Polygon', 0, 3, 0, 0, 12, false), (3, 'Point', 0, 0, 12, 52, 30, true)) t(fid, kind, part, i, lon, lat, height_m, assumed)""",
-    "profile_validation": """select * from (values ('small', true, ''), ('steep', false, 'upslope limit must be below 45'),
-      ('odd', false, 'ring obstacle limit must be at least the pad''s; unsuitable angle must be above the suitable one'), ('short', false, 'approach range must pass the cleared area')) t(name, valid, problems)""",
 }

@@ -65,11 +65,10 @@ QUERIES = {
     "no_surface_model_class": lambda s, d: classify.classify(analyzed(s, d), AIRCRAFT, MISSION, obstacle_evidence=False).groupBy("ground").agg(F.count(F.lit(1)).alias("cells")),
     "exact_metrics": lambda s, d: exact_of_passing(s, d).select("r", "c", *_rounded("slope", "residual", "valid_fraction", "tdp_obstacle", "ring_obstacle", "ring_coverage")),
     "core_window": lambda s, d: (lambda w: cells(s, d).crossJoin(F.broadcast(w)).filter(F.col("r").between(F.col("r_min") - terrain.halo_px(AIRCRAFT), F.col("r_max") + terrain.halo_px(AIRCRAFT)) & F.col("c").between(F.col("c_min") - terrain.halo_px(AIRCRAFT), F.col("c_max") + terrain.halo_px(AIRCRAFT))))(cells(s, d).filter("dsm - z > 10").agg(F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.min("c").alias("c_min"), F.max("c").alias("c_max"))).groupBy("r").agg(F.min("c").alias("c_first"), F.max("c").alias("c_last"), F.count(F.lit(1)).alias("cells")),
-    "hash_noise": lambda s, d: s.range(20000).select("id", *_noise()),
 }
 
 
-def _noise() -> list:
+def noise() -> list:
     """Deterministic integer noise of a procedural scene: bits of row and column mixed."""
     mixed = (F.col("id") * 73856093).bitwiseXOR(F.shiftright(F.col("id") * 19349663, 3)) % 1000003
     return [mixed.alias("mixed"), F.round(mixed / 1000003.0, 4).alias("noise")]
@@ -102,5 +101,4 @@ ORACLES = {
     "no_surface_model_class": sql("""select case when zc is null then 255 when not coalesce(slope is not null and roughness is not null and valid_fraction >= 0.95, false) or not coalesce(slope <= 10, false) or not coalesce(roughness <= 0.3, false) then 0 when slope <= 6 then 1 else 2 end as ground, count(*) as cells from terrain group by 1""", "terrain"),
     "exact_metrics": sql("select r, c, round(slope, 4) as slope, round(residual, 4) as residual, round(valid_fraction, 4) as valid_fraction, round(tdp_obstacle, 4) as tdp_obstacle, round(ring_obstacle, 4) as ring_obstacle, round(ring_coverage, 4) as ring_coverage from exact", "exact"),
     "core_window": sql("select r, min(c) as c_first, max(c) as c_last, count(*) as cells from cells cross join (select min(r) as r_min, max(r) as r_max, min(c) as c_min, max(c) as c_max from cells where dsm - z > 10) w where r between r_min - 14 and r_max + 14 and c between c_min - 14 and c_max + 14 group by r", "cells"),
-    "hash_noise": "select id, xor(id * 73856093, (id * 19349663) >> 3) % 1000003 as mixed, round((xor(id * 73856093, (id * 19349663) >> 3) % 1000003) / 1000003.0, 4) as noise from range(20000) t(id)",
 }

@@ -75,7 +75,6 @@ QUERIES = {
     "obstacle_counts": lambda s, d: bind(s, d, "obstacles").agg(F.count(F.lit(1)).alias("n"), F.count_if("assumed").alias("assumed"), F.round(F.max("agl_m"), 4).alias("tallest_m"), F.max_by("owner", F.struct(F.col("agl_m"), -F.col("owner"))).alias("tallest")),
     "nearest_obstacle": nearest_obstacle,
     "nearest_centre": lambda s, d: masks.nearest_centre(bind(s, d, "points"), bind(s, d, "circles")).select("id", "centre", F.round("distance", 4).alias("distance"), F.round("bearing", 4).alias("bearing")),
-    "densify_line": lambda s, d: masks.densify(bind(s, d, "lines"), 5.0).select("fid", "part", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")),
     "feature_bounds": lambda s, d: bind(s, d, "polygons").groupBy("fid").agg(*(f(c).alias(f"{c}_{n}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))), F.round(F.avg("x"), 4).alias("x_mean")),
     "bbox_overlap": lambda s, d: (lambda b: spatial.boxes_meet(b, b.select(F.col("fid").alias("other"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("y0").alias("v0"), F.col("y1").alias("v1")), 16.0).filter("fid < other").select("fid", "other"))(bind(s, d, "polygons").groupBy("fid").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))),
 }
@@ -120,7 +119,6 @@ ORACLES = {
     "obstacle_counts": sql("select count(*) as n, count(case when assumed then 1 end) as assumed, round(max(agl_m), 4) as tallest_m, (select owner from obstacles order by agl_m desc, owner limit 1) as tallest from obstacles", "obstacles"),
     "nearest_obstacle": sql("select id, owner, round(d, 4) as distance from (select id, owner, sqrt(d2) as d, row_number() over (partition by id order by sqrt(d2), owner) as n from (select p.id, o.owner, (p.x/10 - o.x)*(p.x/10 - o.x) + (p.y - o.y)*(p.y - o.y) as d2 from points p cross join obstacles o) a where d2 <= 900 + 1e-9) b where n = 1", "points", "obstacles"),
     "nearest_centre": sql("select id, centre, round(distance, 4) as distance, round(bearing, 4) as bearing from (select p.id, o.id as centre, sqrt((p.x-o.x)*(p.x-o.x) + (p.y-o.y)*(p.y-o.y)) as distance, (degrees(atan2(p.x-o.x, p.y-o.y)) + 360) % 360 as bearing, row_number() over (partition by p.id order by sqrt((p.x-o.x)*(p.x-o.x) + (p.y-o.y)*(p.y-o.y)), o.id) as n from points p cross join circles o) t where n = 1", "points", "circles"),
-    "densify_line": sql("select fid, part, round(x, 4) as x, round(y, 4) as y from dense where s = 5", "dense"),
     "feature_bounds": sql("select fid, min(x) as x_min, max(x) as x_max, min(y) as y_min, max(y) as y_max, round(avg(x), 4) as x_mean from polygons group by fid", "polygons"),
     "bbox_overlap": sql("select a.fid, b.fid as other from (select fid, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from polygons group by fid) a join (select fid, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from polygons group by fid) b on a.fid < b.fid and a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1", "polygons"),
 }

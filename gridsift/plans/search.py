@@ -33,30 +33,6 @@ def inverse(s, d):
     return utm(s, d).withColumn("foot", F.expr(_FOOT)).withColumn("x", F.expr(_X)).withColumn("lat2", F.expr(_LAT2)).withColumn("lon2", F.expr(_LON2))
 
 
-HEIGHTS = [(1, "100 ft", False), (2, "30", False), (3, "30 m", True), (4, "12,5 m", False), (5, "tall", False), (6, "", False), (7, "-5", False), (8, "0", False), (9, "45", True), (10, "  7.25 feet", False), (11, "9'", False)]
-POSITIONS = [(1, "45.4236, -75.7009"), (2, "45.4236 N 75.7009 W"), (3, "N45.4236 W75.7009"), (4, "75.7009 W, 45.4236 N"), (5, "45°25'25\"N 75°42'03\"W"), (6, "18T VR 45906 30941"), (7, ""), (8, "hello"), (9, "95, 10"), (10, "-33.9; 18.4")]
-RECORDS = [
-    "01-000001 O US CA SOMEWHERE        45 25 25.00N 075 42 03.00W TOWER              1 00500 00900 R N",
-    "01-000002 O US CA ELSEWHERE        33 54 00.00S 018 24 00.00E WIND TURBINE       2 00000 00300 R N A 2020123 ",
-    "01-000003 O US CA GONE             45 00 00.00N 075 00 00.00W MAST               1 00200 00400 R N D 2020123 ",
-    "a heading that is no record",
-]
-GEOJSON = '{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Point","coordinates":[10,50]},"properties":{"height":"45"}},{"type":"Feature","geometry":{"type":"LineString","coordinates":[[10,50],[11,51]]},"properties":{"height":"100 ft"}},{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[0,1],[1,1],[0,0]]]},"properties":{"building:levels":"4"}},{"type":"Feature","geometry":{"type":"Point","coordinates":[12,52]},"properties":{}}]}'
-DATASETS = [
-    ("ground", "raster", None, "ground/dtm.tif", 32618, "metre", 1.0, 1.0, 1, 0.0, 0.0, 1000.0, 1000.0, -9999.0, 50.0, 300.0, 120.0, None),
-    ("surface", "raster", None, "surface/dsm.tif", 32618, "metre", 2.0, 2.0, 1, 100.0, 0.0, 1100.0, 1000.0, None, 50.0, 320.0, 119.0, None),
-    ("aoi", "vector", "line", "aoi/area.geojson", 4326, None, None, None, None, 0.0, 0.0, 1.0, 1.0, None, None, None, None, 3),
-    ("exclusions", "vector", "point", "excl/points.shp", None, None, None, None, None, 0.0, 0.0, 1.0, 1.0, None, None, None, None, 0),
-    ("exclusions", "vector", "polygon", "excl/areas.shp", 32618, None, None, None, None, 0.0, 0.0, 1.0, 1.0, None, None, None, None, 12),
-    ("obstacles", "raster", None, "obst/odd.tif", 3857, "metre", 3.0, 3.1, 3, 0.0, 0.0, 10.0, 10.0, 0.0, -600.0, 9100.0, 3.0, None),
-]
-CATALOG = [("a", 2000.0, 8.0, None), ("b", 9000.0, 15.0, 20.0), ("c", 20000.0, 30.0, None), ("d", None, 5.0, None), ("e", 4500.0, 20.0, None)]
-
-
-def audited(s, d):
-    return audit.findings(audit.table(s, DATASETS))
-
-
 def blocks(s, d):
     return overview.blocks(classes(s, d), overview.block_px(1.0, 20.0), 6.0)
 
@@ -68,13 +44,6 @@ def coverage(s, d):
     return cells(s, d).join(planning.tiles(s, rows, 100, 40), inside).groupBy("index").agg(F.count(F.lit(1)).alias("cells"))
 
 
-def aircraft_table(s):
-    small = profiles.Aircraft()
-    from dataclasses import replace
-
-    return profiles.as_table(s, small, replace(small, name="steep", max_upslope_landing_deg=50.0), replace(small, name="odd", ring_obstacle_height_m=0.1, unsuitable_angle_deg=2.0), replace(small, name="short", approach_range_m=5.0))
-
-
 QUERIES = {
     "utm_forward": lambda s, d: utm(s, d).select("id", "zone", "band", F.round("east", 3).alias("east"), F.round("north", 3).alias("north")),
     "utm_inverse": lambda s, d: inverse(s, d).select("id", F.round("lat2", 7).alias("lat2"), F.round("lon2", 7).alias("lon2")),
@@ -83,73 +52,35 @@ QUERIES = {
     "utm_epsg": lambda s, d: bind(s, d, "positions").select("id", F.expr(g.epsg("lat", "lon", "id % 2 = 0")).alias("epsg")).select("id", "epsg", F.expr(g.utm_of_epsg("epsg")).alias("utm")),
     "metres_per_degree": lambda s, d: bind(s, d, "positions").select("id", F.round(F.expr(_LON_M), 3).alias("lon_m"), F.round(F.expr(_LAT_M), 3).alias("lat_m"), F.round(F.expr(f"sqrt(0.0001 * {_LON_M} * 0.0001 * {_LAT_M})"), 3).alias("cell_m")),
     "compass_points": lambda s, d: bind(s, d, "positions").select("id", F.expr(g.compass(_BEARING)).alias("compass16"), F.expr(g.compass(_BEARING, 8)).alias("compass8")),
-    "parse_height": lambda s, d: s.createDataFrame(HEIGHTS, "id long, txt string, feet boolean").select("id", F.round(text.parse_height(F.col("txt"), F.col("feet")), 4).alias("height_m")),
-    "parse_position": lambda s, d: s.createDataFrame(POSITIONS, "id long, txt string").select("id", text.parse_position(F.col("txt")).alias("p")).select("id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"), "p.kind"),
     "length_text": lambda s, d: bind(s, d, "obstacles").select("owner", text.length_text(F.round("agl_m", 1), "METRIC").alias("metric")),
     "feet_columns": lambda s, d: bind(s, d, "obstacles").select("owner", F.round(F.col("agl_m") / 0.3048, 2).alias("agl_ft"), F.round(F.col("x") / 1852.0, 6).alias("x_nm")),
-    "read_dof": lambda s, d: obstacles.from_records(s.createDataFrame([(x,) for x in RECORDS], "line string")).select("name", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("height_m", 4).alias("height_m"), "assumed"),
-    "read_csv_obstacles": lambda s, d: obstacles.from_table(s.createDataFrame([("mast", "45.5", "-75.5", "100"), ("x", "bad", "1", "5"), ("pole", "46", "-76", "")], "Name string, LAT string, Lon string, height_ft string")).select("name", "lon", "lat", F.round("height_m", 4).alias("height_m"), "assumed"),
-    "read_geojson_obstacles": lambda s, d: obstacles.from_geojson(s.createDataFrame([(GEOJSON,)], "json string")).select(F.col("fid").cast("long").alias("fid"), "kind", F.col("part").cast("long").alias("part"), F.col("i").cast("long").alias("i"), "lon", "lat", F.round("height_m", 4).alias("height_m"), "assumed"),
     "overview_blocks": lambda s, d: blocks(s, d).select("br", "bc", "valid", *(F.round(x, 4).alias(x) for x in ("pct_cover", "slope_mean", "slope_max", "rough_mean", "elev_min", "elev_range", "pct_pass"))),
     "overview_classes": lambda s, d: blocks(s, d).groupBy("terrain", "passing").agg(F.count(F.lit(1)).alias("blocks")),
     "overview_candidates": lambda s, d: overview.attach(blocks(s, d).select("br", "bc"), rated(s, d), 20).select("br", "bc", "sites", "best_rating"),
-    "overview_lattice": lambda s, d: overview.lattice(s, 150, 100, 40),
-    "plan_tiles": lambda s, d: planning.tiles(s, 151, 97, 40),
     "tile_coverage": lambda s, d: coverage(s, d),
-    "resume_antijoin": lambda s, d: planning.unfinished(planning.tiles(s, 151, 97, 40), planning.tiles(s, 151, 97, 40).filter("index % 3 = 0")),
     "runtime_estimate": lambda s, d: planning.runtime(cells(s, d).agg(F.count(F.lit(1)).alias("cells"))),
     "dsm_dtm_p05": lambda s, d: planning.surface_check(cells(s, d)).select("sampled", F.round("p05", 4).alias("p05"), F.round("below", 4).alias("below"), "suspicious"),
     "bilinear_resample": lambda s, d: planning.bilinear(bind(s, d, "points").select("id", (F.col("x") / 10.5).alias("x"), (F.col("y") / 70).alias("y")), cells(s, d), height(s, d)).select("id", F.round("z", 4).alias("z")),
-    "input_selection": lambda s, d: audit.select_inputs(audit.table(s, DATASETS)),
-    "audit_findings": audited,
-    "audit_status": lambda s, d: audit.status(audited(s, d)),
-    "profile_validation": lambda s, d: profiles.validate(aircraft_table(s), profiles.AIRCRAFT_RULES).select("name", "valid", F.array_join("problems", "; ").alias("problems")),
-    "profile_what_if": lambda s, d: profiles.what_if(aircraft_table(s), s.createDataFrame([(10.0, None), (None, 8.0), (500.0, None), (12.0, 4.0)], "diameter double, ring double")).select("name", "tdp_diameter_m", "cleared_ring_m"),
-    "catalog_weight_class": lambda s, d: profiles.from_catalog(s.createDataFrame(CATALOG, "name string, mtow_kg double, rotor_m double, diameter double"), s.createDataFrame([("light", 25.0), ("medium", 50.0), ("heavy", 80.0)], "weight_class string, class_diameter double")),
 }
 
 
-def _values(rows, names, kinds=None) -> str:
-    quote = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
-    return f"(values {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) t({names})"
-
-
 define("blocks", ("classes",), """select *, 100.0 * valid / cells as pct_cover, case when valid > 0 then 100.0 * (n_any + n_up) / valid end as pct_pass, elev_max - elev_min as elev_range,
   case when valid > 0 then case when slope_mean is null then 'Unknown' when slope_mean <= 3 then 'Flat' when slope_mean <= 6 then 'Moderate' else 'Steep' end end as terrain,
   case when valid > 0 then case when 100.0 * (n_any + n_up) / valid >= 25 then 'High' when 100.0 * (n_any + n_up) / valid >= 5 then 'Medium' when n_any + n_up > 0 then 'Low' else 'None' end end as passing
   from (select r // 20 as br, c // 20 as bc, count(*) as cells, count(case when ground <> 255 then 1 end) as valid, avg(case when ground <> 255 then slope end) as slope_mean, max(case when ground <> 255 then slope end) as slope_max, avg(case when ground <> 255 then roughness end) as rough_mean,
     min(zc) + 100 as elev_min, max(zc) + 100 as elev_max, count(case when ground = 1 then 1 end) as n_any, count(case when ground = 2 then 1 end) as n_up from classes group by 1, 2) a""")
 _TILES = "select i * {nc} + j + 1 as index, cast(round_even({rows} * i / cast({nr} as double), 0) as bigint) as r0, cast(round_even({rows} * (i + 1) / cast({nr} as double), 0) as bigint) as r1, cast(round_even({cols} * j / cast({nc} as double), 0) as bigint) as c0, cast(round_even({cols} * (j + 1) / cast({nc} as double), 0) as bigint) as c1 from range({nr}) a(i) cross join range({nc}) b(j)"
-_T1, _T2 = _TILES.format(rows=151, cols=97, nr=4, nc=3), _TILES.format(rows=15000, cols=100, nr=375, nc=3)
+_T2 = _TILES.format(rows=15000, cols=100, nr=375, nc=3)
 ORACLES = {
-    "parse_height": f"select id, case when v > 0 then round(case when unit in ('ft', 'feet', 'foot', '''') or (unit not in ('m', 'meter', 'meters', 'metre', 'metres') and feet) then v * 0.3048 else v end, 4) end as height_m from (select id, feet, try_cast(replace(regexp_extract(txt, '^\\s*([-+]?\\d+(?:[.,]\\d+)?)\\s*([a-zA-Z''\"]*)', 1), ',', '.') as double) as v, lower(regexp_extract(txt, '^\\s*([-+]?\\d+(?:[.,]\\d+)?)\\s*([a-zA-Z''\"]*)', 2)) as unit from {_values(HEIGHTS, 'id, txt, feet')}) a",
     "length_text": sql("select owner, printf('%.1f m', round(agl_m, 1)) as metric from obstacles", "obstacles"),
     "feet_columns": sql("select owner, round(agl_m / 0.3048, 2) as agl_ft, round(x / 1852.0, 6) as x_nm from obstacles", "obstacles"),
     "overview_blocks": sql("select br, bc, valid, round(pct_cover, 4) as pct_cover, round(slope_mean, 4) as slope_mean, round(slope_max, 4) as slope_max, round(rough_mean, 4) as rough_mean, round(elev_min, 4) as elev_min, round(elev_range, 4) as elev_range, round(pct_pass, 4) as pct_pass from blocks", "blocks"),
     "overview_classes": sql("select terrain, passing, count(*) as blocks from blocks group by terrain, passing", "blocks"),
     "overview_candidates": sql("select br, bc, coalesce(n, 0) as sites, case best when 0 then 'Highly Suitable' when 1 then 'Suitable' when 2 then 'Marginal' when 3 then 'Unassessed' when 4 then 'Unsuitable' end as best_rating from blocks left join (select r // 20 as br, c // 20 as bc, count(*) as n, min(place) as best from rated group by 1, 2) k using (br, bc)", "blocks", "rated"),
-    "overview_lattice": "select br * 3 + bc + 1 as block_id, br, bc, br * 40 as r0, least(150, (br + 1) * 40) as r1, bc * 40 as c0, least(100, (bc + 1) * 40) as c1 from range(4) a(br) cross join range(3) b(bc)",
-    "plan_tiles": _T1,
     "tile_coverage": sql(f"select index, count(*) as cells from cells join ({_T2}) t on r >= r0 and r < r1 and c >= c0 and c < c1 group by index", "cells"),
-    "resume_antijoin": f"select * from ({_T1}) t where index % 3 <> 0",
     "runtime_estimate": sql("select count(*) as cells, round(count(*) / 1e6 * 2, 3) as low_s, round(count(*) / 1e6 * 5, 3) as high_s from cells", "cells"),
     "dsm_dtm_p05": sql("select count(*) as sampled, round(quantile_cont(d, 0.05), 4) as p05, round(avg(case when d < -0.5 then 1.0 else 0 end), 4) as below, count(*) >= 100 and abs(quantile_cont(d, 0.05)) > 0.5 as suspicious from (select dsm - z as d from cells where r % 5 = 0 and c % 5 = 0 and dsm - z is not null) t", "cells"),
     "bilinear_resample": sql("select id, round(case when count(z) = 4 then sum(w * z) end, 4) as z from (select id, k.z, (case when i = 1 then v - floor(v) else 1 - (v - floor(v)) end) * (case when j = 1 then u - floor(u) else 1 - (u - floor(u)) end) as w from (select id, x/10.5 - 0.5 as u, (select max(r) + 1 from cells) - y/70 - 0.5 as v from points) p cross join range(2) a(i) cross join range(2) b(j) left join (select r, c, z from cells) k on k.r = floor(v) + i and k.c = floor(u) + j) q group by id", "points", "cells"),
-    "input_selection": f"select folder_key, count(*) as found, case when count(*) = 1 then min(path) end as path from {_values(DATASETS, 'folder_key, kind, geometry, path, epsg, unit, cell_w, cell_h, bands, x_min, y_min, x_max, y_max, nodata, low, high, mean, features')} group by folder_key",
-    "catalog_weight_class": f"select name, weight_class, coalesce(diameter, class_diameter) as tdp_diameter_m, coalesce(diameter, class_diameter) >= 1.5 * rotor_m as footprint_ok from (select *, case when mtow_kg > 0 then case when mtow_kg <= 4500 then 'light' when mtow_kg <= 14000 then 'medium' else 'heavy' end end as weight_class from {_values(CATALOG, 'name, mtow_kg, rotor_m, diameter')}) a left join (values ('light', 25.0::double), ('medium', 50.0::double), ('heavy', 80.0::double)) k(weight_class, class_diameter) using (weight_class)",
 }
 
-_DATASETS = _values(DATASETS, "folder_key, kind, geometry, path, epsg, unit, cell_w, cell_h, bands, x_min, y_min, x_max, y_max, nodata, low, high, mean, features")
-_SINGLE = " union all ".join(f"select '{area}' as area, '{level}' as level, path, '{message}' as message from ds where {condition}" for area, level, condition, message in audit.RULES)
-_PAIRS = " union all ".join(
-    f"select 'pair', '{level}', g.path, '{message}' from (select g.path, g.epsg as ge, s.epsg as se, g.cell_w as gw, s.cell_w as sw, g.mean as gm, s.mean as sm, g.high as gh, s.high as sh, s.path as sp, greatest(0, least(g.x_max, s.x_max) - greatest(g.x_min, s.x_min)) * greatest(0, least(g.y_max, s.y_max) - greatest(g.y_min, s.y_min)) / ((g.x_max - g.x_min) * (g.y_max - g.y_min)) as share from ds g cross join ds s where g.folder_key = 'ground' and g.kind = 'raster' and s.folder_key = 'surface' and s.kind = 'raster') g where {condition}"
-    for level, condition, message in (("F", "path = sp", "same file twice"), ("I", "ge is distinct from se", "coordinate systems differ"), ("I", "gw <> sw", "cell sizes differ"), ("F", "share = 0", "no overlap"), ("W", "share > 0 and share < 0.95", "partial overlap"), ("W", "sm < gm - 0.5", "surface below ground"), ("W", "abs(sm - gm) <= 0.01 and abs(sh - gh) <= 0.01", "surface equals ground"), ("P", "share >= 0.95 and sm >= gm - 0.5", "ground and surface fit"))
-)
-_MISSING = " union all ".join(f"select '{key}', '{level}', null, '{message}' from (select count(*) as n from ds where folder_key = '{key}' and kind = 'raster') t where {condition}" for key, condition, level, message in (("ground", "n = 0", "F", "no ground model"), ("ground", "n > 1", "F", "several ground models"), ("surface", "n = 0", "W", "no surface model"), ("surface", "n > 1", "W", "several surface models")))
-_FINDINGS = f"with ds as (select * from {_DATASETS}), found as ({_SINGLE} union all {_PAIRS} union all {_MISSING})"
-_AIRCRAFT = "(values ('small', 6.0, 3.0), ('steep', 6.0, 3.0), ('odd', 6.0, 3.0), ('short', 6.0, 3.0)) a(name, dia, rin)"
-ORACLES |= geodetic.ORACLES | {
-    "audit_findings": f"{_FINDINGS} select area, level, path, message from found",
-    "audit_status": f"{_FINDINGS} select count(case when level = 'F' then 1 end) as n_f, count(case when level = 'W' then 1 end) as n_w, count(case when level = 'I' then 1 end) as n_i, count(case when level = 'P' then 1 end) as n_p, case when count(case when level = 'F' then 1 end) > 0 then 'NOT_READY' when count(case when level = 'W' then 1 end) > 0 then 'READY_WITH_WARNINGS' else 'READY' end as status from found",
-    "profile_what_if": f"select name, cast(coalesce(diameter, dia) as double) as tdp_diameter_m, cast(coalesce(ring, rin) as double) as cleared_ring_m from {_AIRCRAFT} cross join (values (10.0, null), (null, 8.0), (500.0, null), (12.0, 4.0)) t(diameter, ring) where (diameter is null or diameter between 5 and 200) and (ring is null or ring between 0 and 200)",
-}
+ORACLES |= geodetic.ORACLES
