@@ -307,7 +307,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     and not null and lengths are equal. Null or empty vectors, zero vectors and vectors with null or non-finite
     components link with nothing. Equal vectors are one class; its copies link with each other. Repeated rows
     count each; a component whose vec_ids are all null has a null component_id and keeps nothing. An empty table
-    gives an empty result. Raises RuntimeError if the audited recall stays below LEAST_RECALL.
+    gives an empty result. Similarities that are equal at the end of a list go by id; links that a list has no room for stay in the forests. A similarity of exactly
+    the threshold links. Raises RuntimeError if the audited recall stays below LEAST_RECALL.
     """
     shelf = Shelf(vectors.sparkSession, "vectors")
     found = classes(vectors, shelf)

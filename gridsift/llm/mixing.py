@@ -49,7 +49,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: Fraction = BUDGET, epochs: int
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: Fraction = BUDGET, epochs: int = EPOCHS) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken."""
+    """The mix itself: the rows of docs, each as often as it is taken.
+
+    docs needs doc_id, source and text; all columns are kept, whatever they are called. Null source is a source of its own, null, empty and blank texts have no words and are not taken.
+    Ties of virtual time go by doc_id and the text's hash; repeated rows are taken each. Empty docs: an empty result.
+    """
     shelf = Shelf(docs.sparkSession, "mixed")
     taken = shelf.put("taken", _mixed(docs, weights, budget, epochs, shelf).filter("epochs_taken > 0").select("_doc", "_th", F.col("epochs_taken").alias("_epochs")))
     return attach(docs, taken, shelf).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs")))).select("_row.*")

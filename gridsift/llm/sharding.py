@@ -149,7 +149,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     docs needs doc_id and text; other columns are ignored. size is the text's UTF-8 bytes plus 1. Null text has no
     bytes and is a group of its own. A group larger than a shard is split over as few shards as have room. Null
-    doc_id is allowed. Repeated rows count each. With fewer rows than shards some shards stay empty. An empty
+    doc_id is allowed. Repeated rows count each; ties between shards go to the smaller number. Texts of any length count whole. With fewer rows than shards some shards stay empty. An empty
     table gives an empty result. The law is `rows`, so grown_shard is null.
     """
     spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "shards")

@@ -161,7 +161,11 @@ def _named(docs: DataFrame, radius: int, shelf: Shelf) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, one for each group of near copies: one with the smallest doc_id, any where all are null."""
+    """The rows of docs, one for each group of near copies: one with the smallest doc_id, any where all are null.
+
+    docs needs doc_id and text; all columns are kept, whatever they are called. Null, empty and blank texts are one group (fingerprint zero), texts of any length are taken whole.
+    Of rows with equal doc_id the one with the smallest hash of its text stays, of rows equal in both the first by a hash of all columns, so that reruns agree. Empty docs: an empty result.
+    """
     shelf = Shelf(docs.sparkSession, "simhash-kept")
     named = shelf.put("named", _named(docs, radius, shelf))
     known = named.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("_doc", "_th")).alias("row"))

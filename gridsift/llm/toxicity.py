@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ PREFIX = 4
 CALIBRATION = 5
 #: Long texts are read in parts of so many words, which overlap by the widest filter.
 STRIDE = 1 << 15
-#: Texts are hashed in parts of at most so many bytes; longer words are hashed on their own.
+#: Texts are hashed in parts of at most so many bytes.
 PART = 1 << 16
 #: A language's threshold counts for its rows of label 1 in the calibration, the one of all languages for so many.
 SHRINK = 20
@@ -65,11 +64,18 @@ class Hasher:
             elif end < 0:  # a word that is longer than a part
                 end = raw.find(b" ", at)
                 end = len(raw) if end < 0 else end
-                whole, head = (np.array([xxhash.xxh64_intdigest(raw[at:x])], np.uint64) for x in (end, at + PREFIX))
-                parts.append(_slots(whole, head))
+                parts.append(_slots(*(np.array([self._word(raw, at, x)], np.uint64) for x in (end, at + PREFIX))))
             at = end + 1
         return np.concatenate(parts)
 
+    def _word(self, raw: bytes, start: int, end: int) -> int:
+        """The same hash of one word, a part at a time."""
+        total = 0
+        for k, at in enumerate(range(start, end, PART)):
+            part = np.frombuffer(raw[at : min(end, at + PART)], np.uint8)
+            total += pow(_FACTOR, k * PART, 1 << 64) * int((part * self.up[: len(part)]).sum(dtype=np.uint64))
+        return total % (1 << 64)
+
     def _part(self, part: bytes) -> np.ndarray:
         raw = np.frombuffer(b" " + part + b"     ", np.uint8)
         inside = raw != 32
@@ -162,7 +168,7 @@ def train(slots: list[np.ndarray], toxic: np.ndarray, languages: list[str | None
 
     E, W = rng.normal(0, 0.1, (3 * SLOTS, DIM)), rng.normal(0, 0.3, (places, DIM, FILTERS))
     place_of, width_of, within = np.concatenate([np.full(FILTERS, sum(WIDTHS[:k])) for k in range(len(WIDTHS))]), np.repeat(WIDTHS, FILTERS), np.tile(np.arange(FILTERS), len(WIDTHS))
-    b, v, c = np.zeros(nf), rng.normal(0.5, 0.1, nf) if both else np.zeros(nf), np.array([-1.0 if both else 0.0])
+    b, v, c = np.zeros(nf), rng.normal(0.5, 0.1, nf) if both else np.zeros(nf), np.array([-1.0])
     sums = {"E": np.full(len(E), 0.01), "W": np.full(W.shape, 0.1), "b": np.full(nf, 0.1), "v": np.full(nf, 0.1), "c": np.full(1, 0.1)}
     base = np.arange(3) * SLOTS
 
@@ -228,14 +234,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on labelled rows of docs outside the held-out part.
 
     The sample is bounded: at most sample rows, those with the smallest hashes of doc_id, until they hold SAMPLE_CHARS
-    characters. Rows with null label or text are left out. Where a doc_id has several labels the largest counts.
+    characters; their texts are fetched when they are chosen. Rows with null label or text are left out, repeated rows
+    (equal doc_id and text) count once. Where a doc_id has several labels the largest counts.
     """
     marks = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text", "lang").filter("text is not null").join(F.broadcast(marks), "doc_id")
-    rows = texts.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id", "text").limit(sample)
-    before = Window.orderBy("turn", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)  # over the sample's rows
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(F.col("before") + F.length("text") <= SAMPLE_CHARS).select("text", "lang", "toxic").toArrow()
+    named = docs.filter("text is not null").withColumn("th", F.xxhash64("text"))
+    sizes = named.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "th").agg(F.max(F.length("text")).alias("n")).withColumn("turn", F.xxhash64("doc_id"))
+    chosen = sizes.orderBy("turn", "doc_id", "th").limit(sample)
+    upto = Window.orderBy("turn", "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)  # over the sample's rows, without their texts
+    chosen = chosen.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") <= SAMPLE_CHARS).select("doc_id", "th", "turn")
+    rows = named.select("doc_id", "th", "text", "lang").join(F.broadcast(chosen), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).join(F.broadcast(marks), "doc_id")
+    rows = rows.orderBy("turn", "doc_id", "th").select("text", "lang", "toxic").toArrow()
     hasher = Hasher()
     return train([hasher(x.as_py()) for x in rows["text"]], np.array(rows["toxic"].to_pylist(), float).reshape(-1), rows["lang"].to_pylist())
 
@@ -259,14 +269,18 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     docs needs doc_id, text and lang (for training only), labels doc_id and toxic; others are ignored. Null
     doc_id: scored, not held out, never trained on. Repeated rows are scored each. Empty docs: an empty result.
-    Without labels of both classes all scores are equal.
+    Without labels of both classes all scores are equal, and below 0.5.
     """
     out = score(docs, fit(docs, labels, sample))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that are not predicted to be toxic, in one pass and without a join."""
+    """The rows of docs that are not predicted to be toxic, in one pass and without a join.
+
+    docs needs doc_id, text and lang; all columns are kept, whatever they are called. Null and empty texts are scored as no words, texts of any length whole.
+    A score of exactly 0.5 is toxic. Repeated rows are judged alike. Empty docs: an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
