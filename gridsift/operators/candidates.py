@@ -14,6 +14,10 @@ def _clamp(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
 
+# What each part of the quality weighs, and what an upslope-only cell loses.
+W_SLOPE, W_ROUGHNESS, W_OBSTACLE, W_EDGE, UPSLOPE_LOSS = 0.35, 0.25, 0.15, 0.25, 0.5
+
+
 def quality(classes: DataFrame, aircraft: Aircraft, cell_m: float = 1.0, obstacle_evidence: bool = True) -> DataFrame:
     """Passing cells with edge (0 to 1: distance to the nearest cell that fails, in pad radii) and quality.
 
@@ -25,8 +29,8 @@ def quality(classes: DataFrame, aircraft: Aircraft, cell_m: float = 1.0, obstacl
     near = masks.grow(classes.filter(~F.col("ground").isin(1, 2)), reach / cell_m)
     out = passing.join(near, ["r", "c"], "left").withColumn("edge", _clamp(F.coalesce(F.sqrt("d2") * cell_m / reach, F.lit(1.0)))).drop("d2")
     obstacle = _clamp(1.0 - F.coalesce("area_obstacle", F.lit(aircraft.ring_obstacle_height_m)) / max(aircraft.ring_obstacle_height_m, 1e-6)) if obstacle_evidence else F.lit(0.0)
-    parts = 0.35 * _clamp(1.0 - F.col("slope") / aircraft.max_upslope_landing_deg) + 0.25 * _clamp(1.0 - F.col("roughness") / aircraft.max_roughness_m) + 0.15 * obstacle + 0.25 * F.col("edge")
-    return out.withColumn("quality", F.when(F.col("ground") == 2, parts - 0.5).otherwise(parts))
+    parts = W_SLOPE * _clamp(1.0 - F.col("slope") / aircraft.max_upslope_landing_deg) + W_ROUGHNESS * _clamp(1.0 - F.col("roughness") / aircraft.max_roughness_m) + W_OBSTACLE * obstacle + W_EDGE * F.col("edge")
+    return out.withColumn("quality", F.when(F.col("ground") == 2, parts - UPSLOPE_LOSS).otherwise(parts))
 
 
 def passes_exact(aircraft: Aircraft, mission: Mission, obstacle_evidence: bool = True) -> Column:

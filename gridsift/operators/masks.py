@@ -190,10 +190,15 @@ def burn_heights(cells: DataFrame, footprints: DataFrame) -> DataFrame:
 
 
 def nearest_centre(points: DataFrame, circles: DataFrame, key: str = "id") -> DataFrame:
-    """points with centre, distance and bearing to the nearest centre; the smaller id wins ties.
+    """key, centre, distance and bearing to the nearest centre of every point; the smaller id wins ties. Null where a point has no position or there are no centres.
 
-    Up to FEW_CENTRES centres are compared with every point; of more, each point meets those in growing square bins.
+    Up to FEW_CENTRES centres are compared with every point; of more, each point meets those in growing square bins. Both give the same rows.
     """
+    found = _nearest_centre(points.filter("x is not null and y is not null"), circles.filter("x is not null and y is not null"), key)
+    return points.select(key).join(found, key, "left")
+
+
+def _nearest_centre(points: DataFrame, circles: DataFrame, key: str) -> DataFrame:
     centres = circles.select(F.col("id").alias("centre"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
     reduced = lambda pairs: pairs.withColumn("distance", F.hypot(dx, dy)).withColumn("bearing", F.pmod(F.degrees(F.atan2(dx, dy)) + 360.0, F.lit(360.0))).groupBy(key).agg(F.min(F.struct("distance", "centre", "bearing")).alias("b")).select(key, "b.centre", "b.distance", "b.bearing")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridsift.operators.scoring import RATINGS, rating_order
 
+# Limits of the overview cell and of its classes, and the classes' names below.
 MIN_CELL_M, MAX_CELL_M, MIN_BLOCK = 20.0, 20000.0, 16
 HIGH_PERCENT, MEDIUM_PERCENT, FLAT_SHARE = 25.0, 5.0, 0.5
 

@@ -30,12 +30,18 @@ def near_join(left: DataFrame, right: DataFrame, radius: float, strict: bool = F
 def boxes_meet(left: DataFrame, right: DataFrame, bin_m: float) -> DataFrame:
     """Pairs of left(x0, x1, y0, y1, ...) and right(u0, u1, v0, v1, ...) whose closed boxes meet, each once.
 
-    Boxes go to the square bins that they touch and pairs meet in equal bins; a pair counts in the first bin that both touch.
+    Bins have sizes bin_m, 2 bin_m, 4 bin_m ... A box's own size is the first that is no smaller than the box, so it touches four bins of it at most, whatever
+    its size, and of each larger size as well. A pair meets in bins of the larger of both own sizes, and counts in the first that both touch.
     """
-    to = lambda c: F.floor(F.col(c) / bin_m)
-    spread = lambda df, x0, x1, y0, y1: df.withColumn("bx", F.explode(F.sequence(to(x0), to(x1)))).withColumn("by", F.explode(F.sequence(to(y0), to(y1))))
-    pairs = spread(left, "x0", "x1", "y0", "y1").join(spread(right, "u0", "u1", "v0", "v1"), ["bx", "by"]).filter("x0 <= u1 and u0 <= x1 and y0 <= v1 and v0 <= y1")
-    return pairs.filter((F.col("bx") == F.greatest(to("x0"), to("u0"))) & (F.col("by") == F.greatest(to("y0"), to("v0")))).drop("bx", "by")
+    size = lambda a, b, c, d: F.ceil(F.log2(F.greatest(F.lit(1.0), (F.col(b) - F.col(a)) / bin_m, (F.col(d) - F.col(c)) / bin_m))).cast("int")
+    own = left.withColumn("_k", size("x0", "x1", "y0", "y1")), right.withColumn("_j", size("u0", "u1", "v0", "v1"))
+    tops = [df.agg(F.max(k).alias("k")).first()["k"] for df, k in zip(own, ("_k", "_j"), strict=True)]
+    top = max((t for t in tops if t is not None), default=0)
+    to = lambda c: F.floor(F.col(c) / (bin_m * F.pow(F.lit(2.0), F.col("_level"))))
+    spread = lambda df, k, a, b, c, d: df.withColumn("_level", F.explode(F.sequence(F.col(k), F.lit(top)))).withColumn("_x", F.explode(F.sequence(to(a), to(b)))).withColumn("_y", F.explode(F.sequence(to(c), to(d))))
+    pairs = spread(own[0], "_k", "x0", "x1", "y0", "y1").join(spread(own[1], "_j", "u0", "u1", "v0", "v1"), ["_level", "_x", "_y"])
+    pairs = pairs.filter("_level = greatest(_k, _j) and x0 <= u1 and u0 <= x1 and y0 <= v1 and v0 <= y1")
+    return pairs.filter((F.col("_x") == F.greatest(to("x0"), to("u0"))) & (F.col("_y") == F.greatest(to("y0"), to("v0")))).drop("_level", "_x", "_y", "_k", "_j")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, other: str, radius: float) -> DataFrame:
@@ -120,7 +126,7 @@ def groups(points: DataFrame, radius: float, key: str = "id", store: Store | Non
     """points with root: the smallest key that a chain of rows no further apart than radius leads to."""
     store = store or Store(points.sparkSession, "groups")
     other = points.select(F.col(key).alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    edges = near_join(points.select(key, "x", "y"), other, radius).filter(F.col(key) != F.col("other")).select(F.col(key).alias("a"), F.col("other").alias("b"))
+    edges = near_join(points.select(key, "x", "y"), other, radius).filter(F.col(key) < F.col("other")).select(F.col(key).alias("a"), F.col("other").alias("b"))
     roots = connected(edges, store)
     return points.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
 

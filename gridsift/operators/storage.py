@@ -75,11 +75,13 @@ _OPEN: list[Store] = []
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Stores that are opened within are deleted at the end, when their results have been written elsewhere."""
+    """Stores that are opened within are deleted at the end, when their results have been written elsewhere or the work has failed."""
     before = list(_OPEN)
-    yield
-    for store in [s for s in _OPEN if s not in before]:
-        store.close()
+    try:
+        yield
+    finally:
+        for store in [s for s in _OPEN if s not in before]:
+            store.close()
 
 
 @atexit.register

@@ -14,6 +14,7 @@ class ProfileError(ValueError):
     """A profile that does not hold together."""
 
 
+# Fixed values of the profile format: the fields of the three kinds of profiles and their defaults.
 @dataclass(frozen=True)
 class Aircraft:
     name: str = "small"

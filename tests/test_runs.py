@@ -128,6 +128,12 @@ def test_many_centres_meet_points_in_bins(spark, monkeypatch):
     few = rows()
     monkeypatch.setattr(masks, "FEW_CENTRES", 5)
     assert rows() == few and len(few) == 81
+    for most in (5, 1000):  # points without a position, and no centres: the same rows either way
+        monkeypatch.setattr(masks, "FEW_CENTRES", most)
+        odd = points.limit(3).unionByName(spark.createDataFrame([(500, None, 1.0)], "id long, x double, y double"))
+        assert {r["id"]: r["centre"] for r in masks.nearest_centre(odd, circles).collect()}[500] is None
+        assert [r["centre"] for r in masks.nearest_centre(odd, circles.limit(0)).collect()] == [None] * 4
+    monkeypatch.setattr(masks, "FEW_CENTRES", 5)
     cells = points.select(F.col("id").alias("r"), F.lit(0).alias("c"), "x", "y")
     inside = {r["r"] for r in masks.circle_cells(cells, circles, bin_m=4.0).collect()}
     centres, all_points = circles.collect(), points.collect()
@@ -138,6 +144,8 @@ def test_boxes_meet_once(spark):
     rng = random.Random(7)
     boxes = [(i, x := rng.uniform(-20, 20), x + rng.uniform(0, 9), y := rng.uniform(-20, 20), y + rng.uniform(0, 9)) for i in range(40)]
     a = spark.createDataFrame(boxes, "i long, x0 double, x1 double, y0 double, y1 double")
+    boxes += [(100, -1e6, 1e6, -1e6, 1e6), (101, 5.0, 5.0, 5.0, 5.0), (102, -3000.0, 4.0, 2.0, 2.0)]  # wide ones and a point touch few bins too
+    a = spark.createDataFrame(boxes, "i long, x0 double, x1 double, y0 double, y1 double")
     got = [(r["i"], r["j"]) for r in spatial.boxes_meet(a, a.toDF("j", "u0", "u1", "v0", "v1"), 3.0).collect()]
     assert len(got) == len(set(got)) and set(got) == {(p[0], q[0]) for p in boxes for q in boxes if p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4]}
 
