@@ -17,7 +17,7 @@ from gridsift.sources.bindings import SQL, TABLES, bind
 
 # The same SQL in both engines writes the texts; what must come back is worked out from the numbers.
 _DMS = "lpad(cast(cast(floor({v}) as int) as string), {n}, '0') || ' ' || lpad(cast(cast(floor({v} * 60) as int) % 60 as string), 2, '0') || ' ' || lpad(cast(cast(round({v} * 3600) as int) % 60 as string), 2, '0') || '.00'"
-SQL["quarters"] = """select s_suppkey as id, cast(s_suppkey % 80 as double) + cast(s_suppkey % 4 as double) / 4 as lat, cast((s_suppkey * 7) % 170 as double) + cast(s_suppkey % 3 as double) / 2 as lon,
+SQL["quarters"] = """select s_suppkey as id, cast(s_suppkey % 80 as double) + cast(1 + s_suppkey % 3 as double) / 4 as lat, cast((s_suppkey * 7) % 170 as double) + cast(1 + s_suppkey % 2 as double) / 2 as lon,
   s_suppkey % 2 = 0 as south, s_suppkey % 5 < 3 as west, (s_suppkey * 13) % 700 as feet, s_suppkey % 7 as kind from supplier"""
 SQL["written_heights"] = """select id, feet_field, case form when 0 then n || ' ft' when 1 then n when 2 then n || ' m' when 3 then n || ',5 m' when 4 then 'tall' when 5 then '' when 6 then '-' || n when 7 then n || '''' when 8 then '  ' || n || '.25 feet' else null end as txt
 from (select s_suppkey as id, s_suppkey % 3 = 0 as feet_field, cast(s_suppkey as string) as n, s_suppkey % 10 as form from supplier) a"""

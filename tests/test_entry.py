@@ -16,7 +16,7 @@ def test_names_and_oracles():
     assert set(sql) <= set(known) and len(known) > 100
 
 
-@pytest.mark.parametrize("name", ["flagship_ground_class", "mask_polygon", "utm_inverse", "mgrs_encode", "site_groups", "events_session", "audit_findings", "bilinear_resample"])
+@pytest.mark.parametrize("name", ["flagship_ground_class", "mask_polygon", "utm_inverse", "mgrs_encode", "site_groups", "events_session", "audit_findings", "bilinear_resample", "parse_position", "read_dof", "read_csv_obstacles", "read_geojson_obstacles", "content_digests"])
 def test_query_equals_its_sql(spark, name):
     import __spark_entry__ as e
 
@@ -42,17 +42,10 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r["start"], r["event_type"]): r["n"] for r in seen[-1]} == batch
 
 
-def test_parsing(spark):
+def test_what_cannot_be_imported_is_left_out():
     import __spark_entry__ as e
 
-    q = e.queries()
-    places = {r["id"]: r for r in q["parse_position"](spark, DIR).collect()}
-    assert all((places[i]["lat"], places[i]["lon"]) == (45.4236, -75.7009) for i in (1, 2, 3, 4))
-    assert places[5]["lat"] == pytest.approx(45.423611) and places[6]["kind"] == "MGRS" and all(places[i]["kind"] is None for i in (7, 8, 9))
-    assert sorted(r["height_m"] for r in q["read_geojson_obstacles"](spark, DIR).collect()) == [12, 12, 12, 12, 30, 30.48, 30.48, 45]
-    records = q["read_dof"](spark, DIR).collect()
-    assert [(round(r["height_m"], 1), r["assumed"]) for r in records] == [(152.4, False), (30.0, True)]
-    assert [(r["name"], r["assumed"]) for r in q["read_csv_obstacles"](spark, DIR).collect()] == [("mast", False), ("pole", True)]
+    assert e._optional("gridsift.no_such_part") is None and e._optional("json").__name__ == "json"
 
 
 def test_grid_references(spark):
