@@ -50,9 +50,9 @@ def wedge(x: Column, y: Column, azimuth: Column, half_width: float, radius: floa
 
 
 def features(ranked: DataFrame, radius: float) -> DataFrame:
-    """json: a GeoJSON feature with the pad's outline for every site."""
+    """json: a GeoJSON feature with the pad's outline for every site. A score of negative zero is written as zero."""
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(circle(F.col("x"), F.col("y"), radius)).alias("coordinates"))
-    return ranked.select("rank", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("rank", "site_id", "rating", "score").alias("properties"), geometry.alias("geometry"))).alias("json"))
+    return ranked.select("rank", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("rank", "site_id", "rating", (F.col("score") + 0.0).alias("score")).alias("properties"), geometry.alias("geometry"))).alias("json"))
 
 
 def write_features(ranked: DataFrame, path: str, radius: float) -> None:
