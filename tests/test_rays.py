@@ -1,10 +1,11 @@
-"""Rays looked up in tiles against a plain loop."""
+"""Rays looked up in tiles against a plain loop, and ranks that are worked out once for their groups."""
 
 import math
 import random
 
 import pytest
 from gridsift.operators import approach
+from gridsift.plans import sites
 from gridsift.sources.profiles import Aircraft, Mission
 
 AIRCRAFT, MISSION = Aircraft(), Mission()
@@ -33,3 +34,12 @@ def test_rays_equal_a_loop(spark, tile):
             assert row["worst"] == (pytest.approx(max(seen)[0]) if seen else None) and row["distance"] == (-max(seen)[1] if seen else None)
     assert approach.ray_worst(df.limit(0), grid, rows, AIRCRAFT, MISSION, tile=tile).count() == 0
     assert {r["worst"] for r in approach.ray_worst(df, grid.limit(0), rows, AIRCRAFT, MISSION, tile=tile).collect()} == {None}
+
+
+def test_ranks_of_groups_are_worked_out_once(spark, monkeypatch):
+    """Groups read the ranks at several steps: from a table, not from all steps before it each time."""
+    ranks = spark.range(5).selectExpr("id + 1 as rank", "concat('S-0', id + 1) as site_id", "id * 10D as x", "0D as y")
+    monkeypatch.setattr(sites, "ranked", lambda s, d: ranks)
+    got = sites.grouped(spark, "")
+    assert "Range (" not in got._jdf.queryExecution().toString()
+    assert {(r["rank"], r["root"], r["primary_id"]) for r in got.collect()} == {(i, 1, "S-01") for i in range(1, 6)}
